@@ -107,7 +107,7 @@ def repeated_words(df: DataFrame) -> DataFrame:
     packed = hashed.withColumn(
         "__p",
         F.expr("""sort_array(transform(slice(__h, 1, greatest(size(__h) - 2, 0)), (x, i) ->
-            ((x ^ shiftleft(get(__h, i + 1), 7) ^ shiftrightunsigned(get(__h, i + 2), 9)) & __k) | i))"""),
+            coalesce(((x ^ shiftleft(get(__h, i + 1), 7) ^ shiftrightunsigned(get(__h, i + 2), 9)) & __k) | i, 0L)))"""),
     )
     met = packed.withColumn(
         "__m",
