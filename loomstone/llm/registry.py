@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loomstone.llm import quality, urls
+from loomstone.llm import language, packing, pii, quality, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_power_of_two_packing": packing.op2_power_of_two_packing,
+    "op3_pii": pii.op3_pii,
+    "op4_language_id": language.op4_language_id,
     "op5_url_filter": urls.op5_url_filter,
+    "op7_warc_zip": warc.op7_warc_zip,
 }
 
 SQL: dict[str, str] = {}
