@@ -112,10 +112,14 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     # landmarks are dealt to the languages in turn
     by: dict[str, list[int]] = {lang: [i for i in order if sample[i][1] == lang] for lang in languages}
     turn = [i for r in range(len(sample)) for lang in languages for i in by[lang][r : r + 1]][:landmarks]
-    marks = np.zeros((len(turn), SIZE), np.float32)
+    # only n-grams that a landmark has can be shared with one; place is their column, or one that stays empty
+    vocabulary = np.unique(np.concatenate([rows[i] for i in turn]))
+    place = np.full(SIZE, len(vocabulary), np.int32)
+    place[vocabulary] = np.arange(len(vocabulary))
+    marks = np.zeros((len(vocabulary) + 1, len(turn)), np.float32)
     for k, i in enumerate(turn):
-        marks[k, rows[i]] = 1 / norms[i]
-    kernel = np.stack([marks[:, r].sum(axis=1, dtype=np.float64) / n for r, n in zip(rows, norms, strict=True)])
+        marks[place[rows[i]], k] = 1 / norms[i]
+    kernel = np.stack([marks[place[r]].sum(axis=0, dtype=np.float64) / n for r, n in zip(rows, norms, strict=True)])
     values, vectors = np.linalg.eigh(kernel[turn])
     good = values > values.max() * 1e-8
     root = vectors[:, good] / np.sqrt(values[good])
@@ -124,9 +128,9 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     # each language weighs the same
     weight = np.array([1 / len(by[lang]) for _, lang in sample])[:, None]
     beta = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * targets))
-    folded = marks.T.astype(np.float64) @ (root @ beta[:-1])
+    folded = (marks @ (root @ beta[:-1]).astype(np.float32))[place]
     # the last row is the regression's constant
-    return Model(languages, letters, np.vstack([folded, beta[-1:]]))
+    return Model(languages, letters, np.vstack([folded, beta[-1:].astype(np.float32)]))
 
 
 def scorer(model: Model) -> Callable[[list[str | None]], tuple[list[str], list[float]]]:

@@ -47,39 +47,44 @@ class CachedTokenizer:
     """
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for parts that are pre-tokens in normal form already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
 
-    def parts(self, text: str) -> list[str] | None:
+    def parts(self, text: str) -> tuple[str, list[str]]:
         if "<|" in text:
-            return None
+            return "whole", [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return SPACES.split(text)
-        return LATIN_PRETOKENS.findall(text.lower())
+            return "spaces", SPACES.split(text)
+        return "pre-tokens", LATIN_PRETOKENS.findall(text.lower())
+
+    def learn(self, split: list[tuple[str, list[str]]]) -> None:
+        for kind, tokenizer in (("pre-tokens", self.plain), ("spaces", self.tokenizer)):
+            missing = list(set(chain.from_iterable(p for k, p in split if k == kind)) - self.cache.keys())
+            for i in range(0, len(missing), 4096):
+                some = missing[i : i + 4096]
+                for word, enc in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.cache[word] = np.asarray(enc.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         # slices keep the parts of few texts in memory at once
         for at in range(0, len(texts), 64):
             split = [self.parts(t) for t in texts[at : at + 64]]
-            missing = list(set(chain.from_iterable(p for p in split if p)) - self.cache.keys())
-            if len(self.cache) + len(missing) > self.cache_size:
+            if len(self.cache) > self.cache_size:
                 self.cache = {}
-                missing = list(set(chain.from_iterable(p for p in split if p)))
-            for i in range(0, len(missing), 4096):
-                some = missing[i : i + 4096]
-                enc = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-                ids, ends = np.asarray(enc.ids, "<u4").tobytes(), np.cumsum(np.bincount(enc.word_ids or [], minlength=len(some))) * 4
-                for word, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self.cache[word] = ids[a:b]
+            self.learn(split)
             get = self.cache.__getitem__
-            for text, p in zip(texts[at : at + 64], split, strict=True):
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)))
+            for kind, p in split:
+                out.append(np.asarray(self.tokenizer.encode(p[0], add_special_tokens=False).ids, "<u4").tobytes() if kind == "whole" else b"".join(map(get, p)))
         return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import language, packing, pii, quality, urls, warc
+from loomstone.llm import html, language, minhash, packing, pii, quality, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_language_id": language.op4_language_id,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_site_style_tree": html.op6_site_style_tree,
     "op7_warc_zip": warc.op7_warc_zip,
+    "op10_dart_minhash": minhash.op10_dart_minhash,
 }
 
 SQL: dict[str, str] = {}
