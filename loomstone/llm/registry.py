@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import html, language, minhash, packing, pii, quality, urls, warc
+from loomstone.llm import html, language, minhash, mixing, packing, pii, quality, urls, vectors, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_url_filter": urls.op5_url_filter,
     "op6_site_style_tree": html.op6_site_style_tree,
     "op7_warc_zip": warc.op7_warc_zip,
+    "op8_soft_mixing": mixing.op8_soft_mixing,
+    "op9_collision_counting": vectors.op9_collision_counting,
     "op10_dart_minhash": minhash.op10_dart_minhash,
 }
 
