@@ -18,7 +18,7 @@ mixed each. Extra columns of documents are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +26,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomstone.llm.common import stage
+from loomstone.llm.common import discard, stage, with_columns_arrow
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.09, "toxic": 0.01}
 ANCHOR, HEADROOM = "good", 1.05
 #: Most labelled documents of a domain that the classifier is fitted on, the bound of the sample.
 SAMPLE_PER_DOMAIN = 1500
-HASHED = 1 << 12
+#: Words that the classifier looks at: those most associated with a domain in the sample.
+CHOSEN = 1024
+LEAST_DOCUMENTS = 8
 NUMBERS = 7
 PULL = 1e-3
 STEP = 1.0
@@ -45,34 +48,55 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 
 @dataclass
 class Model:
-    weights: np.ndarray  # (HASHED + NUMBERS, domains)
+    words: np.ndarray  # ascending 32-bit hashes of the chosen words
+    weights: np.ndarray  # (words + NUMBERS, domains)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(places, values, tokens): log counts of hashed words at unit length, and ratios of the text's form."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hashes of the distinct words, log counts, ratios of the text's form, tokens)."""
     text = text or ""
     words = WORD.findall(text.lower())
     tokens = len(text.split())
     n = max(len(words), 1)
     lines = [x for x in text.split("\n") if x.strip()]
     if words:
-        h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
-        places, counts = np.unique((h % np.uint64(HASHED)).astype(np.int64), return_counts=True)
-        distinct = len(np.unique(h))
-        values = np.log1p(counts)
-        values /= np.sqrt((values**2).sum())
+        h, counts = np.unique((pd.util.hash_array(np.array(words, dtype=object), categorize=False) >> np.uint64(32)).astype(np.int64), return_counts=True)
     else:
-        places, values, distinct = np.zeros(0, np.int64), np.zeros(0), 0
+        h, counts = np.zeros(0, np.int64), np.zeros(0)
     symbols, upper = len(SYMBOL.findall(text)), sum(map(str.isupper, text))
-    numbers = [1.0, min(symbols / n, 2.0), distinct / n, upper / max(len(text), 1), sum(map(len, words)) / n / 10, (len(lines) - len(set(lines))) / max(len(lines), 1), np.log1p(n) / 10]
-    return np.concatenate([places, HASHED + np.arange(NUMBERS)]), np.concatenate([values, numbers]), tokens
+    numbers = [1.0, min(symbols / n, 2.0), len(h) / n, upper / max(len(text), 1), sum(map(len, words)) / n / 10, (len(lines) - len(set(lines))) / max(len(lines), 1), np.log1p(n) / 10]
+    return h, np.log1p(counts), np.array(numbers), tokens
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(domain, text) to (domain, places, values)."""
+    """(domain, text) to (domain, words, values, numbers)."""
     for batch in batches:
-        rows = [features(t)[:2] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["domain", "places", "values"])
+        rows = [features(t)[:3] for t in batch.column(1).to_pylist()]
+        kinds = (pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], pa.list_(kinds[i])) for i in range(3)]], names=["domain", "words", "values", "numbers"])
+
+
+def place(words: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where in words, where in chosen) of the words that are chosen."""
+    at = np.searchsorted(chosen, words)
+    at[at == len(chosen)] = 0
+    hit = np.flatnonzero(chosen[at] == words) if len(chosen) else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def choose(words: np.ndarray, domain: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The CHOSEN words of the largest chi-square statistic with any domain; words and domain of each occurrence."""
+    distinct, inverse = np.unique(words, return_inverse=True)
+    seen = np.zeros((len(distinct), len(DOMAINS)))
+    np.add.at(seen, (inverse, domain), 1)
+    df, total = seen.sum(axis=1, keepdims=True), n.sum()
+    a, b = seen, df - seen
+    c, d = n - seen, total - n - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num(total * (a * d - b * c) ** 2 / (df * (total - df) * n * (total - n))).max(axis=1)
+    chi[df[:, 0] < LEAST_DOCUMENTS] = 0
+    order = np.lexsort((distinct, -chi))[:CHOSEN]
+    return np.sort(distinct[order[chi[order] > 0]])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -80,17 +104,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, list[int], list[float]]], shares: dict[str, float], steps: int = 400, ridge: float = 1e-4) -> Model:
+def fit(rows: pa.Table, shares: dict[str, float], steps: int = 400, ridge: float = 1e-4) -> Model:
     """Multinomial logistic regression; rows are weighted so that the sample's domains have their labelled shares."""
-    w = np.zeros((HASHED + NUMBERS, len(DOMAINS)), np.float32)
-    if not rows:
-        return Model(w)
-    rows = sorted(rows)
-    x = np.zeros((len(rows), len(w)), np.float32)
-    for i, (_, places, values) in enumerate(rows):
-        x[i, places] = values
-    domain = np.array([DOMAINS.index(r[0]) for r in rows])
+    if not rows.num_rows:
+        return Model(np.zeros(0, np.int64), np.zeros((NUMBERS, len(DOMAINS)), np.float32))
+    words, values, numbers = (rows[c].combine_chunks() for c in ("words", "values", "numbers"))
+    domain = np.array([DOMAINS.index(d) for d in rows["domain"].to_pylist()])
     n = np.bincount(domain, minlength=len(DOMAINS))
+    owner = np.repeat(np.arange(len(domain)), words.value_lengths().to_numpy())
+    flat = words.flatten().to_numpy()
+    chosen = choose(flat, domain[owner], n)
+    hit, at = place(flat, chosen)
+    x = np.zeros((len(domain), len(chosen) + NUMBERS), np.float32)
+    x[owner[hit], at] = values.flatten().to_numpy()[hit]
+    x[:, len(chosen) :] = numbers.flatten().to_numpy().reshape(-1, NUMBERS)
     weight = np.array([shares.get(DOMAINS[d], 0.0) / n[d] for d in domain], np.float32)
     weight /= weight.sum()
     y = np.eye(len(DOMAINS), dtype=np.float32)[domain]
@@ -99,12 +126,13 @@ def fit(rows: list[tuple[str, list[int], list[float]]], shares: dict[str, float]
     for _ in range(20):
         v = x.T @ (weight * (x @ v))
         v /= (top := np.linalg.norm(v))
+    w = np.zeros((x.shape[1], len(DOMAINS)), np.float32)
     rate, z, before, t = np.float32(1 / (0.5 * top + ridge)), w.copy(), w.copy(), 1.0
     for _ in range(steps):
         w = z - rate * (x.T @ (weight[:, None] * (softmax(x @ z) - y)) + np.float32(ridge) * z)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, before, t = w + np.float32((t - 1) / after) * (w - before), w, after
-    return Model(w)
+    return Model(chosen, w)
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -117,9 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_DOMAIN) -
     counts = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("k"), "k"))).where(F.col("r") <= sample).select("k", "domain")
     # at most sample * domains keys
-    rows = docs.join(F.broadcast(ranked), "k").select("domain", "text").mapInArrow(feature_rows, "domain string, places array<long>, values array<double>").collect()
+    rows = docs.join(F.broadcast(ranked), "k").select("domain", "text").mapInArrow(feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
     total = sum(counts.values()) or 1
-    return fit([(r.domain, r.places, r["values"]) for r in rows], {d: c / total for d, c in counts.items()})
+    return fit(rows, {d: c / total for d, c in counts.items()})
+
+
+def posteriors(model: Model) -> Callable[[str | None], tuple[int, np.ndarray]]:
+    """A text's tokens and domain probabilities."""
+    chosen, w = model.words, model.weights.astype(np.float64)
+
+    def run(text: str | None) -> tuple[int, np.ndarray]:
+        words, values, numbers, tokens = features(text)
+        hit, at = place(words, chosen)
+        return tokens, softmax(values[hit] @ w[at] + numbers @ w[len(chosen) :])
+
+    return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -127,14 +167,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value.weights.astype(np.float64)
+        posterior = posteriors(shared.value)
         for batch in batches:
-            tokens, p = [], []
-            for t in batch.column(1).to_pylist():
-                places, values, n = features(t)
-                tokens.append(n)
-                p.append(softmax(values @ w[places]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["k", "tokens", "p"])
+            rows = [posterior(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["k", "tokens", "p"])
 
     return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tokens long, p array<double>")
 
@@ -178,17 +214,50 @@ def fit_rates(table: DataFrame, targets: dict[str, float], anchor: str, headroom
     return steps
 
 
-def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, anchor: str = ANCHOR, headroom: float = HEADROOM) -> DataFrame:
-    """key, n_tokens, p_good, p_low, p_toxic, rate, copies for every row of docs."""
+@dataclass
+class Fitted:
+    """A fitted mix: the classifier, the gradient steps that give the rates, and the posteriors they were fitted on."""
+
+    model: Model
+    steps: list[list[float]]
+    table: DataFrame
+
+
+def fit_mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, anchor: str = ANCHOR, headroom: float = HEADROOM) -> Fitted:
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     model = train(rows, labels.select(F.col(key).alias("k"), "quality", "toxic"))
     table = stage(scored(rows, model), "mixing-posteriors")
-    rate = rate_of(fit_rates(table, targets or TARGETS, anchor, headroom))
-    out = table.withColumn("rate", rate)
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "k"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    out = out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return Fitted(model, fit_rates(table, targets or TARGETS, anchor, headroom), table)
+
+
+def with_copies(df: DataFrame, key: str, steps: list[list[float]]) -> DataFrame:
+    """Add rate and copies to rows that hold p and the key."""
+    out = df.withColumn("rate", rate_of(steps))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+
+
+def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """key, n_tokens, p_good, p_low, p_toxic, rate, copies for every row of docs."""
+    fitted = fit_mix(docs, labels, key, text, **how)
+    out = with_copies(fitted.table, "k", fitted.steps)
     return out.select(F.col("k").alias(key), F.col("tokens").alias("n_tokens"), *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
 
 
+def mixed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs, each as often as its copies. Posteriors are computed anew beside the row, so texts are not shuffled."""
+    fitted = fit_mix(docs, labels, key, text, **how)
+    discard(fitted.table)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    at = [c for c in docs.columns if c != "p"].index(text)
+
+    def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
+        posterior = posteriors(shared.value)
+        return lambda batch: {"p": pa.array([posterior(t)[1] for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))}
+
+    out = with_copies(with_columns_arrow(docs, make, [T.StructField("p", T.ArrayType(T.DoubleType()))]), key, fitted.steps)
+    return out.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
 def op8_soft_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
