@@ -2,5 +2,494 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstone.functions import text as X
+from loomstone.functions import vector as V
+from loomstone.operators import chunking, identify, mining, session
+from loomstone.operators import retrieval as R
+from loomstone.sources import corpus as C
+from loomstone.streaming import log
+
+QUERY = "rewh, orantion, éonierç, que"
+TERMS = X.query_terms(QUERY)
+AS_OF = "2024-02-01 00:00:00"
+VECTOR = [((i * 7) % 11 - 5) / 5.0 for i in range(64)]
+NAMES = ["thereon", "an/Onan.py", "ouen", "the"]
+
+
+def values(spark: SparkSession, columns: str, rows: str) -> DataFrame:
+    return spark.sql(f"select * from values {rows} as t({columns})")
+
+
+def as_of() -> F.Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------
+
+HITS = " + ".join(f"contains(lower(text), '{t}')::int" for t in TERMS)
+KEYWORD = f"select doc_id as seq, round(({HITS}) / {len(TERMS)}.0, 6) as score from documents where ({HITS}) > 0 order by score desc, seq limit 30"
+COSINE = "case when sqrt(list_sum(list_transform({a}, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform({b}, lambda x: x::double * x::double))) = 0 then 0 else list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_sum(list_transform({a}, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform({b}, lambda x: x::double * x::double)))) end"
+QVEC = f"[{', '.join(map(str, VECTOR))}]::double[]"
+SEMANTIC = f"select vec_id as seq, round({COSINE.format(a='embedding', b=QVEC)}, 6) as score from embeddings"
+
+
+@query(KEYWORD)
+def keyword_search(spark, d):
+    return R.keyword(C.documents(spark, d), QUERY).select("seq", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"with k as (select doc_id as seq, text, round(({HITS}) / {len(TERMS)}.0 * 1.5, 6) as score from documents where ({HITS}) > 0 order by score desc, seq limit 30), "
+    "r as (select seq, score, length(text) // 4 as tokens, sum(length(text) // 4) over (order by score desc, seq rows unbounded preceding) as running from k) select seq, score, tokens, running::bigint as running from r where running <= 6000"
+)
+def keyword_budget(spark, d):
+    docs = C.documents(spark, d)
+    ranked = R.decayed(R.keyword(docs, QUERY), docs, as_of()).withColumn("score", F.round("score", 6))
+    return R.budget(ranked, 6000).select("seq", "score", "tokens", "running")
+
+
+@query(f"{SEMANTIC} order by score desc, seq limit 30")
+def semantic_topk(spark, d):
+    return R.semantic(C.table(spark, d, "embeddings").withColumnRenamed("vec_id", "seq"), VECTOR)
+
+
+@query(f"select * from ({SEMANTIC} where label in (3)) order by score desc, seq limit 20")
+def project_semantic(spark, d):
+    e = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("thread"), "embedding")
+    return R.project(e, "3", e, VECTOR)
+
+
+@query("select event_id as seq, 0.5::double as score from events where contains(user_id::varchar, '12') order by ts desc, seq limit 20")
+def project_recency(spark, d):
+    return R.project(C.events(spark, d), "12")
+
+
+TEMPORAL = "select event_id as seq, ({score})::double as score from events {where} order by {order}, event_id limit 20"
+
+
+@query(TEMPORAL.format(score="round(1.0 - 0.02 * (row_number() over (order by ts, event_id) - 1), 6)", where="", order="ts"))
+def temporal_oldest(spark, d):
+    return R.temporal(C.events(spark, d), "oldest").select("seq", F.round("score", 6).alias("score"))
+
+
+@query(TEMPORAL.format(score="round(1.0 - 0.02 * (row_number() over (order by ts desc, event_id) - 1), 6)", where="", order="ts desc"))
+def temporal_newest(spark, d):
+    return R.temporal(C.events(spark, d), "newest").select("seq", F.round("score", 6).alias("score"))
+
+
+@query(TEMPORAL.format(score="0.8", where="where ts >= timestamp '2024-01-20'", order="ts desc"))
+def temporal_after(spark, d):
+    return R.temporal(C.events(spark, d), "after:2024-01-20")
+
+
+@query(TEMPORAL.format(score="0.8", where="where ts < timestamp '2024-01-10'", order="ts desc"))
+def temporal_before(spark, d):
+    return R.temporal(C.events(spark, d), "before:2024-01-10")
+
+
+@query(TEMPORAL.format(score="0.8", where="where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-10'", order="ts desc"))
+def temporal_range(spark, d):
+    return R.temporal(C.events(spark, d), "range:2024-01-05..2024-01-10")
+
+
+@query("select doc_id as seq, 0.8::double as score from documents where contains(lower(text), 'eronha') order by seq limit 20")
+def entity_search(spark, d):
+    return R.entity(C.documents(spark, d), "Eronha")
+
+
+def _ident_case(n: str) -> str:
+    stem = n.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+    extra = f"when contains(lower(text), '{stem}') then 0.7 " if len(stem) >= 4 else ""
+    return f"case when contains(text, '{n}') then 1.0 when contains(lower(text), '{n.lower()}') then 0.9 {extra}else 0.0 end"
+
+
+IDENT = f"select doc_id as seq, greatest({', '.join(map(_ident_case, NAMES[:3]))})::double as score from documents"
+
+
+@query(f"select * from ({IDENT}) where score > 0 order by score desc, seq limit 30")
+def identifier_search(spark, d):
+    return R.identifiers(C.documents(spark, d), NAMES[:3])
+
+
+@query(
+    f"with s as ({SEMANTIC} order by score desc, seq limit 30), k as ({KEYWORD}), i as (select * from ({IDENT}) where score > 0 order by score desc, seq limit 30), "
+    "u as (select seq, score * 0.7 as s, 0.0 as kw, 1 as ax from s union all select seq, 0.0, score, 0 from k union all select seq, score * 0.6, 0.0, 0 from i) "
+    "select seq, round(sum(s) + sum(kw) * case when max(ax) = 1 then 0.4 else 0.3 end, 6) as score from u group by seq"
+)
+def fusion_rank(spark, d):
+    docs, e = C.documents(spark, d), C.table(spark, d, "embeddings").withColumnRenamed("vec_id", "seq")
+    k = R.keyword(docs, QUERY).withColumn("score", F.round("score", 6))
+    return R.fuse([(R.semantic(e, VECTOR), 0.7)], k, R.identifiers(docs, NAMES[:3])).select("seq", F.round("score", 6).alias("score"))
+
+
+FAILURE = " or ".join("contains(c, '" + w.replace("'", "''") + "')" for w in X.FAILURE_WORDS)
+CORRECTION = " or ".join("contains(c, '" + w.replace("'", "''") + "')" for w in X.CORRECTION_WORDS)
+
+
+@query(
+    f"with e as (select event_id as seq, lower(event_type || ' ' || coalesce(props, '')) as c, (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 86400000000.0 as age from events) "
+    f"select seq, round(case when {CORRECTION} then 1 + least(age / 30, 0.5) when {FAILURE} then greatest(0.7, 1 - age / 60) else greatest(0.3, pow(0.5, age / 30)) end, 6) as factor from e"
+)
+def temporal_decay(spark, d):
+    return C.events(spark, d).select("seq", F.round(X.decay_factor(F.col("role"), F.col("content"), F.col("ts"), as_of()), 6).alias("factor"))
+
+
+@query(
+    "with t as (select doc_id as seq, text, length(text) // 4 as n, sum(length(text) // 4) over (order by doc_id rows unbounded preceding) as r from documents where doc_id < 60), "
+    "o as (select *, 9000 - (r - n) as rest, sum((r > 9000)::int) over (order by seq rows unbounded preceding) as k from t) "
+    "select seq, length(case when r <= 9000 then text else substr(text, 1, (rest * 4)::int) end)::bigint as chars from o where r <= 9000 or (k = 1 and rest > 100)"
+)
+def context_budget_static(spark, d):
+    first = C.documents(spark, d).orderBy("seq").limit(60)
+    return R.static_budget(first, 9000).select("seq", F.length("content").cast("long").alias("chars"))
+
+
+# ---- filters ---------------------------------------------------------------------------------------------
+
+LOW_ROWS = [
+    ("assistant", "[Read: a.py]"), ("user", "[Read: a.py]"), ("assistant", "No response requested."), ("kernel", ""), ("chain", "[x]"), ("user", "[{'tool_use_id': 'a'}]"), ("assistant", "fixed the PTY resize bug"),
+    ("user", "The user doesn't want to proceed with this tool use now"), ("assistant", "  "), ("user", " ok "),
+]
+LOW = ", ".join("('" + r + "', '" + c.replace("'", "''") + "')" for r, c in LOW_ROWS)
+_T = "trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+_BR, _FI = f"({_T}[1] = '[' and ends_with({_T}, ']') and length({_T}) < 200)", f"({_T} in ('No response requested.', 'I have this context. Ready to continue.'))"
+_RE = f"(contains({_T}, 'The user doesn''t want to proceed with this tool use') and length({_T}) < 400)"
+_EM = f"(starts_with({_T}, '[' || chr(123) || '''tool_use_id'':') and length({_T}) < 80)"
+INGEST = f"({_T} = '' or (role = 'assistant' and ({_BR} or {_FI})) or (role = 'user' and ({_RE} or {_EM})))"
+LOW_SQL = f"with t(role, content) as (values {LOW.replace(chr(123), chr(123) * 2).replace(chr(125), chr(125) * 2)}), u as (select * from t union all select role, text from conversations) select role, content, count(*) as n from u where not {{p}} group by all"
+
+
+def _low(spark, d, predicate):
+    fixed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in LOW_ROWS])))
+    rows = fixed.unionByName(C.conversations(spark, d).select("role", "content"))
+    return rows.where(~predicate(F.col("role"), F.col("content"))).groupBy("role", "content").agg(F.count("*").alias("n"))
+
+
+@query(LOW_SQL.format(p=INGEST))
+def low_signal_ingest(spark, d):
+    return _low(spark, d, X.low_signal_ingest)
+
+
+@query(LOW_SQL.format(p=f"({_T} = '' or (role not in ('kernel', 'chain') and {INGEST}))"))
+def low_signal_clean(spark, d):
+    return _low(spark, d, X.low_signal_clean)
+
+
+@query(LOW_SQL.format(p=f"(role not in ('kernel', 'chain') and ({_T} = '' or {_BR} or {_FI} or {_RE} or {_EM}))"))
+def low_signal_mining(spark, d):
+    return _low(spark, d, X.low_signal_mining)
+
+
+# ---- chunks and identifiers ------------------------------------------------------------------------------
+
+MD = "(1, '# One\\nalpha\\n## Two\\nbeta\\ngamma'), (2, 'intro\\n\\n# Three'), (3, 'no heading here'), (4, '#\\n\\n')"
+
+
+@query(
+    "with t(seq, content) as (values " + MD.replace("'# One", "e'# One").replace("'intro", "e'intro").replace("'#\\n", "e'#\\n") + "), l as (select seq, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from t), "
+    "s as (select *, sum((starts_with(line, '#') or i = 1)::int) over (partition by seq order by i) - 1 as section from l), "
+    "g as (select seq, section::int as section, arg_min(line, i) as head, trim(string_agg(line, chr(10) order by i), ' ' || chr(10) || chr(9) || chr(13)) as content from s group by all) "
+    "select seq, section, case when starts_with(head, '#') then trim(ltrim(head, '#')) else 'preamble' end as heading, content from g where content <> ''"
+)
+def markdown_sections(spark, d):
+    return chunking.markdown_sections(values(spark, "seq, content", MD))
+
+
+IDS = "(1, 'see bridge/web_server.py and /home/a/x.js, def load_all(self): self.other_name'), (2, 'class FooBar in tool.py; ./../n.py /tmp/z.md'), (3, 'nothing here'), (4, 'snake_case_name and is_ok')"
+ID_FILES = "[\\w-]+(?:/[\\w.-]+)+\\.\\w{1,5}"
+
+
+@query()
+def identifier_extract(spark, d):
+    pages = C.table(spark, d, "pages").select((F.col("page_id") + 10).alias("seq"), F.col("html").alias("content"))
+    return identify.index(values(spark, "seq, content", IDS).withColumn("seq", F.col("seq").cast("long")).unionByName(pages))
+
+
+KNOWN = "('session_spoof'), ('_replace_session'), ('load_config.py'), ('retrieval'), ('do_session')"
+RAW = "('spoof_session'), ('replace_session'), ('LOAD_CONFIG.PY'), ('retrievals'), ('zzz')"
+_TS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[_./-]'), lambda x: x <> '')))"
+
+
+@query(
+    f"with k(known) as (values {KNOWN}), r(raw) as (values {RAW}), p as (select raw, known, case when lower(raw) = lower(known) then 1.0 when {_TS.format(c='raw')} = {_TS.format(c='known')} then 0.95 "
+    "when contains(lower(known), lower(raw)) and length(raw) / length(known) >= 0.6 then 0.5 + length(raw) / length(known) * 0.4 when contains(lower(raw), lower(known)) and length(known) / length(raw) >= 0.6 then 0.4 + length(known) / length(raw) * 0.3 end as score from r, k) "
+    "select raw, known, round(score::double, 6) as score from p where score >= 0.55"
+)
+def identifier_resolve_native(spark, d):
+    return identify.resolved_native(values(spark, "raw", RAW), values(spark, "known", KNOWN))
+
+
+@query()
+def identifier_resolve_full(spark, d):
+    return identify.resolved(["spoof_session", "replace_sesion", "LOAD_CONFIG.PY", "retreival"], values(spark, "known", KNOWN))
+
+
+@query()
+def code_chunks(spark, d):
+    rows = "(1, 'a.py', 'import os\\n\\nclass Foo:\\n    def bar(self):\\n        return 1234567890\\n\\ndef baz():\\n    return 12345678901\\n'), (2, 'b.go', 'type T struct {\\n a int\\n}\\nfunc (t T) Go() {\\n x()\\n}\\n'), (3, 'c.txt', 'plain')"
+    return chunking.source_chunks(values(spark, "seq, path, content", rows).withColumn("seq", F.col("seq").cast("long")))
+
+
+ACT = "'hi <action project=\"p\" type=\"read\">\\na.py\\n</action> and <action project=\"q\" type=\"run\">ls</action> bye'"
+
+
+@query(
+    f"with t(seq, content) as (values (1, e{ACT})), b as (select seq, unnest(regexp_extract_all(content, '(?s)<action\\s+project=\"([^\"]+)\"\\s+type=\"([^\"]+)\">\\s*(.*?)\\s*</action>')) as block, "
+    "generate_subscripts(regexp_extract_all(content, '(?s)<action\\s+project=\"([^\"]+)\"\\s+type=\"([^\"]+)\">\\s*(.*?)\\s*</action>'), 1) - 1 as pos from t) "
+    "select seq, pos::int as pos, regexp_extract(block, 'project=\"([^\"]+)\"', 1) as project, regexp_extract(block, 'type=\"([^\"]+)\"', 1) as type, regexp_extract(block, '(?s)\">\\s*(.*?)\\s*</action>', 1) as body from b"
+)
+def action_blocks(spark, d):
+    return session.actions(values(spark, "seq, content", f"(1, {ACT})"))
+
+
+# ---- sessions --------------------------------------------------------------------------------------------
+
+CONV = "select conv_id as thread, turn as seq, role, text as content, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint as turn from conversations"
+
+
+def _turns(spark, d):
+    return session.turns(C.conversations(spark, d))
+
+
+@query(f"select thread, seq, role, turn from ({CONV})")
+def turn_numbering(spark, d):
+    return _turns(spark, d).select("thread", "seq", "role", "turn")
+
+
+@query(f"select thread, seq, sum(length(content) // 4 + 4) over (partition by thread order by seq desc rows unbounded preceding) <= 500 as in_tail from ({CONV})")
+def tail_token_budget(spark, d):
+    return session.tail_by_tokens(_turns(spark, d), 500).select("thread", "seq", "in_tail")
+
+
+@query(f"select thread, seq, dense_rank() over (partition by thread order by turn desc) <= 2 as in_tail from ({CONV})")
+def tail_last_turns(spark, d):
+    return session.tail_by_turns(_turns(spark, d), 2).select("thread", "seq", "in_tail")
+
+
+@query(
+    f"with t as (select *, length(content) + 20 as own from ({CONV})) select thread, seq, sum(own) over (partition by thread) >= 3000 and sum(own) over (partition by thread order by seq desc rows unbounded preceding) - own < 3000 as in_tail from t"
+)
+def raw_tail_split(spark, d):
+    return session.raw_tail(_turns(spark, d)).select("thread", "seq", "in_tail")
+
+
+@query(
+    f"with t as (select *, length(content) as n from ({CONV})), c as (select *, sum(n) over (partition by thread) as total, sum(n) over (partition by thread order by seq rows unbounded preceding) - n < 300 as h, "
+    "sum(n) over (partition by thread order by seq desc rows unbounded preceding) - n < 1000 as l from t), "
+    "g as (select *, bool_or(h and l) over (partition by thread) as meet, count(*) filter (where not h and not l) over (partition by thread) as gap from c) "
+    "select thread, seq, role, content from g where total <= 2000 or meet or gap = 0 or h or l union all "
+    "select thread, min(seq), 'user', '[... ' || count(*) || ' turns of iterative work omitted ...]' from g where not (total <= 2000 or meet or gap = 0) and not h and not l group by thread"
+)
+def truncate_middle(spark, d):
+    return session.truncate_middle(_turns(spark, d), 2000)
+
+
+_B = " or ".join("contains(c, '" + w.replace("'", "''") + "')" for w in X.BLOCK_FAILURE_WORDS)
+_G = " or ".join("contains(c, '" + w.replace("'", "''") + "')" for w in X.BLOCK_SUCCESS_WORDS)
+
+
+@query(
+    f"with t as (select *, lower(substr(content, 1, 500)) as c, (row_number() over (partition by thread order by seq) - 1) // 3 as block from ({CONV})) "
+    f"select thread, block, string_agg('[' || role || '] ' || substr(content, 1, 100), ' | ' order by seq) as summary, string_agg(seq::varchar, ',' order by seq) as refs, "
+    f"list_aggregate(list_transform(list_sort(list_distinct(list(turn))), lambda x: x::varchar), 'string_agg', ',') as turns, case when bool_or({_B}) and not bool_or({_G}) then 'failure' when bool_or({_G}) and not bool_or({_B}) then 'success' else 'neutral' end as polarity from t group by thread, block"
+)
+def compress_blocks(spark, d):
+    return session.compressed_blocks(_turns(spark, d), 3)
+
+
+@query(f"select thread, seq, turn from ({CONV}) where turn > 1")
+def uncompressed_entries(spark, d):
+    t = _turns(spark, d)
+    return session.uncompressed(t, t.where("turn <= 1").select("thread", "turn").distinct()).select("thread", "seq", "turn")
+
+
+@query(
+    f"with t as (select thread, seq, substr(sha256(thread || '|' || seq), 1, 12) as uuid, row_number() over (partition by thread order by seq) - 1 as k, count(*) over (partition by thread) as n from ({CONV})) "
+    f"select thread, seq, uuid, lag(uuid) over (partition by thread order by seq) as parent_uuid, strftime(make_timestamp(epoch_us(timestamp '{AS_OF}') - 3600000000 + k * greatest(1000000, 3600000000 // greatest(n - 1, 1))), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp from t"
+)
+def transcript_projection(spark, d):
+    return session.transcript(_turns(spark, d), as_of()).select("thread", "seq", "uuid", "parent_uuid", "timestamp")
+
+
+@query(
+    f"with t as (select *, sum(length(content) // 4 + 4) over (partition by thread order by seq desc rows unbounded preceding) <= 500 as tail from ({CONV})), "
+    "u as (select thread, 1 as layer, 0::bigint as pos, '[' || count(*) || ' earlier entries]' as content from t where not tail group by thread union all select thread, 2, seq, content from t where tail union all select distinct thread, 3, 0, 'What next?' from t) "
+    "select thread, layer, pos, content, length(content) // 4 + 4 as tokens from u"
+)
+def context_layers(spark, d):
+    return session.layers(_turns(spark, d), 500, "What next?")
+
+
+@query("select conv_id as thread, turn as seq, role from conversations where turn between 1 and 2 union all select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r = 1 and turn > 2")
+def log_lookup(spark, d):
+    c = C.conversations(spark, d)
+    last = c.groupBy("thread").agg(F.max_by(F.struct("seq", "role"), "seq").alias("r")).select("thread", "r.seq", "r.role").where("seq > 2")
+    return c.where("seq between 1 and 2").select("thread", "seq", "role").unionByName(last)
+
+
+# ---- mining ----------------------------------------------------------------------------------------------
+
+
+@query("select count(*) as total, count(l.doc_id) as labelled, count(*) - count(l.doc_id) as unlabelled from documents d left join (select distinct doc_id from labels) l using (doc_id)")
+def corpus_stats(spark, d):
+    docs = C.table(spark, d, "documents").select("doc_id")
+    return docs.join(C.table(spark, d, "labels").select("doc_id", F.lit(1).alias("l")).distinct(), "doc_id", "left").agg(F.count("*").alias("total"), F.count("l").alias("labelled"), (F.count("*") - F.count("l")).alias("unlabelled"))
+
+
+@query("select source as thread, count(*) as n from documents where trim(text) <> '' group by source")
+def project_counts(spark, d):
+    return C.documents(spark, d).where(F.trim("content") != "").groupBy("thread").agg(F.count("*").alias("n"))
+
+
+COVER = "select source as thread, count(*) as rows, count(l.doc_id) as chains, round(count(l.doc_id) / count(*), 6) as coverage from documents d left join (select distinct doc_id from labels) l using (doc_id) group by source"
+
+
+def _labelled(spark, d):
+    return C.table(spark, d, "labels").select(F.col("doc_id").alias("seq"))
+
+
+@query(COVER)
+def project_coverage(spark, d):
+    return mining.coverage(C.documents(spark, d), _labelled(spark, d))
+
+
+@query(f"select * from ({COVER}) order by coverage, thread limit 1")
+def focus_project(spark, d):
+    return mining.focus(mining.coverage(C.documents(spark, d), _labelled(spark, d)))
+
+
+@query("with n as (select l.quality as chain, d.source as thread, count(*) as n from labels l join documents d using (doc_id) group by all) select chain, arg_min(thread, (-n, thread)) as primary_thread from n group by chain")
+def primary_thread(spark, d):
+    rows = C.table(spark, d, "labels").select("doc_id", F.col("quality").alias("chain")).join(C.table(spark, d, "documents").select("doc_id", F.col("source").alias("thread")), "doc_id")
+    return mining.thread_mode(rows)
+
+
+def _dated(spark, d):
+    e = C.table(spark, d, "events").select((F.col("event_id") % 500).alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return e.join(C.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), "embedding"), "seq")
+
+
+WEEKS = "with j as (select date_trunc('week', ts)::date as week, vec_id, embedding from events e join embeddings v on e.event_id % 500 = v.vec_id), x as (select week, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from j), c as (select week, pos, avg(x) as x from x group by all)"
+
+
+@query(f"{WEEKS} select week, pos::int as pos, round(x, 6) as x from c")
+def week_centroids(spark, d):
+    c = V.centroids(_dated(spark, d).withColumn("week", mining.week(F.col("ts"))), ["week"], "embedding")
+    return c.select("week", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+LINKS = f"{WEEKS}, v as (select week, list(x order by pos) as c from c group by week), l as (select a.week as week_a, b.week as week_b, (b.week - a.week)::int as days, round({COSINE.format(a='a.c', b='b.c')}, 3) as similarity from v a join v b on b.week - a.week >= 14)"
+
+
+@query(f"{LINKS} select * from l where similarity >= 0.7")
+def week_links(spark, d):
+    return mining.week_links(_dated(spark, d))
+
+
+@query(
+    f"{LINKS}, w as (select * from l where similarity >= 0.7), r as (select distinct week, vec_id, embedding from j), "
+    f"p as (select week_a, week_b, a.vec_id as seq_a, b.vec_id as seq_b, round({COSINE.format(a='a.embedding', b='b.embedding')}, 6) as cos from w join r a on a.week = week_a join r b on b.week = week_b where a.vec_id <> b.vec_id), "
+    "k as (select *, row_number() over (partition by week_a, week_b order by cos desc, seq_a, seq_b) as place from p where cos > 0.3) select week_a, week_b, seq_a, seq_b, cos, place::int as place from k where place <= 3"
+)
+def temporal_links(spark, d):
+    dated = _dated(spark, d)
+    return mining.chunk_links(dated, mining.week_links(dated), 0.3)
+
+
+def _entries(spark, d):
+    return C.table(spark, d, "embeddings").join(C.table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("seq"), F.col("source").alias("thread"), F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 21600).alias("ts"), F.col("text").alias("content"), "embedding")
+
+
+_W = "list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> ''))"
+
+
+@query(
+    "with r as (select vec_id as seq, source as thread, vec_id * 0.25 as day, text as content, embedding from embeddings join documents on vec_id = doc_id), s as (select * from r where seq < 5), "
+    f"p as (select s.seq as seed_seq, r.seq, round({COSINE.format(a='r.embedding', b='s.embedding')}, 6) as cos, r.thread = s.thread as same, abs(r.day - s.day) as days, {_W.format(c='r.content')} as a, {_W.format(c='s.content')} as b from r, s), "
+    "n as (select *, row_number() over (partition by seed_seq order by cos desc, seq) as k from p), "
+    "c as (select seed_seq, seq, cos, round(0.5 * cos + case when same then 0.15 else 0 end + case when days < 1 then 0.2 when days < 7 then 0.1 else 0 end + 0.15 * (len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6) as score from n where k <= 24), "
+    "t as (select *, row_number() over (partition by seed_seq order by score desc, seq) as place from c) select seed_seq, seq, cos, score, place::int as place from t where place <= 8"
+)
+def cluster_members(spark, d):
+    rows = _entries(spark, d)
+    return mining.clusters(rows, rows.where("seq < 5"))
+
+
+@query(
+    "with f as (select d.doc_id as seq, source as thread, case when source = 'src3' then 0 when l.doc_id is null then 1 else 2 end as band from documents d left join (select distinct doc_id from labels) l using (doc_id)), "
+    "t as (select *, row_number() over (partition by band order by md5(seq::varchar), seq) as turn from f) "
+    "select seq, thread, band, (case band when 0 then 2.5 when 1 then 1.0 else 0.5 end)::double as priority, turn::int as turn, row_number() over (order by turn, band, seq)::int as place from t where turn <= 100 qualify place <= 100"
+)
+def seed_pool(spark, d):
+    return mining.seeds(C.documents(spark, d), _labelled(spark, d), "src3", 100)
+
+
+CHAINS = "select distinct l_orderkey as chain, l_partkey as member from lineitem"
+
+
+def _chains(spark, d):
+    return C.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chain"), F.col("l_partkey").alias("member"))
+
+
+@query(
+    f"with m as ({CHAINS}), n as (select chain, count(*) as n from m group by chain), o as (select x.chain as a, y.chain as b, count(*) as k from m x join m y on x.member = y.member and x.chain < y.chain group by all) "
+    "select a, b, round(k / (p.n + q.n - k), 6) as jaccard from o join n p on p.chain = a join n q on q.chain = b where k / (p.n + q.n - k) > 0.5"
+)
+def chain_dedup_pairs(spark, d):
+    return mining.overlapping_chains(_chains(spark, d))
+
+
+@query(f"with m as ({CHAINS}) select member, 'c' || chain as ref from m union select x.member, 'm' || y.member from m x join m y on x.chain = y.chain and x.member <> y.member")
+def xrefs(spark, d):
+    return mining.xrefs(_chains(spark, d))
+
+
+@query(
+    "with c as (select conv_id as chain, turn as pos, conv_id * 3 + turn as member from conversations), j as (select c.*, d.source, substr(d.text, 1, 40) as head from c left join documents d on d.doc_id = c.member) "
+    "select chain, string_agg(member || ':' || coalesce(source, '') || ':' || coalesce(head, ''), '|' order by pos) as members, count(distinct source) as threads from j group by chain"
+)
+def report_chains(spark, d):
+    chains = C.table(spark, d, "conversations").select(F.col("conv_id").alias("chain"), F.col("turn").alias("pos"), (F.col("conv_id") * 3 + F.col("turn")).alias("member"))
+    return mining.report(chains, C.documents(spark, d))
+
+
+KERNELS = "('k1', 'orphan', 7, 'c1'), ('k2', 'pattern', 0, 'c1'), ('k3', 'pattern', 9, 'c2'), ('k4', 'other', 1, 'c1'), ('k5', 'orphan', null, 'zz')"
+ORDER = "['orphan', 'correction', 'stress', 'pattern', 'growth', 'question']"
+
+
+@query(
+    f"with k(kernel, kind, importance, ref) as (values {KERNELS}), c(chain) as (values ('c1'), ('c2')) select kernel, kind, coalesce(nullif(importance, 0), 5) as importance, chain, "
+    f"row_number() over (order by list_position({ORDER}, kind), coalesce(nullif(importance, 0), 5) desc, kernel)::int as place from k left join c on chain = ref where list_contains({ORDER}, kind)"
+)
+def kernel_drilldown(spark, d):
+    from pyspark.sql import Window
+
+    order = F.array(*map(F.lit, ("orphan", "correction", "stress", "pattern", "growth", "question")))
+    k, c = values(spark, "kernel, kind, importance, ref", KERNELS), values(spark, "chain", "('c1'), ('c2')")
+    rows = k.join(c, k.ref == c.chain, "left").where(F.array_contains(order, F.col("kind"))).withColumn("importance", F.coalesce(F.nullif("importance", F.lit(0)), F.lit(5)))
+    return rows.select("kernel", "kind", "importance", "chain", F.row_number().over(Window.orderBy(F.array_position(order, F.col("kind")), F.desc("importance"), "kernel")).alias("place"))
+
+
+@query(
+    "with g as (select user_id, ts, coalesce((ts - lag(ts) over (partition by user_id order by ts) >= interval 15 minute)::int, 1) as new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) "
+    "select user_id::varchar as thread, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, k"
+)
+def idle_sessions(spark, d):
+    return log.sessions(C.events(spark, d)).select("thread", F.unix_micros("start").alias("start_us"), "n")

@@ -1,0 +1,89 @@
+"""Semantics that need small fixtures of their own."""
+
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from loomstone.functions import text as X
+from loomstone.operators import chunking, identify, mining, retrieval, session
+from loomstone.sources import corpus
+from loomstone.streaming import log
+
+
+def test_budget_is_a_prefix(spark):
+    rows = spark.createDataFrame([(i, "x" * n, 1.0 - i / 10) for i, n in enumerate((20, 20, 40, 0))], "seq long, content string, score double")
+    assert [r.running for r in retrieval.budget(rows, 15).orderBy("seq").collect()] == [5, 10]
+    assert [r.running for r in retrieval.budget(rows, 20).orderBy("seq").collect()] == [5, 10, 20, 20]
+
+
+def test_fusion_is_never_below_a_part(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 0.9)], "seq long, score double")
+    k = spark.createDataFrame([(1, 1.0), (3, 1.0)], "seq long, score double")
+    got = {r.seq: round(r.score, 6) for r in retrieval.fuse([(a, 1.0)], k).collect()}
+    assert got == {1: 0.9, 2: 0.9, 3: 0.3}
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "seq long, role string, content string, thread string, ts timestamp")
+    assert retrieval.keyword(none, "alpha beta").count() == 0
+    assert retrieval.keyword(none, "the of").count() == 0
+    assert identify.extracted(none).count() == 0
+    assert chunking.markdown_sections(none).count() == 0
+
+
+def test_decay(spark):
+    rows = spark.createDataFrame([("user", "plain", "2024-01-01 00:00:00"), ("user", "it failed", "2024-01-01 00:00:00"), ("user", "fixed it, it failed", "2024-01-01 00:00:00"), ("kernel", "x", None), ("user", "x", None)], "role string, content string, t string")
+    f = X.decay_factor(F.col("role"), F.col("content"), F.col("t").cast("timestamp"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    assert [round(r[0], 6) for r in rows.select(f).collect()] == [0.5, 0.7, 1.5, 2.0, 1.0]
+
+
+def test_identifiers_and_resolution(spark):
+    rows = spark.createDataFrame([(1, "see bridge/web_server.py and def load_all(self)"), (2, "class FooBar; snake_case_name is_ok")], "seq long, content string")
+    found = {r.identifier for r in identify.index(rows).collect()}
+    assert {"bridge/web_server.py", "load_all", "FooBar", "snake_case_name"} <= found and "is_ok" not in found
+    known = spark.createDataFrame([("session_spoof",), ("retrieval",)], "known string")
+    got = {(r.raw, r.known) for r in identify.resolved(["spoof_session", "retreival", "zzz"], known).collect()}
+    assert got == {("spoof_session", "session_spoof"), ("retreival", "retrieval")}
+
+
+def test_chunkers():
+    py = chunking.python_chunks("import os\n\nclass Foo:\n    def bar(self):\n        return 1234567890\n\ndef baz():\n    return 12345678901\n")
+    assert [(k, n) for k, n, _ in py] == [("file", "file"), ("class", "Foo"), ("function", "baz")]
+    go = chunking.go_chunks("type T struct {\n a int\n}\nfunc (t T) Go() {\n x()\n}\n")
+    assert [(k, n) for k, n, _ in go[1:]] == [("type", "T"), ("function", "Go")] and go[2][2].endswith("}")
+    js = chunking.js_chunks("export function a() {\n}\nconst b = (x) => {\n}\n")
+    assert [n for _, n, _ in js[1:]] == ["a", "b"]
+    java = chunking.java_chunks("public class A {\n  void go(int x) {\n    if (x > 0) { y(); }\n  }\n}\n")
+    assert [n for _, n, _ in java[1:]] == ["A", "go"]
+    assert chunking.json_chunks("{" + ", ".join(f'"k{i}": "{"v" * 900}"' for i in range(4)) + "}")[1][1] == "k0"
+
+
+def test_truncate_middle_keeps_short_threads(spark):
+    rows = spark.createDataFrame([("t", i, "user", "x" * 10, 1) for i in range(5)], "thread string, seq long, role string, content string, turn long")
+    assert session.truncate_middle(rows, 1000).count() == 5
+    cut = session.truncate_middle(rows, 20).orderBy("seq").collect()
+    assert [r.content[:5] for r in cut] == ["xxxxx", "[... ", "xxxxx"] and "3 turns" in cut[1].content
+
+
+def test_duplicate_chains_are_symmetric_in_order(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (3, 9)], "chain long, member long")
+    assert [tuple(r) for r in mining.overlapping_chains(rows).collect()] == [(1, 2, 0.75)]
+
+
+def test_session_files(spark, tmp_path):
+    lines = [{"type": "user", "message": {"role": "user", "content": "hi"}, "timestamp": "2024-01-01T00:00:00Z", "sessionId": "s", "uuid": "u"}]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines) + "\nnot json\n")
+    os.mkdir(tmp_path / "subagents")
+    (tmp_path / "subagents" / "b.jsonl").write_text(json.dumps(lines[0]) + "\n")
+    assert [r.content for r in corpus.read_sessions(spark, str(tmp_path)).collect()] == ["hi"]
+
+
+def test_incremental_read(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    args = (str(source), "turn int, content string", str(tmp_path / "out"), str(tmp_path / "check"))
+    (source / "1.jsonl").write_text('{"turn": 1, "content": "a"}\n')
+    assert log.incremental(spark, *args).count() == 1
+    (source / "2.jsonl").write_text('{"turn": 2, "content": "b"}\n')
+    assert sorted(r.turn for r in log.incremental(spark, *args).collect()) == [1, 2]
