@@ -94,10 +94,10 @@ class ZipDirectory:
         self.file, size = file, file.size()
         tail_at = max(0, size - (1 << 16) - 22 - 20)
         tail = file.read_at(size - tail_at, tail_at)
-        end = tail.rfind(b"PK\x05\x06")
+        end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
         # the signature may occur in the comment: the record's own comment length must reach the end
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-            end = tail.rfind(b"PK\x05\x06", 0, end)
+            end = tail.rfind(b"PK\x05\x06", 0, end + 3)
         if end < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<HII", tail, end + 10)
