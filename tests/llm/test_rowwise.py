@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.llm import html, language, packing, pii, quality, urls
 
@@ -140,7 +141,7 @@ def test_redacted_unites_spans():
 
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = language.identify(docs, language.train(docs)).where(language.held_out(docs.doc_id)).select("lang", "lang_pred").collect()
+    out = language.identify(docs, language.train(docs)).where(language.held_out(F.col("doc_id"))).select("lang", "lang_pred").collect()
     assert len(out) > 200 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.93
 
 
