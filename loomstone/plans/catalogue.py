@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.functions import vector as V
-from loomstone.operators import chunking, identify, mining, session
+from loomstone.engine import Retriever
+from loomstone.operators import chunking, extract, identify, mining, session
 from loomstone.operators import retrieval as R
+from loomstone.providers import HashEmbedder
 from loomstone.sources import corpus as C
 from loomstone.streaming import log
 
@@ -259,6 +261,46 @@ def action_blocks(spark, d):
     return session.actions(values(spark, "seq, content", f"(1, {ACT})"))
 
 
+BLOCK_ROWS = [
+    (1, [("text", "hello", None, {}), ("tool_use", None, "Read", {"file_path": "a.py"}), ("thinking", "x", None, {})]),
+    (2, [("tool_use", None, "Bash", {"command": "ls " * 60}), ("tool_use", None, "Edit", {}), ("tool_use", None, "Grep", {"file_path": "", "pattern": "p"})]),
+    (3, [("tool_result", "r", None, {}), ("tool_use", None, "Task", {}), ("text", "end", None, {})]),
+]
+
+
+def _block_sql() -> str:
+    rows = []
+    for seq, blocks in BLOCK_ROWS:
+        for pos, (kind, text, name, given) in enumerate(blocks):
+            cells = [str(seq), str(pos), *("null" if x is None else f"'{x}'" for x in (kind, text, name, *(given.get(k) for k in ("file_path", "pattern", "path", "command"))))]
+            rows.append(f"({', '.join(cells)})")
+    return ", ".join(rows)
+
+
+@query(
+    f"with b(seq, pos, kind, body, name, f, p, q, c) as (values {_block_sql()}), t as (select seq, pos, case when kind = 'text' then coalesce(body, '') when kind = 'tool_use' then case when name in ('Read', 'Glob', 'Grep') then '[' || name || ': ' || coalesce(nullif(f, ''), nullif(p, ''), q, '') || ']' "
+    "when name in ('Edit', 'Write') then '[' || name || ': ' || coalesce(f, '?') || ']' when name = 'Bash' then '[Bash: ' || substr(coalesce(c, ''), 1, 100) || ']' else '[' || coalesce(name, '?') || ']' end end as x from b) "
+    "select seq, string_agg(x, chr(10) order by pos) as content from t where x is not null group by seq"
+)
+def block_text(spark, d):
+    def lit(v):
+        return F.lit(v).cast("string")
+
+    def block(kind, text, name, given):
+        return F.struct(lit(kind).alias("type"), lit(text).alias("text"), lit(name).alias("name"), (F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else F.create_map().cast("map<string,string>")).alias("input"), lit(None).alias("content"))
+
+    rows = F.array(*[F.struct(F.lit(seq).alias("seq"), F.array(*[block(*b) for b in blocks]).alias("blocks")) for seq, blocks in BLOCK_ROWS])
+    return spark.range(1).select(F.inline(rows)).select("seq", extract.block_text(F.col("blocks")).alias("content"))
+
+
+@query()
+def retrieve(spark, d):
+    """The whole facade, with hashed vectors standing in for a model's."""
+    docs = C.documents(spark, d)
+    vectors = C.table(spark, d, "embeddings").withColumnRenamed("vec_id", "seq").select("seq", "embedding")
+    return Retriever(docs, vectors, embedder=HashEmbedder()).retrieve(QUERY, 6000, as_of()).select("seq", "score", "tokens", "running", "chunk")
+
+
 # ---- sessions --------------------------------------------------------------------------------------------
 
 CONV = "select conv_id as thread, turn as seq, role, text as content, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint as turn from conversations"

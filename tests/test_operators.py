@@ -87,3 +87,51 @@ def test_incremental_read(spark, tmp_path):
     assert log.incremental(spark, *args).count() == 1
     (source / "2.jsonl").write_text('{"turn": 2, "content": "b"}\n')
     assert sorted(r.turn for r in log.incremental(spark, *args).collect()) == [1, 2]
+
+
+def test_cleaner_keeps_broken_lines(spark, tmp_path):
+    from loomstone.sources import sinks
+
+    (tmp_path / "a.jsonl").write_text('{"role": "user", "content": "hi"}\n{"role": "assistant", "content": "[x]"}\nnot json\n{"role": "kernel", "content": ""}\n')
+    kept, counts = sinks.cleaned(spark, str(tmp_path))
+    assert sorted(r.value for r in kept.collect()) == ["not json", '{"role": "user", "content": "hi"}']
+    assert tuple(counts.first()) == (2, 2)
+
+
+def test_report_and_sinks(spark, tmp_path):
+    from loomstone.sources import sinks
+
+    rows = spark.createDataFrame([("pattern", 7, "b"), ("orphan", None, "a"), ("pattern", 0, "c"), ("other", 9, "d")], "kind string, importance int, content string")
+    assert sinks.markdown_report(rows) == "## orphan\n- a\n\n## pattern\n- b\n- c\n"
+    sinks.write_kernels(rows, str(tmp_path / "k"))
+    assert spark.read.parquet(str(tmp_path / "k")).where("importance is null").count() == 0
+    sinks.write_corpus(rows, str(tmp_path / "c"), "kind")
+    sinks.write_corpus(rows.where("kind = 'orphan'"), str(tmp_path / "c"), "kind")
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 4
+
+
+def test_json_turns_and_fences(spark):
+    from loomstone.operators import extract
+
+    rows = spark.createDataFrame([('[{"role": "user", "content": "x"}]',), ('so: [{"role": "a", "content": "y"}] ok',), ("none",), ('[{"content": "z"}]',)], "t string")
+    got = [r[0] for r in rows.select(extract.json_turns(F.col("t"))).collect()]
+    assert [g and g[0].content for g in got] == ["x", "y", None, None]
+    assert spark.range(1).select(extract.unfenced(F.lit("```json\n[1]\n```"))).first()[0] == "[1]"
+
+
+def test_retriever_cull_and_tail(spark):
+    from loomstone.engine import Retriever
+    from loomstone.providers import HashEmbedder, HeadAndTail
+
+    rows = [(i, "context", f"alpha beta item {i}", "t", None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "seq long, role string, content string, thread string, ts timestamp")
+    vectors = spark.createDataFrame([(i, HashEmbedder().embed([r[2]])[0]) for i, r in enumerate(rows)], "seq long, embedding array<double>")
+
+    class Two:
+        def keep(self, query, chunks):
+            return [1, 0, 99]
+
+    now = F.lit("2024-02-01").cast("timestamp")
+    assert Retriever(docs, vectors, embedder=HashEmbedder()).retrieve("alpha item", 1000, now, tail="earlier").count() == 12
+    assert Retriever(docs, vectors, embedder=HashEmbedder(), culler=Two()).retrieve("alpha item", 1000, now, cull=True).count() == 2
+    assert HeadAndTail().summarise("abcdefgh", 4) == "ab\n  [...]\ngh"
