@@ -169,7 +169,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     if not last:
         return fit([])
     cut = F.coalesce(*[F.when(F.col("l") == lang, F.xxhash64("k") <= F.lit(h)) for lang, h in last.items()], F.lit(False))
-    return fit([(r.t, r.l) for r in rows.where(cut).select("t", "l").collect()])
+    # repeated rows of a key count once, so the bound holds whatever repeats
+    return fit([(r.t, r.l) for r in rows.where(cut).groupBy("k", "l").agg(F.min("t").alias("t")).select("t", "l").collect()])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
