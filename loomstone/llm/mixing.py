@@ -144,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_DOMAIN) -
     named = labels.where("k is not null and quality is not null and toxic is not null").groupBy("k").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).select("k", domain_of(F.col("q"), F.col("t")).alias("domain")).where("domain is not null")
     counts = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("k"), "k"))).where(F.col("r") <= sample).select("k", "domain")
-    # at most sample * domains keys
-    rows = docs.join(F.broadcast(ranked), "k").select("domain", "text").mapInArrow(feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
+    # at most sample * domains keys; repeated rows of a key count once
+    rows = docs.join(F.broadcast(ranked), "k").groupBy("k", "domain").agg(F.min("text").alias("text")).select("domain", "text").mapInArrow(feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
     total = sum(counts.values()) or 1
     return fit(rows, {d: c / total for d, c in counts.items()})
 
