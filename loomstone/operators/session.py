@@ -125,3 +125,26 @@ def actions(df: DataFrame) -> DataFrame:
 
 def without_actions(content: Column) -> Column:
     return F.trim(F.regexp_replace(content, ACTION, ""))
+
+
+def rendered_blocks(blocks: DataFrame) -> DataFrame:
+    """Compressed blocks as messages: polarity, summary and up to six references."""
+    refs = F.split("refs", ",")
+    more = F.when(F.size(refs) > 6, F.format_string(" (+%d more)", F.size(refs) - 6)).otherwise("")
+    prefix = F.when(F.col("polarity") == "failure", "[FAILED APPROACH] ").when(F.col("polarity") == "success", "[CONFIRMED] ").otherwise("")
+    return blocks.select("thread", "block", F.concat(prefix, F.col("summary"), F.lit("\n[refs: "), F.array_join(F.slice(refs, 1, 6), ", "), more, F.lit("]")).alias("content"))
+
+
+def paragraphs(df: DataFrame, least: int = 2000) -> DataFrame:
+    """(seq, pos, content): lines gathered until they hold enough characters and a blank one comes."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, line: Column) -> Column:
+        lines, n = F.concat(acc["open"], F.array(line)), acc["n"] + F.length(line)
+        cut = (n >= least) & (F.trim(line) == "")
+        return F.struct(
+            F.when(cut, F.concat(acc["done"], F.array(lines))).otherwise(acc["done"]).alias("done"), F.when(cut, F.array().cast("array<string>")).otherwise(lines).alias("open"), F.when(cut, F.lit(0)).otherwise(n).alias("n")
+        )
+
+    groups = F.aggregate(F.split("content", "\n"), start, step, lambda a: F.filter(F.concat(a["done"], F.array(a["open"])), lambda g: F.size(g) > 0))
+    return df.select("seq", F.posexplode(groups).alias("pos", "g")).select("seq", "pos", F.array_join("g", "\n").alias("content"))

@@ -386,6 +386,42 @@ def log_lookup(spark, d):
     return c.where("seq between 1 and 2").select("thread", "seq", "role").unionByName(last)
 
 
+@query(
+    f"with t as (select *, lower(substr(content, 1, 500)) as c, (row_number() over (partition by thread order by seq) - 1) // 3 as block from ({CONV})), "
+    f"b as (select thread, block, string_agg('[' || role || '] ' || substr(content, 1, 100), ' | ' order by seq) as summary, list(seq::varchar order by seq) as refs, case when bool_or({_B}) and not bool_or({_G}) then '[FAILED APPROACH] ' when bool_or({_G}) and not bool_or({_B}) then '[CONFIRMED] ' else '' end as p from t group by thread, block) "
+    "select thread, block, p || summary || chr(10) || '[refs: ' || array_to_string(refs[1:6], ', ') || case when len(refs) > 6 then ' (+' || (len(refs) - 6) || ' more)' else '' end || ']' as content from b"
+)
+def history_messages(spark, d):
+    return session.rendered_blocks(session.compressed_blocks(_turns(spark, d), 3))
+
+
+PARAS = "(1, 'aaaa\n\nbb\ncccc\n\nd'), (2, 'x'), (3, '\n\n')"
+
+
+@query()
+def paragraph_groups(spark, d):
+    return session.paragraphs(values(spark, "seq, content", PARAS), 4)
+
+
+@query("select conv_id as thread, sum(length(text) // 4 + 4)::bigint as tokens, count(*) as messages, round(count(*) filter (where role = 'user') / nullif(count(*) filter (where role in ('user', 'assistant')), 0), 6) as user_share from conversations group by conv_id")
+def token_totals(spark, d):
+    c = C.conversations(spark, d)
+    share = F.count_if(F.col("role") == "user") / F.nullif(F.count_if(F.col("role").isin("user", "assistant")), F.lit(0))
+    return c.groupBy("thread").agg(F.sum(X.tokens(F.col("content")) + 4).alias("tokens"), F.count("*").alias("messages"), F.round(share, 6).alias("user_share"))
+
+
+@query("select user_id::varchar as thread, arg_min(event_id, (ts, event_id)) as first_seq, arg_max(event_id, (ts, event_id)) as last_seq from events group by user_id")
+def thread_bounds(spark, d):
+    key = F.struct("ts", "seq")
+    return C.events(spark, d).groupBy("thread").agg(F.min_by("seq", key).alias("first_seq"), F.max_by("seq", key).alias("last_seq"))
+
+
+@query("select conv_id * 3 + turn as member, count(*) as n from conversations where conv_id * 3 + turn in (select doc_id from documents) group by all")
+def known_members(spark, d):
+    members = C.table(spark, d, "conversations").select((F.col("conv_id") * 3 + F.col("turn")).alias("member"))
+    return members.join(C.documents(spark, d).select(F.col("seq").alias("member")), "member", "left_semi").groupBy("member").agg(F.count("*").alias("n"))
+
+
 # ---- mining ----------------------------------------------------------------------------------------------
 
 

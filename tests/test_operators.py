@@ -135,3 +135,40 @@ def test_retriever_cull_and_tail(spark):
     assert Retriever(docs, vectors, embedder=HashEmbedder()).retrieve("alpha item", 1000, now, tail="earlier").count() == 12
     assert Retriever(docs, vectors, embedder=HashEmbedder(), culler=Two()).retrieve("alpha item", 1000, now, cull=True).count() == 2
     assert HeadAndTail().summarise("abcdefgh", 4) == "ab\n  [...]\ngh"
+
+
+def test_integration_rounds(spark):
+    from loomstone.operators import integrate
+    from loomstone.providers import HashEmbedder
+
+    rows = [(i, "user", f"t{i % 2}", None, f"{'alpha' if i < 6 else 'gamma'} subject number{i}") for i in range(12)]
+    df = spark.createDataFrame([(*r, HashEmbedder().embed([r[4]])[0]) for r in rows], "seq long, role string, thread string, ts timestamp, content string, embedding array<double>")
+    assert integrate.integrate(df, limits=integrate.Limits(rounds=1)).chains == []
+    run = integrate.integrate(df, integrate.SharedWords(), integrate.Limits(rounds=2))
+    sets = [set(c["member_uids"]) for c in run.chains]
+    assert sets and all(len(a & b) <= 0.5 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert run.stats()["chains"] == len(sets) and integrate.converged([5, 2, 1, 0]) and not integrate.converged([0, 0])
+    assert integrate.chain_of(integrate.Found(("[1]", "zz"), " x "), [{"seq": 1, "thread": ""}], [], 0)["thread"] == "unknown"
+    assert integrate.chain_of(integrate.Found(("zz",), "x"), [{"seq": 1, "thread": ""}], [], 0) is None
+
+
+def test_index_and_files(spark, tmp_path):
+    from loomstone.operators import index
+
+    rows = spark.createDataFrame([(1, "user", "see tool.py", [1.0]), (2, "user", "none", None)], "seq long, role string, content string, embedding array<double>")
+    assert index.build(rows, str(tmp_path / "i")) == {"total": 2, "embedded": 1, "keyword_only": 1}
+    assert [r.identifier for r in index.load(spark, str(tmp_path / "i"), "identifiers").collect()] == ["tool.py"]
+    code = tmp_path / "code"
+    for name in ("a.py", "b.txt", "venv/c.py", ".hidden/d.py", "sub/e.GO"):
+        (code / name).parent.mkdir(parents=True, exist_ok=True)
+        (code / name).write_text("x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in index.read_codebase(spark, str(code)).collect()) == ["a.py", "e.GO"]
+    (code / "s1.jsonl").write_text("{}")
+    (code / "s2.jsonl").write_text("{}")
+    assert index.latest_session(spark, str(code), "s1").endswith("s1.jsonl")
+    assert index.changed(spark, str(code), "2000-01-01").count() >= 6
+
+
+def test_paragraphs(spark):
+    rows = spark.createDataFrame([(1, "aaaa\n\nbb\ncccc\n\nd"), (2, "x")], "seq long, content string")
+    assert [(r.seq, r.pos, r.content) for r in session.paragraphs(rows, 4).orderBy("seq", "pos").collect()] == [(1, 0, "aaaa\n"), (1, 1, "bb\ncccc\n"), (1, 2, "d"), (2, 0, "x")]
