@@ -68,7 +68,8 @@ class CachedTokenizer:
 
     def learn(self, split: list[tuple[str, list[str]]]) -> None:
         for kind, tokenizer in (("pre-tokens", self.plain), ("spaces", self.tokenizer)):
-            missing = list(set(chain.from_iterable(p for k, p in split if k == kind)) - self.cache.keys())
+            # not a difference with keys(): that walks the whole cache
+            missing = [w for w in set(chain.from_iterable(p for k, p in split if k == kind)) if w not in self.cache]
             for i in range(0, len(missing), 4096):
                 some = missing[i : i + 4096]
                 for word, enc in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
