@@ -87,6 +87,23 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+class Forest:
+    """Union-find over the rows of one block; the smaller number is the root."""
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of the undirected long edges (a, b); component is the smallest node.
 

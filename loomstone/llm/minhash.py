@@ -10,8 +10,9 @@ its coordinates are filled, so the darts per document do not depend on its lengt
 Texts of equal normalised words are first joined to one representative. Bands of five coordinates put
 representatives into buckets. Large buckets are cut into blocks, and pairs of blocks are worked off: first a
 maximum spanning forest by estimated similarity, whose pairs are checked exactly and joined to components; then
-every pair of a bucket that still lies in two components and is not estimated far below the threshold. So dense
-groups are never expanded into all pairs, and no link between components is lost.
+every pair of a bucket that still lies in two components and is not estimated far below the threshold is checked
+in its block, which sends on a spanning forest of what it finds. So groups are never expanded into all pairs, and
+no link between components is lost.
 
 Words are runs of letters, digits and underscores in lower case. Edge cases: a null or wordless text links with
 nothing; a text of one to four words is one shingle; null keys link with nothing and are kept; rows that repeat a
@@ -22,15 +23,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import connected_components, discard, grouped, stage
+from loomstone.llm.common import Forest, connected_components, discard, grouped, stage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,6 +40,7 @@ K = BANDS * ROWS
 #: Pairs estimated below this are not checked: 3.9 standard deviations under the threshold.
 LEAST_ESTIMATE = 0.66
 BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 22
 CHUNK_ELEMENTS = 1 << 17
 WORD = re.compile(r"\w+")
 FIRST_SLAB = -14
@@ -216,50 +218,81 @@ def forest(ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None) -> list[t
     return out
 
 
-def across(ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None, component: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of different components that may reach the threshold."""
-    least, out = LEAST_ESTIMATE * sig.shape[1], []
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Exact Jaccard similarity of two ascending sets reaches the threshold."""
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    common = int((a[at] == b).sum())
+    return common >= threshold * (len(a) + len(b) - common) - 1e-9
+
+
+def across(ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None, component: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components: every pair of the block that may reach the threshold and
+    is not joined yet is checked exactly."""
+    least, out, forest, first = LEAST_ESTIMATE * sig.shape[1], [], Forest(len(ids)), {}
+    for i, c in enumerate(component.tolist()):
+        forest.join(first.setdefault(c, i), i)
     for v in range(len(ids) - 1):
         ok = component[v + 1 :] != component[v]
         if split is not None:
             ok &= split[v + 1 :] != split[v]
         others = np.flatnonzero(ok) + v + 1
         if len(others):
-            hit = others[(sig[others] == sig[v]).sum(axis=1) >= least]
-            out += [(ids[v], ids[o]) for o in hit]
+            for o in others[(sig[others] == sig[v]).sum(axis=1) >= least].tolist():
+                if forest.find(o) != forest.find(v) and similar(sets[v], sets[o], threshold):
+                    forest.join(o, v)
+                    out.append((ids[v], ids[o]))
     return out
 
 
-def candidate_pairs(members: DataFrame, chosen: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Distinct (a, b), a < b, from the buckets: members (band, hash, n, id), chosen (id, sig)."""
-    rows = members.join(chosen, "id")
-    if components is not None:
-        rows = rows.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = rows.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "hash")
-        rows = rows.join(mixed, ["band", "hash"], "left_semi")
-    else:
-        rows = rows.withColumn("component", F.col("id"))
-    # a bucket of more than BLOCK members is cut into blocks, and each pair of blocks is a task's group
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    second = components is not None
+KEYS = ["band", "hash", "i", "j"]
+
+
+def dealt_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows (band, hash, id, ...) sorted by bucket and pair of blocks: a bucket of many members is cut into blocks,
+    and each row goes to the pairs that its own block is in."""
+    cut = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks", "n")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(width, *KEYS).sortWithinPartitions(*KEYS, "id")
+
+
+def pair_table(work: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray | None], list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The map that gives each group's rows, ids, signatures and block numbers to work, and its pairs on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["band", "hash", "i", "j"]):
+        for table in grouped(batches, KEYS):
             if table.num_rows < 2:
                 continue
             ids = table["id"].to_numpy()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(ids), -1)
             split = table["own"].to_numpy() if table["i"][0].as_py() != table["j"][0].as_py() else None
-            pairs = across(ids, sig, split, table["component"].to_numpy()) if second else forest(ids, sig, split)
-            if pairs:
+            if pairs := work(table, ids, sig, split):
                 p = np.sort(np.array(pairs, np.int64), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    keys = ["band", "hash", "i", "j"]
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select(*keys, "id", "own", "component", "sig").repartition(width, *keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def likely_pairs(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the buckets' forests: members (band, hash, n, id), chosen (id, sig)."""
+    rows = dealt_blocks(members.join(chosen, "id"), F.ceil(F.col("n") / BLOCK))
+    return rows.mapInArrow(pair_table(lambda table, ids, sig, split: forest(ids, sig, split)), "a long, b long").distinct()
+
+
+def bridges(members: DataFrame, chosen: DataFrame, sets: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components, enough to join all that any link joins; a block's sets have a bounded size."""
+    rows = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sized = rows.join(sets.select("id", F.size("set").alias("size")), "id")
+    mixed = sized.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("size").alias("elements")).where("lo < hi").select("band", "hash", "elements")
+    wide = rows.join(mixed, ["band", "hash"]).join(chosen, "id").join(sets, "id")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("elements") / BLOCK_ELEMENTS))
+
+    def work(table: pa.Table, ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None) -> list[tuple[int, int]]:
+        own = [x.values.to_numpy().view(np.uint32) for x in table["set"]]
+        return across(ids, sig, split, table["component"].to_numpy(), own, threshold)
+
+    return dealt_blocks(wide, blocks).mapInArrow(pair_table(work), "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -282,9 +315,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     wanted = stage(members.select("id").distinct(), "dart-wanted")
     chosen = stage(reps.select("id", "sig").join(wanted, "id", "left_semi"), "dart-chosen")
     sets = stage(shingle_sets(docs.join(wanted, "id", "left_semi"), counts).dropDuplicates(["id"]), "dart-sets")
-    first = stage(checked(candidate_pairs(members, chosen, None), sets, threshold), "dart-first")
+    first = stage(checked(likely_pairs(members, chosen), sets, threshold), "dart-first")
     components = stage(connected_components(first).withColumnRenamed("node", "id"), "dart-components")
-    second = stage(checked(candidate_pairs(members, chosen, components), sets, threshold), "dart-second")
+    second = stage(bridges(members, chosen, sets, components, threshold), "dart-second")
     discard(members, wanted, chosen, sets, components)
     same = sketched.where("same is not null").join(groups.select("same", F.col("id").alias("rep")), "same").where("id <> rep").groupBy("id").agg(F.min("rep").alias("rep"))
     links = first.unionByName(second)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import connected_components, discard, grouped, stage
+from loomstone.llm.common import Forest, connected_components, discard, grouped, stage
 
 THRESHOLD = 0.98
 RECALL = 0.9999
@@ -96,22 +96,6 @@ def cells_of(units: np.ndarray, plan: Plan) -> np.ndarray:
     return h.view(np.int64)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def link_group(units: np.ndarray, copies: np.ndarray, cells: np.ndarray, table: int, split: np.ndarray | None, plan: Plan, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row (weighted by copies) and a spanning forest of them, within one group."""
     n = len(units)
