@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a map turns into Python objects at once.
+PART_ROWS = 512
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all machines see; a temporary one only where none is set."""
@@ -46,6 +52,14 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy() -> None:
+    """Give memory that earlier work in this reused worker has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries keep and trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_columns_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: list[T.StructField]) -> DataFrame:
     """Append columns computed per Arrow batch; an input column of the same name gives way to the new one.
 
@@ -56,10 +70,15 @@ def with_columns_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatc
     schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         fn = make()
-        for batch in batches:
-            new = fn(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[new[f.name] for f in fields]], names=[*batch.schema.names, *[f.name for f in fields]])
+        for whole in batches:
+            # parts of a batch, so that few texts are Python strings at once
+            for at in range(0, whole.num_rows, PART_ROWS):
+                batch = whole.slice(at, PART_ROWS)
+                new = fn(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[new[f.name] for f in fields]], names=[*batch.schema.names, *[f.name for f in fields]])
+        tidy()
 
     return kept.mapInArrow(run, schema)
 

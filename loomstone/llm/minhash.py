@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import Forest, connected_components, discard, grouped, stage
+from loomstone.llm.common import Forest, connected_components, discard, grouped, stage, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,6 +160,7 @@ def sketch(docs: DataFrame, counts: bool = False) -> DataFrame:
     """(id, text) to (id, same, bands, sig); same is a digest of the normalised words, null where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

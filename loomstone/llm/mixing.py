@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import discard, stage, with_columns_arrow
+from loomstone.llm.common import PART_ROWS, discard, stage, tidy, with_columns_arrow
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.09, "toxic": 0.01}
@@ -167,9 +167,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         posterior = posteriors(shared.value)
         for batch in batches:
-            rows = [posterior(t) for t in batch.column(1).to_pylist()]
+            rows = [posterior(t) for at in range(0, batch.num_rows, PART_ROWS) for t in batch.column(1).slice(at, PART_ROWS).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["k", "tokens", "p"])
 
     return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tokens long, p array<double>")
