@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import tidy
+
 MAX_LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct pre-tokens that a worker remembers before it starts afresh.
-CACHE_SIZE = 300_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers.
+CACHE_SIZE = 150_000
 #: The vocabulary's pre-token expression, over Latin-1 (letters, digits, the rest).
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 LATIN_NUMBERS = "0-9²³¹¼½¾"
@@ -49,14 +52,23 @@ class CachedTokenizer:
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         # for parts that are pre-tokens in normal form already
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # two generations: a full one is kept until the next is full, and words met again move over
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.cache_size = cache_size
 
+    @cached_property
+    def tokenizer(self):
+        """The vocabulary's own pipeline, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def parts(self, text: str) -> tuple[str, list[str]]:
         if "<|" in text:
             return "whole", [text]
@@ -67,11 +79,17 @@ class CachedTokenizer:
         return "pre-tokens", LATIN_PRETOKENS.findall(text.lower())
 
     def learn(self, split: list[tuple[str, list[str]]]) -> None:
-        for kind, tokenizer in (("pre-tokens", self.plain), ("spaces", self.tokenizer)):
-            # not a difference with keys(): that walks the whole cache
-            missing = [w for w in set(chain.from_iterable(p for k, p in split if k == kind)) if w not in self.cache]
+        for kind in ("pre-tokens", "spaces"):
+            missing = []
+            for word in set(chain.from_iterable(p for k, p in split if k == kind)):
+                if word not in self.cache:
+                    if (known := self.before.get(word)) is None:
+                        missing.append(word)
+                    else:
+                        self.cache[word] = known
             for i in range(0, len(missing), 4096):
                 some = missing[i : i + 4096]
+                tokenizer = self.plain if kind == "pre-tokens" else self.tokenizer
                 for word, enc in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     self.cache[word] = np.asarray(enc.ids, "<u4").tobytes()
 
@@ -81,7 +99,7 @@ class CachedTokenizer:
         for at in range(0, len(texts), 64):
             split = [self.parts(t) for t in texts[at : at + 64]]
             if len(self.cache) > self.cache_size:
-                self.cache = {}
+                self.before, self.cache = self.cache, {}
             self.learn(split)
             get = self.cache.__getitem__
             for kind, p in split:
@@ -111,9 +129,12 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     key_type = rows.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         tokenizer = CachedTokenizer(where, cache_size)
         for batch in batches:
             yield from pieces(batch, tokenizer.encode, max_length, with_ids)
+        tokenizer.cache, tokenizer.before = {}, {}
+        tidy()
 
     schema = f"key {key_type.simpleString()}, {PIECE_SCHEMA}"
     out = rows.mapInArrow(run, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
@@ -123,10 +144,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
 
 def pieces(batch: pa.RecordBatch, encode: Callable[[list[str]], list[bytes]], max_length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """The pieces of a batch's documents, sent on in parts of bounded size."""
-    keys, texts, end = batch.column(0), batch.column(1).to_pylist(), np.asarray([END_ID], "<u4").tobytes()
+    keys, texts, end = batch.column(0), batch.column(1), np.asarray([END_ID], "<u4").tobytes()
     for at in range(0, len(texts), 64):
         source, start, length, crc, total, bucket, ids = [], [], [], [], [], [], []
-        for i, data in enumerate(encode(texts[at : at + 64]), at):
+        for i, data in enumerate(encode(texts.slice(at, 64).to_pylist()), at):
             data += end
             pos = 0
             for n in piece_lengths(len(data) // 4, max_length):
