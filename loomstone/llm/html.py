@@ -3,13 +3,16 @@
 The pages of a host are merged into one tree of style nodes: an element's tags and classes from the root. Each
 node has a distribution of contents and one of child sequences (its presentation) over the host's pages; its
 importance is the normalised entropy of the two. A branch whose importance is low looks and reads the same on
-page after page: it is removed from every page of the host. Elements that name themselves as something other
-than the article (menus, forms, adverts, scripts and so on) go first, and where a page marks its article only
-that is kept. What remains is decoded and cut into blocks.
+page after page: it is removed from every page of the host. A page's own marks are the prior of that importance:
+1 within a marked article or around it, 0 beside it, 0.5 where a page marks none; the prior counts as a few pages,
+so marks decide on a host with one page and the tree decides on others, within an article too. Elements that name
+themselves as something other than the article (menus, forms, adverts, scripts and so on) go by name: their words
+change from page to page like the article's, so entropy cannot tell them. What remains is decoded and cut into blocks.
 
 Edge cases. A null page counts as empty, and its text is empty. A page without a host is judged by its elements
-alone, as are hosts with few pages. Unclosed elements end with their parent or the page; a broken tag at the end
-is dropped. Repeated rows are extracted each; ties cannot occur. Extra columns are not read. No text is cut.
+alone. Pages of a host that say the same count once in its tree. Unclosed elements end with their parent or the page;
+a broken tag at the end is dropped. Repeated rows are extracted each; ties cannot occur. Extra columns are not read.
+No text is cut.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import stage
 from loomstone.llm.urls import url_parts
 
+#: A branch that is the same on that many pages goes even from a marked article; where none is marked, on a third of them.
 LEAST_PAGES = 10
 LOW_IMPORTANCE = 0.25
 PRESENTATION_WEIGHT = 0.1
@@ -64,14 +68,17 @@ class Node:
     article: bool
     children: int = 0
     content: int = 0
+    around: bool = False
 
 
 @dataclass
 class Page:
-    """Blocks in page order with the style paths above them, and (path, content, presentation) of each element."""
+    """Blocks in page order with the style paths above them and those beside a marked article; (path, content,
+    presentation, prior) of each element that isn't named as something else; a digest of the whole."""
 
-    blocks: list[tuple[str, bool, tuple[int, ...]]] = field(default_factory=list)
-    nodes: list[tuple[int, int, int]] = field(default_factory=list)
+    blocks: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = field(default_factory=list)
+    nodes: list[tuple[int, int, int, float]] = field(default_factory=list)
+    mark: int = 0
 
 
 def digest(*parts: object) -> int:
@@ -97,23 +104,28 @@ def names_other(tag: str, own: dict[str, str], in_article: bool) -> bool:
 def parse(source: str) -> Page:
     page, stack = Page(), [Node("", 0, False, False)]
     text: list[str] = []
+    blocks: list[tuple[str, int, list[Node]]] = []
+    nodes: list[Node] = []
 
     def flush() -> None:
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                top = stack[-1]
-                if not top.dropped:
-                    page.blocks.append((block, top.article, tuple(n.path for n in stack[1:])))
                 mark = digest(block)
+                if not stack[-1].dropped:
+                    blocks.append((block, mark, stack[1:]))
+                    if stack[-1].article:
+                        for n in stack:
+                            n.around = True
                 for n in stack:
                     n.content = (n.content * 31 + mark) & 0xFFFFFFFF
 
     def close() -> None:
         flush()
         n = stack.pop()
-        page.nodes.append((n.path, n.content, n.children))
+        if not n.dropped:
+            nodes.append(n)
 
     at, end = 0, len(source)
     while at < end:
@@ -164,45 +176,61 @@ def parse(source: str) -> Page:
             continue  # inline elements hold no blocks of their own
         if other:
             flush()
-        style = f"{tag}.{own.get('class', '')}"
+        style = f"{tag}.{own.get('class', '')}" + ("#main" if own.get("role") == "main" else "")
         top.children = digest(top.children, style)
         stack.append(Node(tag, digest(top.path, style), top.dropped or other, top.article or tag in ("article", "main") or own.get("role") == "main"))
     while len(stack) > 1:
         close()
     flush()
+    marked = stack[0].around
+    page.mark = stack[0].content << 31 ^ stack[0].children
+    page.nodes = [(n.path, n.content, n.children, 0.5 if not marked else float(n.article or n.around)) for n in nodes]
+    for block, mark, above in blocks:
+        beside = [n.path for n in above if not (n.article or n.around)] if marked else []
+        if marked and not beside and not (above and above[-1].article):  # bare text between branches
+            beside = [digest(above[-1].path if above else 0, "#text")]
+            page.nodes.append((beside[0], mark, 0, 0.0))
+        page.blocks.append((block, tuple(n.path for n in above), tuple(beside)))
     return page
 
 
-def main_text(page: Page, low: set[int]) -> str:
-    """The blocks of the article if the page marks one, else all, less removed branches outside a marked article."""
-    marked = any(article for _, article, _ in page.blocks)
-    return "\n".join(b for b, article, path in page.blocks if (article if marked else not (low and low.intersection(path))))
+def main_text(page: Page, low: set[int], high: set[int] = frozenset()) -> str:
+    """The blocks less removed branches; beside a marked article only branches that the tree found important stay."""
+    return "\n".join(b for b, path, beside in page.blocks if low.isdisjoint(path) and high.issuperset(beside))
 
 
 def importance_table(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
-    """(host, path) of the branches to remove. A host's contents are counted before they meet, so a hot host spreads."""
+    """(host, path, important) of the branches to remove, and of those beside a marked article to keep.
+
+    Both were met on two pages at least, so the table grows with templates. A host's contents are counted before
+    they meet, so a hot host spreads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # counted in the batch first: (host, path, kind, value) to number of pages
-            counts: dict[tuple, int] = {}
+            rows: set[tuple] = set()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen: dict[int, tuple[int, int]] = {}
-                for path, content, children in parse(source).nodes:
-                    a, b = seen.get(path, (0, 0))
-                    seen[path] = (a * 31 + content & 0xFFFFFFFF, b * 31 + children & 0xFFFFFFFF)
-                for path, both in seen.items():
-                    for kind, value in enumerate(both):
-                        counts[host, path, kind, value] = counts.get((host, path, kind, value), 0) + 1
-            cols = list(zip(*counts, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]], pa.array(list(counts.values()), pa.int64())], names=["host", "path", "kind", "value", "n"])
-
-    counted = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, path long, kind long, value long, n long")
-    values = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    entropy = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), (F.log(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")).alias("h"))
-    scored = entropy.where(F.col("pages") >= least_pages).withColumn("h", F.col("h") / F.log(F.col("pages").cast("double")))
+                page = parse(source)
+                seen: dict[int, tuple[int, int, float]] = {}
+                for path, content, children, prior in page.nodes:
+                    a, b, c = seen.get(path, (0, 0, 0.0))
+                    seen[path] = (a * 31 + content & 0xFFFFFFFF, b * 31 + children & 0xFFFFFFFF, max(c, prior))
+                rows.update((host, path, page.mark, *rest) for path, rest in seen.items())
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "mark", "content", "children", "prior"])
+
+    met = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, path long, mark long, content long, children long, prior double").distinct()
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("content", "children"))])
+    values = met.select("host", "path", "prior", F.inline(kinds)).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.sum("prior").alias("prior"), F.min("prior").alias("least"))
+    log_n = F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")
+    entropy = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), (F.log(F.sum("n").cast("double")) - log_n).alias("h"), (F.sum("prior") / F.sum("n")).alias("prior"), F.min("least").alias("least"))
+    scored = entropy.where("pages > 1").withColumn("h", F.col("h") / F.log(F.col("pages").cast("double")))
     weight = F.when(F.col("kind") == 1, PRESENTATION_WEIGHT).otherwise(1 - PRESENTATION_WEIGHT)
-    return scored.groupBy("host", "path").agg(F.sum(F.col("h") * weight).alias("importance")).where(F.col("importance") < low).select("host", "path")
+    held = (least_pages - 1) * low / (1 - low)  # pages that the prior counts as
+    node = scored.groupBy("host", "path").agg(F.sum(F.col("h") * weight).alias("h"), F.max("pages").alias("pages"), F.max("prior").alias("prior"), F.min("least").alias("least"))
+    importance = F.round((F.col("pages") * F.col("h") + held * F.col("prior")) / (F.col("pages") + held), 9)
+    return node.select("host", "path", (importance >= low).alias("important"), "least").where("not important or least = 0").select("host", "path", "important")
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
@@ -210,7 +238,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
     pages = url_parts(df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("html")), "url").drop("path")
     table = stage(importance_table(pages, least_pages, low), "style-tree")
     # one row a host: as many paths as its templates have, not its pages
-    removed = table.groupBy("host").agg(F.collect_set("path").alias("low"))
+    removed = table.groupBy("host").agg(*[F.collect_set(F.when(c, F.col("path"))).alias(k) for k, c in (("low", ~F.col("important")), ("high", F.col("important")))])
     if table.count() <= MAX_BROADCAST_ROWS:
         joined = pages.join(F.broadcast(removed), "host", "left")
     else:
@@ -219,12 +247,12 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts = [main_text(parse(s), set(x or ())) for s, x in zip(sources, lows, strict=True)]
+            lows, highs, sources = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            texts = [main_text(parse(s), set(x or ()), set(y or ())) for s, x, y in zip(sources, lows, highs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["key", "url", "text", "n_chars"])
 
     kind = pages.schema["key"].dataType.simpleString()
-    return joined.select("key", "url", "low", "html").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
+    return joined.select("key", "url", "low", "high", "html").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
 
 
 def op6_site_style_tree(spark, sf_dir: str) -> DataFrame:

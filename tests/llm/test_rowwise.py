@@ -205,3 +205,17 @@ def test_html_style_tree_removes_repeated_branches(spark):
     assert all(by[i].text == f"Body {i} is its own {'x' * i}".strip() for i in range(20))
     assert by[100].text == "" and by[100].n_chars == 0 and by[101].text == "Same words on every page"
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_style_tree_decides_within_and_beside_a_marked_article(spark):
+    inside = [(i, f"http://in.org/{i}", f"<article><p>Body {i} is its own</p><div class=x1>Get our news by mail</div></article>") for i in range(12)]
+    teaser = [(i, f"http://teaser.org/{i}", f"<article><p>See also {i}</p></article><div class=t><p>Long body {i}</p></div><div class=x2>Same everywhere</div>") for i in range(20, 23)]
+    small = [(i, f"http://small.org/{i}", f"<div class=top>Same words on every page</div><div class=text><p>Body {i}</p></div>") for i in range(30, 35)]
+    copies = [(40 + i, "http://copy.org/a", "<article><p>One page</p></article>") for i in range(15)]
+    lone = [(60, "http://lone.org/", "<article><p>Text</p></article>bare<div class=x3>beside</div>")]
+    df = spark.createDataFrame(inside + teaser + small + copies + lone, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(by[i] == f"Body {i} is its own" for i in range(12))
+    assert all(by[i] == f"See also {i}\nLong body {i}" for i in range(20, 23))
+    assert all(by[i] == f"Body {i}" for i in range(30, 35))
+    assert all(by[40 + i] == "One page" for i in range(15)) and by[60] == "Text"
