@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.functions import vector as V
 
+#: Vectors of a block; two blocks meet in one task as a matrix product.
+BLOCK = 1024
+
 
 def coverage(rows: DataFrame, chained: DataFrame) -> DataFrame:
     """(thread, rows, chains, coverage): share of a thread's entries that a chain holds; the least covered first."""
@@ -34,6 +39,62 @@ def seeds(rows: DataFrame, chained: DataFrame, focus_thread: str, k: int) -> Dat
     return ranked.withColumn("place", F.row_number().over(Window.orderBy("turn", "band", "seq"))).where(F.col("place") <= k)
 
 
+def nearest(left: DataFrame, right: DataFrame, links: DataFrame, k: int, least: float | None = None, per_right: bool = False, block: int = BLOCK) -> DataFrame:
+    """Exact top k pairs by (cosine, seq_a, seq_b) of blocks: those of the whole are among them.
+
+    left and right: group, seq, v; links: the (group_a, group_b) to compare, few rows. The k are of two blocks, or
+    with per_right of each right row. A pair is cut where it is made; vectors with gaps or of unequal length pair
+    with none, nor does, without per_right, a seq with itself.
+    """
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        whole = rows.where("v is not null and not exists(v, x -> x is null)").select("group", F.size("v").alias("dim"), "seq", V.as_doubles(F.col("v")).alias("v"))
+        n = whole.groupBy("group", "dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        return whole.join(F.broadcast(n), ["group", "dim"]).withColumn("own", F.pmod(F.xxhash64("seq"), "blocks")).drop("blocks"), n
+
+    (a, n_a), (b, n_b) = split(left), split(right)
+    others = lambda n, side: links.join(n.withColumnRenamed("group", side), side)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    keys = ["group_a", "group_b", "dim", "i", "j"]
+    a = a.withColumnRenamed("group", "group_a").join(F.broadcast(others(n_b, "group_b")), ["group_a", "dim"]).select("group_a", "group_b", "dim", F.col("own").alias("i"), each.alias("j"), "seq", "v")
+    b = b.withColumnRenamed("group", "group_b").join(F.broadcast(others(n_a, "group_a")), ["group_b", "dim"]).select("group_a", "group_b", "dim", each.alias("i"), F.col("own").alias("j"), "seq", "v")
+
+    def matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return t.column("seq").to_numpy(), np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+    def meet(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        at, bt = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cos = seq_a = seq_b = np.zeros(0)
+        if x.num_rows and y.num_rows:
+            (seq_a, va), (seq_b, vb) = matrix(x, key[2].as_py()), matrix(y, key[2].as_py())
+            cos = np.round(va @ vb.T, 6)
+            allowed = np.ones(cos.shape, bool) if per_right else seq_a[:, None] != seq_b[None, :]
+            if least is not None:
+                allowed &= cos > least
+            ranked = np.where(allowed, cos, -np.inf)
+            if per_right:
+                edge = -np.partition(-ranked, min(k, len(seq_a)) - 1, axis=0)[min(k, len(seq_a)) - 1]
+            else:
+                edge = -np.partition(-ranked, min(k, ranked.size) - 1, axis=None)[min(k, ranked.size) - 1]
+            at, bt = np.nonzero(allowed & (ranked >= edge))
+            group = bt if per_right else np.zeros_like(bt)
+            order = np.lexsort((seq_b[bt], seq_a[at], -cos[at, bt], group))
+            at, bt, group = at[order], bt[order], group[order]
+            first = np.searchsorted(group, group)
+            kept = np.arange(len(group)) - first < k
+            at, bt = at[kept], bt[kept]
+            cos, seq_a, seq_b = cos[at, bt], seq_a[at], seq_b[bt]
+        n = len(at)
+        cols = [pa.repeat(key[0], n), pa.repeat(key[1], n), pa.array(seq_a), pa.array(seq_b), pa.array(cos)]
+        return pa.table([c.cast(t) for c, t in zip(cols, [key[0].type, key[1].type, pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["group_a", "group_b", "seq_a", "seq_b", "cos"])
+
+    b = b.toDF(*b.columns)  # columns of its own where both sides are the same rows
+    kinds = [links.schema[g].dataType.simpleString() for g in ("group_a", "group_b")]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, f"group_a {kinds[0]}, group_b {kinds[1]}, seq_a long, seq_b long, cos double")
+
+
 def clusters(rows: DataFrame, seed_rows: DataFrame, near: int = 24, most: int = 8, least: int = 3) -> DataFrame:
     """Members of each seed's cluster, all seeds at once.
 
@@ -70,10 +131,9 @@ def week_links(dated: DataFrame, days: int = 14, least: float = 0.7) -> DataFram
 def chunk_links(dated: DataFrame, weeks: DataFrame, least: float = 0.5, k: int = 3) -> DataFrame:
     """The k most similar pairs of entries of each linked pair of weeks, a vector counted once in its week."""
     rows = dated.withColumn("week", week(F.col("ts"))).groupBy("week", "seq").agg(F.first("embedding").alias("v"))
-    a = rows.select(F.col("week").alias("week_a"), F.col("seq").alias("seq_a"), F.col("v").alias("va"))
-    b = rows.select(F.col("week").alias("week_b"), F.col("seq").alias("seq_b"), F.col("v").alias("vb"))
-    pairs = weeks.join(a, "week_a").join(b, "week_b").where("seq_a <> seq_b")
-    scored = pairs.select("week_a", "week_b", "seq_a", "seq_b", F.round(V.cosine(V.as_doubles(F.col("va")), V.as_doubles(F.col("vb"))), 6).alias("cos")).where(F.col("cos") > least)
+    side = rows.select(F.col("week").alias("group"), F.col("seq").cast("long").alias("seq"), "v")
+    links = weeks.select(F.col("week_a").alias("group_a"), F.col("week_b").alias("group_b"))
+    scored = nearest(side, side, links, k, least).select(F.col("group_a").alias("week_a"), F.col("group_b").alias("week_b"), "seq_a", "seq_b", "cos")
     w = Window.partitionBy("week_a", "week_b").orderBy(F.desc("cos"), "seq_a", "seq_b")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

@@ -172,3 +172,32 @@ def test_index_and_files(spark, tmp_path):
 def test_paragraphs(spark):
     rows = spark.createDataFrame([(1, "aaaa\n\nbb\ncccc\n\nd"), (2, "x")], "seq long, content string")
     assert [(r.seq, r.pos, r.content) for r in session.paragraphs(rows, 4).orderBy("seq", "pos").collect()] == [(1, 0, "aaaa\n"), (1, 1, "bb\ncccc\n"), (1, 2, "d"), (2, 0, "x")]
+
+
+def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
+    import datetime
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    made = []
+    apart = mining.nearest
+    monkeypatch.setattr(mining, "nearest", lambda *a, **b: made.append(apart(*a, **b, block=16)) or made[-1])
+    v = np.random.default_rng(1).normal(size=(120, 8)).round(1)
+    v[7] = 0
+    v[50:60] = v[3]  # ties
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, "t", day + datetime.timedelta(days=(i % 3) * 21), f"w{i % 5} x", v[i].tolist()) for i in range(120)] + [(200, "t", day, "w", None)]
+    df = spark.createDataFrame(rows, "seq long, thread string, ts timestamp, content string, embedding array<float>")
+    size = np.linalg.norm(v, axis=1)
+    cos = np.round(v @ v.T / np.where(size[:, None] * size == 0, 1, size[:, None] * size), 6)
+    weeks = df.select(mining.week(F.col("ts")).alias("week_a")).distinct().crossJoin(df.select(mining.week(F.col("ts")).alias("week_b")).distinct()).where("week_a < week_b")
+    got = sorted((r.week_a.isoformat(), r.week_b.isoformat(), r.place, r.seq_a, r.seq_b, round(r.cos, 5)) for r in mining.chunk_links(df, weeks, 0.3).collect())
+    want = []
+    monday = ["2024-01-01", "2024-01-22", "2024-02-12"]
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        best = sorted((-cos[i, j], i, j) for i in range(a, 120, 3) for j in range(b, 120, 3) if cos[i, j] > 0.3)[:3]
+        want += [(monday[a], monday[b], n + 1, i, j, round(-c, 5)) for n, (c, i, j) in enumerate(best)]
+    assert got == sorted(want)
+    # what leaves the blocks is cut there, never all pairs
+    assert made[0].count() < 3 * 40 * 40 / 4
