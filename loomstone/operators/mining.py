@@ -98,20 +98,25 @@ def nearest(left: DataFrame, right: DataFrame, links: DataFrame, k: int, least:
 def clusters(rows: DataFrame, seed_rows: DataFrame, near: int = 24, most: int = 8, least: int = 3) -> DataFrame:
     """Members of each seed's cluster, all seeds at once.
 
-    rows and seed_rows: seq, thread, ts, content, embedding. The seeds are a bounded pool, so every row meets each
-    of them once; the nearest are limited per seed before anything else is computed.
+    rows and seed_rows: seq, thread, ts, content, embedding. Blocks of seeds meet blocks of rows as vectors; texts
+    are fetched for the nearest of each seed only.
     """
     s = seed_rows.select(*[F.col(c).alias(f"seed_{c}") for c in ("seq", "thread", "ts", "content", "embedding")])
+    side = lambda df: df.select(F.lit(0).alias("group"), F.col("seq").cast("long").alias("seq"), F.col("embedding").alias("v"))
+    links = rows.sparkSession.range(1).select(F.lit(0).alias("group_a"), F.lit(0).alias("group_b"))
+    by_seed = Window.partitionBy("seed_seq")
+    found = nearest(side(rows), side(seed_rows), links, near, per_right=True).select(F.col("seq_b").alias("seed_seq"), F.col("seq_a").alias("seq"), "cos")
+    few = found.withColumn("n", F.row_number().over(by_seed.orderBy(F.desc("cos"), "seq"))).where(F.col("n") <= near).select("seed_seq", "seq").distinct()
     cos = F.round(V.cosine(V.as_doubles(F.col("embedding")), V.as_doubles(F.col("seed_embedding"))), 6)
-    pairs = rows.join(F.broadcast(s), on=F.lit(True)).withColumn("cos", cos)
-    nearest = pairs.withColumn("n", F.row_number().over(Window.partitionBy("seed_seq").orderBy(F.desc("cos"), "seq"))).where(F.col("n") <= near)
+    pairs = few.join(rows, "seq").join(s, "seed_seq").withColumn("cos", cos)
+    nearest_rows = pairs.withColumn("n", F.row_number().over(by_seed.orderBy(F.desc("cos"), "seq"))).where(F.col("n") <= near)
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     a, b = words(F.col("content")), words(F.col("seed_content"))
     union = F.size(F.array_union(a, b))
     overlap = F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
     days = F.abs(F.unix_micros("ts") - F.unix_micros("seed_ts")) / F.lit(86_400_000_000.0)
     score = 0.5 * F.col("cos") + F.when(F.col("thread") == F.col("seed_thread"), 0.15).otherwise(0.0) + F.when(days < 1, 0.2).when(days < 7, 0.1).otherwise(0.0) + 0.15 * overlap
-    scored = nearest.withColumn("score", F.round(score, 6)).withColumn("place", F.row_number().over(Window.partitionBy("seed_seq").orderBy(F.desc("score"), "seq"))).where(F.col("place") <= most)
+    scored = nearest_rows.withColumn("score", F.round(score, 6)).withColumn("place", F.row_number().over(Window.partitionBy("seed_seq").orderBy(F.desc("score"), "seq"))).where(F.col("place") <= most)
     return scored.withColumn("size", F.count("*").over(Window.partitionBy("seed_seq"))).where(F.col("size") >= least).select("seed_seq", "seq", "cos", "score", "place")
 
 

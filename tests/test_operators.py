@@ -199,5 +199,10 @@ def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
         best = sorted((-cos[i, j], i, j) for i in range(a, 120, 3) for j in range(b, 120, 3) if cos[i, j] > 0.3)[:3]
         want += [(monday[a], monday[b], n + 1, i, j, round(-c, 5)) for n, (c, i, j) in enumerate(best)]
     assert got == sorted(want)
+    found = mining.clusters(df, df.where("seq % 3 = 0"), near=5, most=5)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.seed_seq, set()).add(r.seq)
+    assert by == {q: {i for _, i in sorted((-cos[i, q], i) for i in range(120))[:5]} for q in range(0, 120, 3)}
     # what leaves the blocks is cut there, never all pairs
-    assert made[0].count() < 3 * 40 * 40 / 4
+    assert made[0].count() < 3 * 40 * 40 / 4 and made[1].count() < 120 * 40
