@@ -32,6 +32,9 @@ class Decomposition:
     keywords: tuple[str, ...] = ()
     identifiers: tuple[str, ...] = field(default_factory=tuple)
 
+#: Ranges of seq whose tokens are summed apart for a running sum.
+RANGES = 1000
+
 
 def top(df: DataFrame, k: int) -> DataFrame:
     return df.orderBy(F.desc("score"), "seq").limit(k)
@@ -146,9 +149,16 @@ def rendered(df: DataFrame) -> DataFrame:
 
 def static_budget(sources: DataFrame, most: int) -> DataFrame:
     """Whole sources in order while they fit; the first that does not is cut to the rest if more than 100 tokens remain."""
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    t = sources.withColumn("tokens", X.tokens(F.col("content"))).withColumn("running", F.sum("tokens").over(order)).withColumn("rest", F.lit(most) - (F.col("running") - F.col("tokens")))
-    whole = F.col("running") <= most
-    t = t.withColumn("over", F.sum((~whole).cast("int")).over(order))
-    kept = t.where(whole | ((F.col("over") == 1) & (F.col("rest") > 100)))
+    t = sources.withColumn("tokens", X.tokens(F.col("content")))
+    ends = t.agg(F.min("seq").cast("double").alias("low"), F.max("seq").cast("double").alias("high"))
+    share = F.floor((F.col("seq").cast("double") - F.col("low")) * RANGES / (F.col("high") - F.col("low") + 1))
+    t = t.crossJoin(F.broadcast(ends)).withColumn("range", F.coalesce(share, F.lit(-1))).drop("low", "high")
+    # sums of ranges meet in one window, rows only in that of their range; ranges behind the budget are not read on
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy("range").agg(F.sum("tokens").alias("n")).select("range", F.sum("n").over(before).alias("offset"))
+    reached = t.join(F.broadcast(sums.where(F.col("offset").isNull() | (F.col("offset") <= most))), "range")
+    own = F.sum("tokens").over(Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    t = reached.withColumn("running", own).withColumn("running", F.coalesce(F.col("running") + F.col("offset"), "running", "offset")).withColumn("rest", F.lit(most) - (F.col("running") - F.col("tokens")))
+    # only the first source that does not fit begins within the budget
+    kept = t.where((F.col("running") <= most) | (F.col("rest") > 100)).drop("range", "offset")
     return kept.withColumn("content", F.when(F.col("running") <= most, F.col("content")).otherwise(F.expr("substring(content, 1, cast(rest * 4 as int))")))

@@ -159,8 +159,7 @@ def temporal_decay(spark, d):
     "select seq, length(case when r <= 9000 then text else substr(text, 1, (rest * 4)::int) end)::bigint as chars from o where r <= 9000 or (k = 1 and rest > 100)"
 )
 def context_budget_static(spark, d):
-    first = C.documents(spark, d).orderBy("seq").limit(60)
-    return R.static_budget(first, 9000).select("seq", F.length("content").cast("long").alias("chars"))
+    return R.static_budget(C.documents(spark, d), 9000).select("seq", F.length("content").cast("long").alias("chars"))
 
 
 # ---- filters ---------------------------------------------------------------------------------------------
@@ -395,12 +394,9 @@ def history_messages(spark, d):
     return session.rendered_blocks(session.compressed_blocks(_turns(spark, d), 3))
 
 
-PARAS = "(1, 'aaaa\n\nbb\ncccc\n\nd'), (2, 'x'), (3, '\n\n')"
-
-
 @query()
 def paragraph_groups(spark, d):
-    return session.paragraphs(values(spark, "seq, content", PARAS), 4)
+    return session.paragraphs(C.documents(spark, d))
 
 
 @query("select conv_id as thread, sum(length(text) // 4 + 4)::bigint as tokens, count(*) as messages, round(count(*) filter (where role = 'user') / nullif(count(*) filter (where role in ('user', 'assistant')), 0), 6) as user_share from conversations group by conv_id")

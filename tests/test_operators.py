@@ -206,3 +206,22 @@ def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     assert by == {q: {i for _, i in sorted((-cos[i, q], i) for i in range(120))[:5]} for q in range(0, 120, 3)}
     # what leaves the blocks is cut there, never all pairs
     assert made[0].count() < 3 * 40 * 40 / 4 and made[1].count() < 120 * 40
+
+
+def test_static_budget_reads_behind_sixty_short_documents(spark, tmp_path):
+    from loomstone.plans import catalogue
+
+    texts = [(i, None if i in (100, 105) else "x" * (400 if i < 180 else 20_000), "en", "s", 0) for i in range(100, 300)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.seq, r.chars) for r in catalogue.QUERIES["context_budget_static"](spark, str(tmp_path)).collect())
+    want, running = [], 0
+    for i, text, *_ in texts:
+        n = len(text or "") // 4
+        if running + n <= 9000:
+            want.append((i, len(text) if text else None))
+        elif 9000 - running > 100:
+            want.append((i, (9000 - running) * 4))
+        running += n
+    assert got == want and len(got) > 60
+    paragraphs = catalogue.QUERIES["paragraph_groups"](spark, str(tmp_path))
+    assert paragraphs.select("seq").distinct().count() == 198
