@@ -106,6 +106,7 @@ SHAPES: list[tuple[str, re.Pattern]] = [
 ]
 FEATURES = ["bias", *(f"shape {n}" for n, _ in SHAPES), "luhn", *(f"cue {k}" for k in KINDS), *(f"base {k}" for k in KINDS)]
 AT = {f: i for i, f in enumerate(FEATURES)}
+#: Rounds of messages in training; texts get two more for each token of the longest (messages are damped), or until all settle.
 ROUNDS = 12
 
 
@@ -270,6 +271,7 @@ def trained(steps: int = 100, rate: float = 0.5, penalty: float = 2e-4) -> Weigh
 def find_all(texts: list[str | None], weights: Weights, least: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) if t else [] for t in texts]
+    deep = 0
     graph, where = Graph([], []), []  # where: (text, start, end, follows the token before)
     for n, t in enumerate(texts):
         if not t or not HIT.search(t):
@@ -281,15 +283,16 @@ def find_all(texts: list[str | None], weights: Weights, least: float = 0.5) -> l
                 c += 1
             kind = cover[c][2] if c < len(cover) and cover[c][0] < b else None
             before = t[max(0, a - 24) : a].rstrip().rpartition(" ")[2].lower().strip(":.,(#")
-            tokens.append(t[a : min(b, a + 256)])
+            tokens.append(t[a:b])
             near.append(a - last == 1)
             where.append((n, a, b, near[-1]))
             graph.features.append(token_features(tokens[-1], CUE_OF.get(before), kind))
             last = b
         link(tokens, first, graph.edges, near)
+        deep = max(deep, len(tokens))
     out = [(b, list(b)) for b in base]
     if where:
-        p, _ = marginals(graph.matrix(), np.array(graph.edges, dtype=int).reshape(-1, 3), weights)
+        p, _ = marginals(graph.matrix(), np.array(graph.edges, dtype=int).reshape(-1, 3), weights, 2 * deep + ROUNDS)
         best, sure = p.argmax(axis=1), p.max(axis=1)
         runs: list[list] = []
         for (n, a, b, near), label, q in zip(where, best.tolist(), sure.tolist(), strict=True):

@@ -219,3 +219,16 @@ def test_html_style_tree_decides_within_and_beside_a_marked_article(spark):
     assert all(by[i] == f"See also {i}\nLong body {i}" for i in range(20, 23))
     assert all(by[i] == f"Body {i}" for i in range(30, 35))
     assert all(by[40 + i] == "One page" for i in range(15)) and by[60] == "Text"
+
+
+def test_pii_field_sees_whole_tokens_and_distant_mentions(monkeypatch):
+    weights = pii.Weights(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((2, len(pii.LABELS), len(pii.LABELS))))
+    weights.node[pii.AT["cue phone"], pii.LABELS.index("phone")] = 9
+    weights.pair[1] = 14 * np.eye(len(pii.LABELS))
+    (base, spans), = pii.find_all(["phone 555000123" + " x 555000123" * 60], weights)
+    assert not base and len(spans) == 61
+    seen = []
+    own = pii.token_features
+    monkeypatch.setattr(pii, "token_features", lambda token, *a: seen.append(token) or own(token, *a))
+    pii.find_all([f"{'x' * 300}@b {'y' * 400}1"], weights)
+    assert [len(t) for t in seen] == [302, 401]
