@@ -20,9 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays, that of the smallest id, nulls last; repeated ids and null ids are rows of their own."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = minhash.near_duplicates(rows, "_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

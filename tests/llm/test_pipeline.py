@@ -23,3 +23,11 @@ def test_stages(spark):
             assert not any(pii.base_spans(r.text) for r in docs.collect())
     out = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, d), (7, d), (None, a), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (1, b), (None, c), (7, d), (None, None)], key=repr)
