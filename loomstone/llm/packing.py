@@ -10,14 +10,17 @@ pieces each. Extra columns are not read. A null key stays null.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cached_property
-from itertools import chain
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +29,17 @@ from loomstone.llm.common import tidy
 MAX_LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct pre-tokens in each of the two generations that a worker remembers.
-CACHE_SIZE = 150_000
-#: The vocabulary's pre-token expression, over Latin-1 (letters, digits, the rest).
+#: Distinct stretches between white space whose ids a worker remembers; beyond it those met least recently go.
+CACHE_SIZE = 400_000
+#: Bytes of text that are cut at once.
+PART_BYTES = 4 << 20
+#: The vocabulary's pre-token expression, over Latin-1 (letters, digits, the rest); letters need no rule.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 LATIN_NUMBERS = "0-9²³¹¼½¾"
-LATIN_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_LETTERS}{LATIN_NUMBERS}\t-\r \x85\xa0]+")
-SPACES = re.compile("[\t-\r ]+")
+LATIN_PARTS = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LATIN_NUMBERS}]|[^ {LATIN_LETTERS}{LATIN_NUMBERS}]+)"
+#: Stretches that go to the tokenizer one by one: long ones, those beyond Latin-1 or with its control characters and spaces.
+LONGEST_PLAIN = 400
+NOT_PLAIN = r"[^\x{21}-\x{7e}\x{a1}-\x{ff}]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,26 +48,97 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@dataclass(frozen=True)
+class Merges:
+    """The vocabulary's merges over symbols: ranks of symbol strings, and the vocabulary's id of each rank."""
+
+    ranks: dict[bytes, int]
+    ids: np.ndarray
+
+
+@lru_cache(maxsize=1)
+def plain_merges(path: str) -> Merges:
+    """Merges of plain pre-tokens, by the bytes they make instead of by pair.
+
+    Both give the same ids once tokens are left out that their own bytes do not merge to: while nothing reaches over
+    a stretch's ends, its pairs merge as if it stood alone, so no text can make such a token.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    letter = byte_letters()
+    inner, last = symbols()
+    made = {letter[b]: bytes([inner[b]]) for b in range(256) if inner[b]} | {letter[b] + "</w>": bytes([last[b]]) for b in range(256) if last[b]}
+    ranks, pairs = {}, {}
+    ids = []
+    for name, seq in made.items():
+        ranks[seq] = len(ids)
+        ids.append(vocabulary[name])
+    for rank, (x, y) in enumerate(merges):
+        if x in made and y in made:
+            seq = made[x] + made[y]
+            if seq in ranks:
+                raise ValueError(f"two merges make {x + y}")
+            pairs.setdefault((made[x], made[y]), rank)
+            made[x + y] = seq
+            # a token is kept if its own bytes merge to it
+            parts = [seq[i : i + 1] for i in range(len(seq))]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: pairs.get((parts[i], parts[i + 1]), len(merges)))
+                if (parts[best], parts[best + 1]) not in pairs:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            if len(parts) == 1:
+                ranks[seq] = len(ids)
+                ids.append(vocabulary[x + y])
+    return Merges(ranks, np.array(ids, "<u4"))
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of bytes within a pre-token and at its end, above the white space; 0 where there is none.
+
+    Digits are pre-tokens of their own, capitals lower-cased, and of the bytes after C2 and C3 only those of lower-case
+    letters and signs occur; so 222 symbols suffice.
+    """
+    inner, last = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    used = [b for b in range(0x21, 0x7F) if not chr(b).isupper()] + [0x97, *range(0x9F, 0xC0)]
+    number = 33
+    for b in [x for x in used if not 0x30 <= x <= 0x39] + [0xC2, 0xC3]:
+        inner[b], number = number, number + 1
+    for b in used:
+        last[b], number = number, number + 1
+    return inner, last
+
+
 class CachedTokenizer:
-    """Token ids as little-endian unsigned 32-bit bytes, pre-token by pre-token, with a bounded cache.
+    """Token ids as little-endian unsigned 32-bit bytes, stretch by stretch between white space, with a bounded cache.
 
-    The vocabulary drops white space and never merges across pre-tokens, so ids of the parts concatenate to
-    ids of the whole. Latin-1 texts are cut into pre-tokens here; others at ASCII white space only. Texts that
-    hold a special token's opening characters go to the tokenizer whole.
+    The vocabulary drops white space and never merges across it, so ids of the stretches concatenate to ids of the
+    whole. Texts are cut and distinct stretches found in Arrow; those of Latin-1 are cut into pre-tokens by one
+    regular expression, whose bytes become symbols and are merged. Texts that hold a special token's opening
+    characters go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE, merges: Merges | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import tiktoken
 
-        self.path = path
-        # for parts that are pre-tokens in normal form already
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # two generations: a full one is kept until the next is full, and words met again move over
-        self.cache: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.path, self.cache_size = path, cache_size
+        merges = merges or plain_merges(path)
+        self.rank_ids = merges.ids
+        self.merge = tiktoken.Encoding("plain", pat_str=r"\S+", mergeable_ranks=merges.ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.inner, self.last = symbols()
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths, self.met, self.turn = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     @cached_property
     def tokenizer(self):
@@ -69,44 +147,88 @@ class CachedTokenizer:
 
         return Tokenizer.from_file(self.path)
 
-    def parts(self, text: str) -> tuple[str, list[str]]:
-        if "<|" in text:
-            return "whole", [text]
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return "spaces", SPACES.split(text)
-        return "pre-tokens", LATIN_PRETOKENS.findall(text.lower())
-
-    def learn(self, split: list[tuple[str, list[str]]]) -> None:
-        for kind in ("pre-tokens", "spaces"):
-            missing = []
-            for word in set(chain.from_iterable(p for k, p in split if k == kind)):
-                if word not in self.cache:
-                    if (known := self.before.get(word)) is None:
-                        missing.append(word)
-                    else:
-                        self.cache[word] = known
-            for i in range(0, len(missing), 4096):
-                some = missing[i : i + 4096]
-                tokenizer = self.plain if kind == "pre-tokens" else self.tokenizer
-                for word, enc in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.asarray(enc.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        # slices keep the parts of few texts in memory at once
-        for at in range(0, len(texts), 64):
-            split = [self.parts(t) for t in texts[at : at + 64]]
-            if len(self.cache) > self.cache_size:
-                self.before, self.cache = self.cache, {}
-            self.learn(split)
-            get = self.cache.__getitem__
-            for kind, p in split:
-                out.append(np.asarray(self.tokenizer.encode(p[0], add_special_tokens=False).ids, "<u4").tobytes() if kind == "whole" else b"".join(map(get, p)))
+    def merged(self, plain: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of plain stretches."""
+        cut = pc.replace_substring_regex(pc.utf8_lower(plain), LATIN_PARTS, r" \1 ")
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(cut)], cut), "\n")[0].as_py().encode() + b"\n"
+        data = np.frombuffer(joined, np.uint8)
+        full = (data != 32) & (data != 10)
+        ends = np.flatnonzero(full[:-1] & ~full[1:])
+        out = np.where(full, self.inner[data], np.uint8(32))
+        out[ends] = self.last[data[ends]]
+        ranks = list(map(self.merge, out.tobytes().split()))
+        n = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        ids = self.rank_ids[np.fromiter(chain.from_iterable(ranks), np.int64, n.sum())]
+        stretch = np.cumsum(data == 10)[ends]
+        return ids, np.bincount(stretch, n, len(plain)).astype(np.int64)
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, lengths)."""
+        odd = pc.or_(pc.match_substring_regex(words, NOT_PLAIN), pc.greater(pc.binary_length(words), LONGEST_PLAIN))
+        where, lengths, at, ids = np.asarray(odd), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(0, "<u4")
+        if len(plain := words.filter(pc.invert(odd))):
+            ids, n = self.merged(plain)
+            lengths[~where], at[~where] = n, np.cumsum(n) - n
+        if rest := words.filter(odd).to_pylist():
+            own = [np.asarray(e.ids, "<u4") for i in range(0, len(rest), 2048) for e in self.tokenizer.encode_batch_fast(rest[i : i + 2048], add_special_tokens=False)]
+            n = np.array(list(map(len, own)))
+            lengths[where], at[where] = n, np.cumsum(n) - n + len(ids)
+            ids = np.concatenate([ids, *own])
+        return ids[ranges(at, lengths)], lengths
+
+    def remember(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        keep = np.arange(len(self.words))
+        if len(self.words) > self.cache_size:
+            # those of this turn stay in any case
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: max(self.cache_size // 2, (self.met == self.turn).sum())])
+        kept = self.lengths[keep]
+        self.ids = np.concatenate([self.ids[ranges(self.starts[keep], kept)], ids])
+        self.words = pa.concat_arrays([self.words.take(pa.array(keep)), words])
+        self.lengths = np.concatenate([kept, lengths])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.met = np.concatenate([self.met[keep], np.full(len(words), self.turn)])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        whole = np.asarray(pc.match_substring(texts, "<|"))
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts))
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        known = pc.index_in(words, self.words)
+        new = np.asarray(pc.is_null(known))
+        if new.any():
+            learnt = words.filter(pa.array(new))
+            self.turn += 1
+            self.met[known.drop_null().to_numpy()] = self.turn
+            self.remember(learnt, *self.learn(learnt))
+            known = pc.index_in(words, self.words)
+        places = known.to_numpy()
+        places = places[codes]
+        lengths = self.lengths[places]
+        ids = self.ids[ranges(self.starts[places], lengths)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()] * 4
+        out = [ids[a:b] for a, b in pairwise(ends.tolist())]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+#: A worker's tokenizers by path and cache size, kept for its next task.
+_TOKENIZERS: dict[tuple[str, int], CachedTokenizer] = {}
+
+
+def worker_tokenizer(path: str, cache_size: int, merges: Merges) -> CachedTokenizer:
+    if (path, cache_size) not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path, cache_size] = CachedTokenizer(path, cache_size, merges)
+    return _TOKENIZERS[path, cache_size]
+
+
 def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     """Whole sequences first, then the binary digits of the rest from the highest."""
     rest = n % max_length
@@ -127,13 +249,13 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     where = path or tokenizer_path(VOCABULARY)
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key_type = rows.schema["key"].dataType
+    merges = df.sparkSession.sparkContext.broadcast(plain_merges(where))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        tokenizer = CachedTokenizer(where, cache_size)
+        tokenizer = worker_tokenizer(where, cache_size, merges.value)
         for batch in batches:
             yield from pieces(batch, tokenizer.encode, max_length, with_ids)
-        tokenizer.cache, tokenizer.before = {}, {}
         tidy()
 
     schema = f"key {key_type.simpleString()}, {PIECE_SCHEMA}"
@@ -142,26 +264,40 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     return out.select(F.col("key").alias(key), *names)
 
 
-def pieces(batch: pa.RecordBatch, encode: Callable[[list[str]], list[bytes]], max_length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def parts_of(texts: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows (from, to) of bounded size; one text that is larger is a run of its own."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def pieces(batch: pa.RecordBatch, encode: Callable[[pa.Array], list[bytes]], max_length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """The pieces of a batch's documents, sent on in parts of bounded size."""
     keys, texts, end = batch.column(0), batch.column(1), np.asarray([END_ID], "<u4").tobytes()
-    for at in range(0, len(texts), 64):
+    for at, to in parts_of(texts):
         source, start, length, crc, total, bucket, ids = [], [], [], [], [], [], []
-        for i, data in enumerate(encode(texts.slice(at, 64).to_pylist()), at):
+        for i, data in enumerate(encode(texts.slice(at, to - at)), at):
             data += end
-            pos = 0
-            for n in piece_lengths(len(data) // 4, max_length):
+            n_all, pos = len(data) // 4, 0
+            for n in piece_lengths(n_all, max_length):
                 part = data[4 * pos : 4 * (pos + n)]
                 source.append(i)
                 start.append(pos)
                 length.append(n)
                 crc.append(zlib.crc32(part))
-                total.append(len(data) // 4)
+                total.append(n_all)
                 bucket.append(n.bit_length() - 1)
-                ids.append(part if with_ids else None)
+                if with_ids:
+                    ids.append(part)
                 pos += n
+        packed = pa.array(ids, pa.binary()) if with_ids else pa.nulls(len(source), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(source, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(bucket, pa.int32()), pa.array(ids, pa.binary())],
+            [keys.take(pa.array(source, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(bucket, pa.int32()), packed],
             names=["key", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"],
         )
 

@@ -90,6 +90,17 @@ def test_tokens_by_parts():
     assert tokenizer.encode(texts) == want
 
 
+def test_tokens_of_random_texts():
+    import random
+
+    rng, plain = random.Random(3), packing.CachedTokenizer(packing.tokenizer_path(packing.VOCABULARY), cache_size=300)
+    letters = "abcAB 'stredvml09²½ßéÉÿµºª×÷!?<|>\x00\x1c\x85\xa0\t\n\x0b\x7fİΣḉ日 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice("etaoinshrdluéèüñ") for _ in range(rng.randint(1, 14))) for _ in range(50)) for _ in range(200)] + ["ab" * 3000]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in plain.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 500) for x in plain.encode(texts[i : i + 500])] == want
+
+
 # ---- personal data ----
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
