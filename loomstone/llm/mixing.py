@@ -3,7 +3,7 @@
 A classifier fitted on the labelled table gives each document a posterior over the domains `good`, `low` and
 `toxic`. Every document gets a rate, its expected number of copies, such that the domains' expected token totals
 (rate * tokens * posterior) match the targets: least squares over nonnegative rates, with a small pull to rate 1,
-solved by projected gradient steps. A step needs the totals alone (one distributed aggregate, as many numbers as
+solved by projected gradient steps with momentum. A step needs the totals alone (one distributed aggregate, as many numbers as
 there are domains); rates are not stored between steps but replayed from the few steps' vectors, row by row.
 
 Targets are weights; the total is set so that the anchor domain keeps all its tokens and a headroom. Rates become
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import PART_ROWS, discard, stage, tidy, with_columns_arrow
+from loomstone.llm.common import PART_ROWS, arrow_map, discard, stage, tidy, with_columns_arrow
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.09, "toxic": 0.01}
@@ -41,7 +41,10 @@ LEAST_DOCUMENTS = 8
 NUMBERS = 7
 PULL = 1e-3
 STEP = 1.0
-MOST_STEPS = 40
+#: Steps after which a fit that has neither met its targets nor settled is an error.
+MOST_STEPS = 150
+#: Shares of all tokens: how near a domain must be to its target, and how little a step must still move rates.
+MET, SETTLED = 1e-4, 1e-4
 WORD = re.compile(r"\w+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -145,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_DOMAIN) -
     counts = {r.domain: r["count"] for r in named.groupBy("domain").count().collect()}
     ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("k"), "k"))).where(F.col("r") <= sample).select("k", "domain")
     # at most sample * domains keys; repeated rows of a key count once
-    rows = docs.join(F.broadcast(ranked), "k").groupBy("k", "domain").agg(F.min("text").alias("text")).select("domain", "text").mapInArrow(feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
+    rows = docs.join(F.broadcast(ranked), "k").groupBy("k", "domain").agg(F.min("text").alias("text")).select("domain", "text")
+    rows = arrow_map(rows, feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
     total = sum(counts.values()) or 1
     return fit(rows, {d: c / total for d, c in counts.items()})
 
@@ -173,17 +177,30 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             rows = [posterior(t) for at in range(0, batch.num_rows, PART_ROWS) for t in batch.column(1).slice(at, PART_ROWS).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["k", "tokens", "p"])
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tokens long, p array<double>")
+    return arrow_map(docs, run, f"k {docs.schema['k'].dataType.simpleString()}, tokens long, p array<double>")
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """A document's rate after the steps: rate <- max(0, rate - STEP * (p . v + PULL * (rate - 1)))."""
+def stepped(z: Column, v: Callable[[int], Column]) -> Column:
+    """A projected gradient step from z: max(0, z - STEP * (p . v + PULL * (z - 1)))."""
+    dot = sum((F.get("p", F.lit(k)) * v(k) for k in range(1, len(DOMAINS))), F.get("p", F.lit(0)) * v(0))
+    return F.greatest(F.lit(0.0), z - F.lit(STEP) * (dot + F.lit(PULL) * (z - 1.0)))
+
+
+def state_of(steps: list[list[float]]) -> Column:
+    """(r, z) after the steps: a document's rate, and the point that momentum carries on to. A step is v and its momentum."""
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("z"))
     if not steps:
-        return F.lit(1.0)
-    start = F.lit(1.0)
-    vs = F.array(*[F.array(*map(F.lit, v)) for v in steps])
-    dot = lambda v: sum((F.get("p", F.lit(k)) * F.get(v, F.lit(k)) for k in range(1, len(DOMAINS))), F.get("p", F.lit(0)) * F.get(v, F.lit(0)))
-    return F.aggregate(vs, start, lambda r, v: F.greatest(F.lit(0.0), r - F.lit(STEP) * (dot(v) + F.lit(PULL) * (r - 1.0))))
+        return start
+
+    def one(s: Column, v: Column) -> Column:
+        r = stepped(s["z"], lambda k: F.get(v, F.lit(k)))
+        return F.struct(r.alias("r"), (r + F.get(v, F.lit(len(DOMAINS))) * (r - s["r"])).alias("z"))
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, v)) for v in steps]), start, one)
+
+
+def rate_of(steps: list[list[float]]) -> Column:
+    return state_of(steps)["r"]
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], anchor: str, headroom: float) -> list[list[float]]:
@@ -203,16 +220,26 @@ def fit_rates(table: DataFrame, targets: dict[str, float], anchor: str, headroom
     a = DOMAINS.index(anchor)
     wanted = share * headroom * natural[a] / share[a]
     steps: list[list[float]] = []
-    now, best = natural, np.inf
+    now = ahead = natural  # totals of the rates, and of the points ahead of them
+    t = 1.0
     for _ in range(MOST_STEPS):
-        off = now - wanted
-        if np.abs(off).max() < 1e-6 or np.abs(off).max() > best * 0.999 and len(steps) > 12:
-            break
-        best = min(best, np.abs(off).max())
-        steps.append((inverse @ off).tolist())
-        got = table.select("tokens", "p", rate_of(steps).alias("rate")).agg(*[F.sum(weight * p[i] * F.col("rate")).alias(f"m{i}") for i in range(n)]).first()
-        now = np.array([got[f"m{i}"] for i in range(n)]) / moments.total
-    return steps
+        if np.abs(now - wanted).max() < MET:
+            return steps
+        v = (inverse @ (ahead - wanted)).tolist()
+        s, new = F.col("s"), F.col("new")
+        rows = table.select("tokens", "p", state_of(steps).alias("s")).withColumn("new", stepped(s["z"], lambda k: F.lit(v[k])))  # noqa: B023
+        sums = [F.sum(weight * p[i] * new).alias(f"m{i}") for i in range(n)]
+        got = rows.agg(*sums, F.sum(weight * F.abs(new - s["z"])).alias("moved"), F.sum(weight * (new - s["r"]) * (s["z"] - new)).alias("back")).first()
+        before, now = now, np.array([got[f"m{i}"] for i in range(n)]) / moments.total
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        # momentum starts anew where it points back
+        momentum, t = (0.0, 1.0) if got.back > 0 else ((t - 1) / after, after)
+        ahead = now + momentum * (now - before)
+        steps.append([*v, momentum])
+        # rates that no step moves any more are the least squares, met targets or not
+        if got.moved / moments.total < SETTLED:
+            return steps
+    raise RuntimeError(f"rates not settled after {MOST_STEPS} steps: off by {np.abs(now - wanted).max():.2g} of the tokens")
 
 
 @dataclass
@@ -250,14 +277,15 @@ def mixed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     fitted = fit_mix(docs, labels, key, text, **how)
     discard(fitted.table)
     shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
-    at = [c for c in docs.columns if c != "p"].index(text)
+    # the row as one column, so that none of its names can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.col(text).alias("text"))
 
     def make() -> Callable[[pa.RecordBatch], dict[str, pa.Array]]:
         posterior = posteriors(shared.value)
-        return lambda batch: {"p": pa.array([posterior(t)[1] for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))}
+        return lambda batch: {"p": pa.array([posterior(t)[1] for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))}
 
-    out = with_copies(with_columns_arrow(docs, make, [T.StructField("p", T.ArrayType(T.DoubleType()))]), key, fitted.steps)
-    return out.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    out = with_copies(with_columns_arrow(rows, make, [T.StructField("p", T.ArrayType(T.DoubleType()))]), "k", fitted.steps)
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).select("row.*")
 
 
 def op8_soft_mixing(spark, sf_dir: str) -> DataFrame:
