@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Marks around a word that do not belong to it.
+MARKS = ".,;:!?\"()"
 #: Frequent function words of the four corpus languages.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "on", "with", "as", "be", "by", "are", "this", "from", "or", "an", "at", "not"],
@@ -88,7 +90,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "n_bullet_lines": F.size(F.filter("__l", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
-            "n_stop_words": F.size(F.array_intersect("__w", stop)).cast("long"),
+            "n_stop_words": F.size(F.array_intersect(F.transform("__w", lambda w: F.btrim(F.lower(w), F.lit(MARKS))), stop)).cast("long"),
         }
     )
     judged = counted.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
@@ -99,8 +101,8 @@ def repeated_words(df: DataFrame) -> DataFrame:
     """Add n_repeat_words: how many words of __w lie in three-word windows found at least twice.
 
     Each window becomes one long: a hash in the high bits, its position in as few low bits as the row needs.
-    A primitive sort brings equal windows together; neighbours with one hash are compared word by word, so no
-    false match counts. The sorted starts of the matches cover three words each, less what the next one
+    A primitive sort brings equal windows together; neighbours with one hash are compared word by word, and a row
+    where two of them differ is sorted by the windows themselves, so no match is false or missed. The sorted starts of the matches cover three words each, less what the next one
     covers. O(n log n) in the row, whatever the text repeats.
     """
     hashed = df.withColumns({"__h": F.expr("transform(__w, w -> xxhash64(w))"), "__b": F.expr("length(bin(size(__w)))"), "__k": F.expr("shiftleft(-1L, length(bin(size(__w))))")})
@@ -114,12 +116,12 @@ def repeated_words(df: DataFrame) -> DataFrame:
         F.expr("""array_compact(zip_with(__p, slice(__p, 2, greatest(size(__p) - 1, 0)), (x, y) ->
             if(shiftright(x ^ y, __b) = 0, struct(cast(x & ~__k as int) as i, cast(y & ~__k as int) as j), null)))"""),
     )
-    starts = met.withColumn(
-        "__s",
-        F.expr("""sort_array(array_distinct(flatten(transform(
-            filter(__m, m -> get(__w, m.i) = get(__w, m.j) and get(__w, m.i + 1) = get(__w, m.j + 1) and get(__w, m.i + 2) = get(__w, m.j + 2)),
-            m -> array(m.i, m.j)))))"""),
-    )
+    equal = "get(__w, m.i) = get(__w, m.j) and get(__w, m.i + 1) = get(__w, m.j + 1) and get(__w, m.i + 2) = get(__w, m.j + 2)"
+    # neighbours of one hash that differ: equal windows may lie apart there, so such a row is sorted by its words
+    words = """transform(slice(__w, 1, greatest(size(__w) - 2, 0)), (x, i) -> struct(concat_ws(' ', x, get(__w, i + 1), get(__w, i + 2)) as g, cast(i as int) as i))"""
+    exact = f"get(transform(array(sort_array({words})), a -> array_compact(zip_with(a, slice(a, 2, greatest(size(a) - 1, 0)), (x, y) -> if(x.g = y.g, struct(x.i as i, y.i as j), null)))), 0)"
+    checked = met.withColumn("__m", F.expr(f"case when exists(__m, m -> not ({equal})) then {exact} else __m end"))
+    starts = checked.withColumn("__s", F.expr("sort_array(array_distinct(flatten(transform(__m, m -> array(m.i, m.j)))))"))
     return starts.withColumn(
         "n_repeat_words",
         F.expr("aggregate(__s, named_struct('last', -3, 'n', 0L), (a, i) -> named_struct('last', i, 'n', a.n + least(3, i - a.last)), a -> a.n)"),

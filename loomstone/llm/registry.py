@@ -42,7 +42,7 @@ r as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1
 n as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from r) group by doc_id),
 c as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
   coalesce(n.n, 0)::bigint as n_repeat_words, len(l) as n_lines, len(list_filter(l, lambda x: substr(ltrim(x), 1, 1) in ('-', '*', '•'))) as n_bullet, len(list_filter(l, lambda x: ends_with(rtrim(x), '...') or ends_with(rtrim(x), '…'))) as n_ellipsis,
-  len(list_intersect(w, [{STOP}])) as n_stop from w left join n on n.doc_id = w.doc_id),
+  len(list_intersect(list_transform(w, lambda x: trim(lower(x), '{quality.MARKS}')), [{STOP}])) as n_stop from w left join n on n.doc_id = w.doc_id),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {RULES} as kept from b
 """
