@@ -1,6 +1,6 @@
 """Near-duplicate documents by DartMinHash signatures, banded joining and exact checks.
 
-A document is a weighted set of five-word shingles (weight 1 each, or the count). Every shingle throws darts:
+A document is a weighted set of five-word shingles (weight: the count, or 1 each). Every shingle throws darts:
 points of a random process in the plane of weight and rank, the same wherever the shingle occurs, cut into
 dyadic cells so that only cells under the shingle's weight and below the rank needed are made. A dart has one of
 k coordinates; each coordinate keeps its earliest dart. Two sets agree in a coordinate with the probability of
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import Forest, connected_components, discard, grouped, stage, tidy
+from loomstone.llm.common import Forest, arrow_map, connected_components, discard, grouped, stage, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -174,11 +174,11 @@ def sketch(docs: DataFrame, counts: bool = False) -> DataFrame:
                     cols[1][i], cols[2][i] = bands[r], small[r].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.binary())], names=["id", "same", "bands", "sig"])
 
-    return docs.mapInArrow(run, "id long, same string, bands array<long>, sig binary")
+    return arrow_map(docs, run, "id long, same string, bands array<long>, sig binary")
 
 
 def shingle_sets(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """(id, text) to (id, set): distinct shingles as 32-bit hashes; with counts, each occurrence is its own element."""
+    """(id, text) to (id, set): distinct shingles as 64-bit hashes; with counts, each occurrence is its own element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +189,10 @@ def shingle_sets(docs: DataFrame, counts: bool = False) -> DataFrame:
                     if counts and len(h):
                         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
                         h = mix(h + (np.arange(len(h)) - np.repeat(starts, np.diff([*starts, len(h)]))).astype(np.uint64))
-                    sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["id", "set"])
+                    sets.append(np.sort(np.unique(h).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set array<int>")
+    return arrow_map(docs, run, "id long, set array<long>")
 
 
 def forest(ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None) -> list[tuple[int, int]]:
@@ -278,7 +278,7 @@ def pair_table(work: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray | No
 def likely_pairs(members: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of the buckets' forests: members (band, hash, n, id), chosen (id, sig)."""
     rows = dealt_blocks(members.join(chosen, "id"), F.ceil(F.col("n") / BLOCK))
-    return rows.mapInArrow(pair_table(lambda table, ids, sig, split: forest(ids, sig, split)), "a long, b long").distinct()
+    return arrow_map(rows, pair_table(lambda table, ids, sig, split: forest(ids, sig, split)), "a long, b long").distinct()
 
 
 def bridges(members: DataFrame, chosen: DataFrame, sets: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -290,10 +290,10 @@ def bridges(members: DataFrame, chosen: DataFrame, sets: DataFrame, components:
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("elements") / BLOCK_ELEMENTS))
 
     def work(table: pa.Table, ids: np.ndarray, sig: np.ndarray, split: np.ndarray | None) -> list[tuple[int, int]]:
-        own = [x.values.to_numpy().view(np.uint32) for x in table["set"]]
+        own = [x.values.to_numpy() for x in table["set"]]
         return across(ids, sig, split, table["component"].to_numpy(), own, threshold)
 
-    return dealt_blocks(wide, blocks).mapInArrow(pair_table(work), "a long, b long").distinct()
+    return arrow_map(dealt_blocks(wide, blocks), pair_table(work), "a long, b long").distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -303,8 +303,11 @@ def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("common", common).where(F.col("common") >= threshold * (F.size("set_a") + F.size("set_b") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
-    """(key, component_id, kept), a row for each distinct non-null key: kept where the key is its component's smallest."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, counts: bool = True) -> DataFrame:
+    """(key, component_id, kept), a row for each distinct non-null key: kept where the key is its component's smallest.
+
+    A shingle weighs as often as it occurs, and similarity is the weighted Jaccard similarity; counts=False takes sets.
+    """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = stage(sketch(docs, counts), "dart-sketch")
     # one representative for texts of equal words; partial aggregation takes hot groups
