@@ -16,12 +16,22 @@ from pyspark.sql import types as T
 
 #: Rows that a map turns into Python objects at once.
 PART_ROWS = 512
+#: Bytes of an Arrow batch between the JVM and a worker, and of a staged table's row groups.
+BATCH_BYTES = 4 << 20
+ROW_GROUP_BYTES = 32 << 20
+
+
+#: Paths of the tables that were staged and not deleted yet.
+STAGED: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; a temporary one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all machines see; unset, a temporary one on a single machine only."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = getattr(shared_root, "own", None) or tempfile.mkdtemp(prefix="loomstone-")
         shared_root.own = root
         root = f"file://{root}"
@@ -36,20 +46,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomstone_path = path
+    STAGED.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in STAGED:
+        STAGED.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:
-        path = getattr(table, "_loomstone_path", None)
-        if path:
-            spark = table.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(table, "_loomstone_path", None):
+            delete(table.sparkSession, path)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was staged from that place of STAGED on, once no result that reads it is needed any more."""
+    for path in STAGED[since:]:
+        if path != getattr(keep, "_loomstone_path", None):
+            delete(spark, path)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, so that long texts do not add up in a worker's memory."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != f"{BATCH_BYTES}b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
 
 
 def tidy() -> None:
@@ -80,7 +110,7 @@ def with_columns_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[new[f.name] for f in fields]], names=[*batch.schema.names, *[f.name for f in fields]])
         tidy()
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import stage
+from loomstone.llm.common import arrow_map, stage
 from loomstone.llm.urls import url_parts
 
 #: A branch that is the same on that many pages goes even from a marked article; where none is marked, on a third of them.
@@ -220,7 +220,7 @@ def importance_table(pages: DataFrame, least_pages: int = LEAST_PAGES, low: floa
             kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "mark", "content", "children", "prior"])
 
-    met = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, path long, mark long, content long, children long, prior double").distinct()
+    met = arrow_map(pages.where("host <> ''").select("host", "html"), run, "host string, path long, mark long, content long, children long, prior double").distinct()
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("content", "children"))])
     values = met.select("host", "path", "prior", F.inline(kinds)).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.sum("prior").alias("prior"), F.min("prior").alias("least"))
     log_n = F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")
@@ -252,7 +252,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", source: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["key", "url", "text", "n_chars"])
 
     kind = pages.schema["key"].dataType.simpleString()
-    return joined.select("key", "url", "low", "high", "html").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
+    return arrow_map(joined.select("key", "url", "low", "high", "html"), run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)
 
 
 def op6_site_style_tree(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import tidy
+from loomstone.llm.common import arrow_map, tidy
 
 MAX_LENGTH = 4096
 END_ID = 2
@@ -259,7 +259,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
         tidy()
 
     schema = f"key {key_type.simpleString()}, {PIECE_SCHEMA}"
-    out = rows.mapInArrow(run, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    out = arrow_map(rows, run, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *(["ids"] if with_ids else [])]
     return out.select(F.col("key").alias(key), *names)
 

@@ -8,8 +8,9 @@ Reader: finds the end-of-central-directory record (and its ZIP64 forms), reads t
 stored members through their local headers, reads the index and then only the byte ranges of the records.
 
 Archives live in the folder spark.checkpoint.dir names and are opened through pyarrow's file systems, so any
-shared store works. A file is written under a name of its attempt and then renamed, so lost or repeated tasks
-leave no half archives; the reader trusts each archive's own directory and index only.
+shared store works. A file carries the name of the task's attempt, and the manifest, which Spark commits once for
+each task, says which files count: lost, repeated or doubled tasks neither lose nor double a record. The reader
+trusts each archive's own directory and index only.
 
 Edge cases. A null payload is empty; equal empty payloads are revisits like others. A null key is never a
 response where its payload has a keyed row, else it is. Rows that repeat a response's key are responses too. A null
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import new_path, stage
+from loomstone.llm.common import STAGED, arrow_map, new_path, stage
 
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 1 << 20
@@ -181,11 +182,10 @@ def write_archives(roles: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
         data, index = io.BytesIO(), []
 
         def close() -> pa.RecordBatch:
-            name = f"part-{task.partitionId():06d}-{done:04d}.wacz"
-            attempt = f"{top}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(attempt) as f:
+            # of the attempt, as another one may deal its rows otherwise; the manifest names those of the one that counts
+            name = f"part-{task.partitionId():06d}-{done:04d}-{task.taskAttemptId()}.wacz"
+            with store.open_output_stream(f"{top}/{name}") as f:
                 f.write(zipped(data.getvalue(), index))
-            store.move(attempt, f"{top}/{name}")
             return pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([len(index)], pa.int64())})
 
         for batch in batches:
@@ -200,7 +200,8 @@ def write_archives(roles: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
         if index:
             yield close()
 
-    return stage(roles.mapInArrow(run, "name string, records long"), "warc-manifest")
+    STAGED.append(root)
+    return stage(arrow_map(roles, run, "name string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, root: str, with_payload: bool = True) -> DataFrame:
@@ -214,7 +215,7 @@ def read_archives(manifest: DataFrame, root: str, with_payload: bool = True) ->
                     yield from records_of(ZipDirectory(f), with_payload)
 
     n = max(1, manifest.count())
-    return manifest.select("name").repartition(n, "name").mapInArrow(run, READ_SCHEMA)
+    return arrow_map(manifest.select("name").repartition(n, "name"), run, READ_SCHEMA)
 
 
 def records_of(archive: ZipDirectory, with_payload: bool) -> Iterator[pa.RecordBatch]:

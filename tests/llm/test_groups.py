@@ -1,6 +1,7 @@
 """Operators on pairs, archives and mixtures, against brute force on small tables."""
 
 import base64
+import collections
 import hashlib
 import io
 import struct
@@ -63,7 +64,13 @@ def test_dart_signatures_weighted():
     assert abs(np.mean(errors)) < 0.02
 
 
-def test_near_duplicates(spark, monkeypatch):
+def multiset(words, counts):
+    seen = collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    return seen if counts else collections.Counter(set(seen))
+
+
+@pytest.mark.parametrize("counts", [True, False])
+def test_near_duplicates(spark, monkeypatch, counts):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(5000)]
     rows, n = [(0, None), (1, ""), (2, "!!"), (3, "one two"), (4, "One, two!"), (5, "one three")], 6
@@ -75,24 +82,44 @@ def test_near_duplicates(spark, monkeypatch):
                 words[k] = str(rng.choice(vocabulary))
             rows.append((n, " ".join(words)))
             n += 1
+    # texts that differ only in how often their lines come
+    rows += [(n + 1, "one line of seven words here again " * 3), (n + 2, "one line of seven words here again " * 9), (n + 3, "one line of seven words here again " * 8)]
+    n += 4
     rows += [(n, " ".join(rng.choice(vocabulary, 30_000))), (n, rows[-1][1]), (None, "one two")]
     sets = {}
     for i, t in rows:
         w = minhash.words_of(t)
         if i is not None and w:
-            sets.setdefault(i, set()).update(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            sets[i] = multiset(w, counts)
     ids = sorted({i for i, _ in rows if i is not None})
-    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total()]
     df = spark.createDataFrame([(i, t, True) for i, t in rows], "doc_id long, text string, kept boolean")
     want = union(ids, pairs)
     for block in (1024, 3):  # small blocks: buckets are worked off as pairs of blocks
         monkeypatch.setattr(minhash, "BLOCK", block)
-        got = minhash.near_duplicates(df).collect()
+        got = minhash.near_duplicates(df, counts=counts).collect()
         assert {r.doc_id: r.component_id for r in got if r.doc_id != n} == {i: c for i, c in want.items() if i != n}
         assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(ids)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_recall_at_the_threshold(similarity):
+    """Weighted pairs at the threshold itself share a band and are estimated high enough to be checked."""
+    rng, met, n = np.random.default_rng(6), 0, 300
+    for _ in range(n):
+        e = rng.integers(0, 2**63, 400).astype(np.uint64)
+        a = rng.integers(1, 5, 400).astype(float)
+        b, k = a.copy(), 0
+        while b.sum() > similarity * a.sum():
+            b[k], k = max(0.0, b[k] - min(b[k], b.sum() - similarity * a.sum())), k + 1
+        some = b > 0
+        s = minhash.dart_signatures(np.concatenate([e, e[some]]), np.concatenate([a, b[some]]), np.repeat([0, 1], [400, some.sum()]), 2)
+        bands = minhash.band_hashes(s)
+        met += (bands[0] == bands[1]).any() and (s[0] == s[1]).mean() >= minhash.LEAST_ESTIMATE
+    assert met >= 0.99 * n
+
+
 # ---- vectors ----
 
 
@@ -229,6 +256,24 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_rates_solve_the_least_squares(spark):
+    """Rates of the steps against a plain projected gradient over all rates at once."""
+    rng = np.random.default_rng(8)
+    p, w = rng.dirichlet([2.0, 0.6, 0.3], 60), rng.integers(5, 400, 60).astype(float)
+    table = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(w, p, strict=True)], "tokens long, p array<double>")
+    steps = mixing.fit_rates(table, mixing.TARGETS, mixing.ANCHOR, mixing.HEADROOM)
+    got = np.array([r.rate for r in table.select("tokens", "p", mixing.rate_of(steps).alias("rate")).collect()])
+    share = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    total, natural = w.sum(), w @ p / w.sum()
+    wanted, inverse = share * mixing.HEADROOM * natural[0] / share[0], np.linalg.inv((p.T * w) @ p / total + 1e-6 * np.eye(3))
+    r = np.ones(60)
+    for _ in range(20_000):
+        off = (w * r) @ p / total - wanted
+        r = np.maximum(0, r - 0.2 * (p @ (inverse @ off) + mixing.PULL * (r - 1)))
+    loss = lambda x: (o := (w * x) @ p / total - wanted) @ inverse @ o + mixing.PULL * (w * (x - 1) ** 2).sum() / total
+    assert (got >= 0).all() and loss(got) < loss(r) + 1e-4 and np.abs((w * got) @ p / total - wanted).max() < 2e-3
+
+
 def test_domain_features_of_nothing():
     model = mixing.fit(pa.table({"domain": pa.array([], pa.string())}), {})
     tokens, p = mixing.posteriors(model)(None)

@@ -143,6 +143,20 @@ def test_skip_factors_carry_evidence():
     assert len(base) == 1 and len(spans) == 2 and alone == []
 
 
+def test_similar_mentions_share_factors():
+    (_, spans), (_, none) = pii.find_all(["+1 (988) 555-2485 or 988.555.2485 or 9885552485", "988.555.2485 or 3.141.5926"], pii.trained())
+    assert spans == [("phone", 0, 17), ("phone", 21, 33), ("phone", 37, 47)] and none == []
+    (_, secret), (_, cards) = pii.find_all(['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" password=hunter22', "5927243074273351 4845168114407329"], pii.trained())
+    assert secret == [("secret", 9, 49), ("secret", 60, 68)] and all(b - a <= 19 for _, a, b in cards)
+
+
+def test_a_document_does_not_depend_on_those_beside_it():
+    texts = ["+1 (988) 555-2485 or 988.555.2485", "mail a.1@b.cd, a.1@c", *[f"x{i} 555-{i:04} {i}.{i}.{i}.{i}" for i in range(40)]]
+    weights = pii.trained()
+    together = pii.find_all(texts, weights)
+    assert together == [pii.find_all([t], weights)[0] for t in texts]
+
+
 def test_redacted_unites_spans():
     assert pii.redacted("ab cd ef", [("card", 0, 5), ("phone", 3, 8)]) == "<CARD>"
 
@@ -156,6 +170,45 @@ def test_language_held_out_accuracy(spark):
     assert len(out) > 200 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.93
 
 
+def test_language_equals_the_kernel_itself():
+    """Nyström features and scores from sets of n-grams, in several scripts, against the folded weights."""
+    import random
+
+    rng = random.Random(2)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(12))
+    scripts = {"a": "abcde", "b": "cdefg", "c": "αβγδε", "d": "日本語中文字", "e": "".join(chr(0xAC00 + i) for i in range(90))}
+    texts = [(make(s), lang) for lang, s in scripts.items() for _ in range(6)]
+
+    def grams(t):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        return {s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+    kernel = lambda x, y: len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5
+    g = language.Grams()
+    model = language.fit([g.present(t) for t, _ in texts], [lang for _, lang in texts], ridge=1e-3)
+    full = np.array([[kernel(x, y) for y, _ in texts] for x, _ in texts])
+    values, vectors = np.linalg.eigh(full)
+    good = values > values.max() * 1e-8
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = np.hstack([full @ root, np.ones((len(texts), 1))])
+    y = np.array([[1.0 if lang == own else -1.0 for own in sorted(scripts)] for _, lang in texts])
+    beta = np.linalg.solve(features.T @ features / 6 + 1e-3 * np.eye(features.shape[1]), features.T @ y / 6)
+    some = [make(s) for s in scripts.values() for _ in range(4)] + ["AbC; 日 12 xyz", "б"]
+    raw = np.array([[kernel(x, t) for t, _ in texts] for x in some]) @ root @ beta[:-1] + beta[-1]
+    e = np.exp(4 * (raw - raw.max(axis=1, keepdims=True)))
+    langs, scores = language.scorer(model)(some)
+    assert langs == [sorted(scripts)[k] for k in raw.argmax(axis=1)] and np.allclose(scores, (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=1e-3)
+
+
+def test_language_many_labels(spark):
+    rows = [(i, chr(0x4E00 + i // 2) * 8, f"l{i // 2:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, most=200)
+    assert len(model.languages) > 120  # more than any cap, less those met in held-out rows only
+    out = language.identify(docs.withColumn("Score", F.lit("x")).select("Score", "*"), model).where(F.col("lang").isin(model.languages)).collect()
+    assert sum(r.lang == r.lang_pred for r in out) > 0.9 * len(out)
+
+
 def test_language_awkward_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs)
@@ -233,7 +286,7 @@ def test_html_style_tree_decides_within_and_beside_a_marked_article(spark):
 
 
 def test_pii_field_sees_whole_tokens_and_distant_mentions(monkeypatch):
-    weights = pii.Weights(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((2, len(pii.LABELS), len(pii.LABELS))))
+    weights = pii.Weights(np.zeros((len(pii.FEATURES), len(pii.LABELS))), np.zeros((3, len(pii.LABELS), len(pii.LABELS))))
     weights.node[pii.AT["cue phone"], pii.LABELS.index("phone")] = 9
     weights.pair[1] = 14 * np.eye(len(pii.LABELS))
     (base, spans), = pii.find_all(["phone 555000123" + " x 555000123" * 60], weights)
