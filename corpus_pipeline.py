@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import language, minhash, mixing, packing, pii
-from loomstone.llm.common import stage
+from loomstone.llm.common import STAGED, discard, release, stage
 
-#: A document of a known alphabet whose best language is hardly above chance (four languages: 0.25) is rejected.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document whose best language has hardly more than the share of chance, one by the number of languages, is rejected.
+LEAST_TIMES_CHANCE = 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; one without a label gets the predicted one. Null and letterless texts go."""
-    judged = language.identify(docs, language.train(docs))
-    kept = judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model = language.train(docs)
+    judged = language.identify(docs.select(F.struct("*").alias("row"), "text"), model)
+    # with one language there is no choice to be sure of
+    least = min(LEAST_TIMES_CHANCE / max(len(model.languages), 1), 1.0)
+    kept = judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least))
+    return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred"))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, fn in STAGES[:-1]:
-        docs = stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+        since = len(STAGED)
+        before, docs = docs, stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, keep=docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
