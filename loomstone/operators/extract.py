@@ -59,4 +59,6 @@ def project_of(path: Column) -> Column:
     folder = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
     rest = F.regexp_extract(folder, r"^-home-[a-z]+-projects?-?(.*)$", 1)
     known = folder.rlike(r"^-home-[a-z]+-projects?")
-    return F.when(known & (rest == ""), "home").when(known, F.replace(rest, F.lit("-"), F.lit("/"))).otherwise("unknown")
+    other = F.regexp_extract(folder, r"^-home-[a-z]+---?(.*)$", 1)
+    named = F.when(other != "", F.replace(other, F.lit("-"), F.lit("/"))).otherwise("unknown")
+    return F.when(known & (rest == ""), "home").when(known, F.replace(rest, F.lit("-"), F.lit("/"))).otherwise(named)

@@ -36,6 +36,11 @@ def extracted(df: DataFrame) -> DataFrame:
     return df.select("seq", F.explode(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 3))).alias("identifier"))
 
 
+def added_names(resolved: DataFrame) -> DataFrame:
+    """Names that resolution gave beside those asked for."""
+    return resolved.select("known").distinct().join(resolved.select(F.col("raw").alias("known")).distinct(), "known", "left_anti")
+
+
 def index(df: DataFrame) -> DataFrame:
     return extracted(df).select("identifier").distinct()
 

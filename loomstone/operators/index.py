@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,34 @@ def build(corpus: DataFrame, path: str) -> dict[str, int]:
     return {"total": total, "embedded": vectors, "keyword_only": total - vectors}
 
 
+EMPTY = {"metadata": "seq long, role string, content string, thread string, ts timestamp", "vectors": "seq long, embedding array<float>", "identifiers": "identifier string"}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the index; an empty one where it was never built."""
+    if not exists(spark, f"{path}/{name}"):
+        return spark.createDataFrame([], EMPTY[name])
     return spark.read.parquet(f"{path}/{name}")
 
 
+def newest(spark: SparkSession, path: str):
+    """The time of the newest file below a folder; None where there is none."""
+    if not exists(spark, path):
+        return None
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("modificationTime")).first()[0]
+
+
+def read_codebases(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(project, path, content) of the source files of named folders."""
+    parts = [read_codebase(spark, path).select(F.lit(name).alias("project"), "path", "content") for name, path in folders.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_codebase(spark: SparkSession, path: str, most_bytes: int = 500_000) -> DataFrame:
     """(path, content) of source files; skipped folders and those whose name starts with a dot are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

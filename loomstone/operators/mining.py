@@ -25,18 +25,29 @@ def focus(covered: DataFrame) -> DataFrame:
     return covered.orderBy("coverage", "thread").limit(1)
 
 
-def seeds(rows: DataFrame, chained: DataFrame, focus_thread: str, k: int) -> DataFrame:
-    """Seed pool: entries of the focus thread (2.5), unchained (1.0) and chained (0.5), dealt in turn by band.
+#: Seed bands: name, priority, and the group in which the pool deals them: focus first, stale last, the rest in turn.
+BANDS = (("focus", 2.5, 0), ("chain", 2.0, 1), ("fresh", 1.5, 1), ("corpus", 1.0, 1), ("stale", 0.5, 2))
 
-    Order within a band is by a hash of seq. Bands are cut to k before they meet.
+
+def seeds(rows: DataFrame, chained: DataFrame, focus_thread: str, k: int, as_of: Column | None = None) -> DataFrame:
+    """The first k of the seed pool. Entries of the focus thread come whole and first; chains, entries of the last
+    seven days and others that no chain holds are dealt in turn; entries of chains come last.
+
+    Only embedded entries are seeds, where rows have vectors. Order within a band is by a hash of seq. Without as_of
+    no entry is fresh. Bands are cut to k before they meet.
     """
-    flagged = rows.where(~X.low_signal_mining(F.col("role"), F.col("content"))).join(chained.select("seq", F.lit(True).alias("c")).distinct(), "seq", "left")
-    band = F.when(F.col("thread") == focus_thread, 0).when(F.col("c").isNull(), 1).otherwise(2)
-    priority = F.element_at(F.array(F.lit(2.5), F.lit(1.0), F.lit(0.5)), band + 1)
+    usable = rows.where(~X.low_signal_mining(F.col("role"), F.col("content")))
+    if "embedding" in rows.columns:
+        usable = usable.where(F.col("embedding").isNotNull())
+    flagged = usable.join(chained.select("seq", F.lit(True).alias("c")).distinct(), "seq", "left")
+    fresh = F.coalesce(F.col("ts") >= as_of - F.expr("interval 7 days"), F.lit(False)) if as_of is not None else F.lit(False)
+    focus = F.coalesce(F.col("thread") == focus_thread, F.lit(False)) if focus_thread else F.lit(False)
+    band = F.when(F.col("role") == "chain", 1).when(focus, 0).when(F.col("c").isNotNull(), 4).when(fresh, 2).otherwise(3)
+    of = lambda i: F.element_at(F.array(*[F.lit(b[i]) for b in BANDS]), F.col("band") + 1)
     w = Window.partitionBy("band").orderBy(F.md5(F.col("seq").cast("string")), "seq")
-    ranked = flagged.select("seq", "thread", band.alias("band"), priority.alias("priority")).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= k)
-    # the focus band goes first and the chained one last; the rest is dealt between them
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("turn", "band", "seq"))).where(F.col("place") <= k)
+    ranked = flagged.select("seq", "thread", band.alias("band")).withColumns({"priority": of(1), "turn": F.row_number().over(w)}).where(F.col("turn") <= k)
+    order = Window.orderBy(of(2), "turn", "band", "seq")
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def nearest(left: DataFrame, right: DataFrame, links: DataFrame, k: int, least: float | None = None, per_right: bool = False, block: int = BLOCK) -> DataFrame:
@@ -110,6 +121,11 @@ def clusters(rows: DataFrame, seed_rows: DataFrame, near: int = 24, most: int =
     cos = F.round(V.cosine(V.as_doubles(F.col("embedding")), V.as_doubles(F.col("seed_embedding"))), 6)
     pairs = few.join(rows, "seq").join(s, "seed_seq").withColumn("cos", cos)
     nearest_rows = pairs.withColumn("n", F.row_number().over(by_seed.orderBy(F.desc("cos"), "seq"))).where(F.col("n") <= near)
+    if "role" in rows.columns:
+        # only behind the nearest: what goes here frees no place
+        nearest_rows = nearest_rows.where(~X.low_signal_mining(F.col("role"), F.col("content")))
+        used = seed_rows.select("seq", F.lit(True).alias("used")).distinct()
+        nearest_rows = nearest_rows.join(used, "seq", "left").where((F.col("role") != "chain") | F.col("used")).drop("used")
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     a, b = words(F.col("content")), words(F.col("seed_content"))
     union = F.size(F.array_union(a, b))
@@ -166,6 +182,110 @@ def xrefs(chains: DataFrame) -> DataFrame:
     return to_chain.unionByName(other).distinct()
 
 
+def xref_sets(edges: DataFrame) -> DataFrame:
+    """(member, refs): the sorted references of each member."""
+    return edges.groupBy("member").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+
+
+def project_counts(rows: DataFrame) -> DataFrame:
+    """Entries of each thread, less chains, kernels and those without a thread."""
+    return rows.where(~F.col("role").isin("chain", "kernel") & (F.coalesce("thread", F.lit("")) != "")).groupBy("thread").agg(F.count("*").alias("n"))
+
+
+def project_chains(chains: DataFrame) -> DataFrame:
+    """Chains of each project, by the chains' member_projects."""
+    return chains.select(F.explode(F.array_distinct("member_projects")).alias("thread")).where("thread <> ''").groupBy("thread").agg(F.count("*").alias("chains"))
+
+
+def temporal_chains(dated: DataFrame, links: DataFrame, weeks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Chain entries of the linked pairs: one for each pair of members, the first week pair that has it, less pairs that
+    a known chain holds. dated: seq, content, thread; links: of chunk_links; known: chain, member.
+
+    Two sets of two members overlap by more than half only if they are equal; with a known chain they do if it has no
+    more than one member beside them.
+    """
+    pair = links.select("week_a", "week_b", F.least("seq_a", "seq_b").alias("x"), F.greatest("seq_a", "seq_b").alias("y"), "seq_a", "seq_b", "cos")
+    first = Window.partitionBy("x", "y").orderBy("week_a", "week_b", F.desc("cos"))
+    new = pair.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    if known is not None:
+        sized = known.distinct().withColumn("size", F.count("*").over(Window.partitionBy("chain"))).where("size <= 3")
+        sets = sized.groupBy("chain").agg(F.array_sort(F.collect_set("member")).alias("s")).select(F.explode(F.expr("filter(flatten(transform(s, (a, i) -> transform(slice(s, i + 2, size(s)), b -> struct(a as x, b as y)))), p -> true)")).alias("p"))
+        new = new.join(sets.select("p.x", "p.y").distinct(), ["x", "y"], "left_anti")
+    side = lambda c: dated.select(F.col("seq").alias(f"seq_{c}"), F.substring("content", 1, 80).alias(f"head_{c}"), F.col("thread").alias(f"thread_{c}")).dropDuplicates([f"seq_{c}"])
+    days = F.datediff("week_b", "week_a")
+    out = new.join(side("a"), "seq_a").join(side("b"), "seq_b").join(weeks.select("week_a", "week_b"), ["week_a", "week_b"], "left_semi")
+    return out.select(
+        F.lit("chain").alias("role"),
+        F.concat(F.lit("Temporal link ("), days.cast("string"), F.lit("d): "), F.coalesce("head_a", F.lit("")), F.lit(" ↔ "), F.coalesce("head_b", F.lit(""))).alias("content"),
+        F.coalesce("thread_a", F.lit("unknown")).alias("thread"),
+        F.concat(F.lit("temporal: "), F.col("week_a").cast("string"), F.lit(" ↔ "), F.col("week_b").cast("string")).alias("heading"),
+        F.lit("temporal_link").alias("chain_type"),
+        F.array(F.col("seq_a").cast("string"), F.col("seq_b").cast("string")).alias("member_uids"),
+        F.array_sort(F.array_distinct(F.filter(F.array("thread_a", "thread_b"), lambda x: F.coalesce(x, F.lit("")) != ""))).alias("member_projects"),
+        (~F.col("thread_a").eqNullSafe(F.col("thread_b"))).alias("cross_project"),
+        days.alias("temporal_distance_days"),
+        F.round("cos", 3).alias("similarity"),
+    )
+
+
+def minable(rows: DataFrame) -> DataFrame:
+    """What temporal links look at: dated entries with vectors that are no chains and not of low signal."""
+    return rows.where(F.col("embedding").isNotNull() & F.col("ts").isNotNull() & (F.col("role") != "chain") & ~X.low_signal_mining(F.col("role"), F.col("content")))
+
+
+def kernel_refs(kernels: DataFrame, chains: DataFrame) -> DataFrame:
+    """(kernel, chain): the references that are chains, in their order."""
+    each = kernels.select("kernel", F.posexplode("refs").alias("pos", "chain"))
+    return each.join(chains.select("chain").distinct(), "chain").select("kernel", "pos", "chain")
+
+
+#: The order of a report's sections, and the types of chains that it lists.
+SECTIONS = ("orphan", "correction", "stress", "pattern", "growth", "question")
+CHAIN_TYPES = ("thematic", "causal", "correction", "orphan", "temporal_link")
+
+
+def kernels_shown(kernels: DataFrame, chains: DataFrame) -> DataFrame:
+    """Kernels of the known kinds in the report's order, with the chains that they refer to, comma-joined; a kernel
+    without any stays. Missing or zero importance counts as 5, a missing kind as pattern."""
+    order = F.array(*map(F.lit, SECTIONS))
+    matched = kernel_refs(kernels, chains).groupBy("kernel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chain"))), lambda x: x["chain"]), ",").alias("chains"))
+    rows = kernels.withColumns({"kind": F.coalesce("kind", F.lit("pattern")), "importance": F.coalesce(F.nullif("importance", F.lit(0)), F.lit(5))}).where(F.array_contains(order, F.col("kind")))
+    place = F.row_number().over(Window.orderBy(F.array_position(order, F.col("kind")), F.desc("importance"), "kernel"))
+    return rows.join(matched, "kernel", "left").select("kernel", "kind", "importance", F.coalesce("chains", F.lit("")).alias("chains"), place.alias("place"))
+
+
+def chains_by_type(chains: DataFrame) -> DataFrame:
+    """(bucket, chain): chains in the report's buckets: by type, those across projects, and orphans as unfinished."""
+    kind = F.coalesce("chain_type", F.lit("thematic"))
+    buckets = F.array(F.when(kind.isin(*CHAIN_TYPES), kind), F.when(F.col("cross_project"), F.lit("cross_project")), F.when(kind == "orphan", F.lit("unfinished")))
+    return chains.select(F.explode(F.array_compact(buckets)).alias("bucket"), "chain")
+
+
+def report_rows(chains: DataFrame, members: DataFrame, kernels: DataFrame, stats: DataFrame) -> DataFrame:
+    """(section, value): the report as JSON objects: stats as profile, kernels, and the chains of each bucket.
+
+    chains: chain, chain_type, cross_project, content; members: of report(); kernels: of kernels_shown().
+    """
+    shown = chains_by_type(chains).join(chains.select("chain", "content"), "chain").join(members, "chain", "left")
+    parts = [
+        stats.select(F.lit("profile").alias("section"), F.to_json(F.struct("*")).alias("value")),
+        kernels.select(F.lit("kernels"), F.to_json(F.struct(*kernels.columns))),
+        shown.select("bucket", F.to_json(F.struct("chain", "content", "members", "threads"))),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def synthesis_lines(chains: DataFrame) -> DataFrame:
+    """(chain, line): what a synthesis is asked about: id, type, content, number of members and their projects."""
+    projects = F.array_join(F.array_sort(F.filter("member_projects", lambda p: p != "")), ", ")
+    line = F.concat(F.lit("["), F.col("chain").cast("string"), F.lit("] ("), F.coalesce("chain_type", F.lit("thematic")), F.lit(") "), "content", F.lit(" ["), F.size("member_uids").cast("string"), F.lit(" members, projects: "), projects, F.lit("]"))
+    return chains.select("chain", line.alias("line"))
+
+
+def project_total(chains: DataFrame) -> DataFrame:
+    return chains.select(F.explode("member_projects").alias("p")).where("p <> ''").agg(F.countDistinct("p").alias("projects"))
+
+
 def thread_mode(members: DataFrame) -> DataFrame:
     """The most frequent thread of each chain; ties go to the smaller name."""
     n = members.groupBy("chain", "thread").agg(F.count("*").alias("n"))

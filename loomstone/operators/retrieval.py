@@ -6,6 +6,8 @@ top-k per partition and a merge, and are fused by a union and one aggregate.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -51,7 +53,9 @@ def keyword(corpus: DataFrame, query: str, k: int = 30) -> DataFrame:
 
 
 def entity(corpus: DataFrame, name: str, k: int = 20) -> DataFrame:
-    """The first k entries that mention a name."""
+    """The first k entries that mention a name; without a name none."""
+    if not name:
+        return corpus.where("false").select("seq", F.lit(0.8).alias("score"))
     return corpus.where(F.contains(F.lower("content"), F.lit(name.lower()))).orderBy("seq").limit(k).select("seq", F.lit(0.8).alias("score"))
 
 
@@ -136,20 +140,32 @@ def filtered(found: DataFrame, role: str | None = None, project: str | None = No
 
 
 def budget(ranked: DataFrame, most: int) -> DataFrame:
-    """The longest prefix by rank whose token sum stays within the budget. ranked is a top-k: one partition suffices."""
+    """The longest prefix by rank whose chunks, as they are shown, stay within the budget in tokens.
+
+    ranked is a top-k: one partition suffices.
+    """
     order = Window.orderBy(F.desc("score"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ranked.withColumn("tokens", X.tokens(F.col("content")))
+    counted = rendered(ranked).withColumn("tokens", X.tokens(F.col("chunk")))
     return counted.withColumn("running", F.sum("tokens").over(order)).where(F.col("running") <= most)
 
 
 def rendered(df: DataFrame) -> DataFrame:
-    """Chunks as text: the entry's label in brackets and its content."""
-    return df.withColumn("chunk", F.concat(F.lit("["), F.concat_ws(" ", F.col("seq").cast("string"), "thread", F.substring(F.date_format("ts", "yyyy-MM-dd"), 1, 10), "role"), F.lit("] "), F.col("content")))
+    """Chunks as text: a label in brackets and the content; code under a heading shows its kind and heading."""
+    day = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit(""))
+    label = F.concat(F.lit("["), F.col("seq").cast("string"), F.lit(" "), F.coalesce("thread", F.lit("?")))
+    chunk = F.concat(label, F.lit(" "), day, F.lit(" "), F.coalesce("role", F.lit("?")), F.lit("] "), F.coalesce("content", F.lit("")))
+    if {"heading", "chunk_type"} <= set(df.columns):
+        code = F.concat(label, F.lit(" "), F.coalesce("chunk_type", F.lit("")), F.lit("] "), F.col("heading"), F.lit("\n"), F.coalesce("content", F.lit("")))
+        chunk = F.when((F.col("role") == "code") & (F.coalesce("heading", F.lit("")) != ""), code).otherwise(chunk)
+    return df.withColumn("chunk", chunk)
 
 
 def static_budget(sources: DataFrame, most: int) -> DataFrame:
-    """Whole sources in order while they fit; the first that does not is cut to the rest if more than 100 tokens remain."""
-    t = sources.withColumn("tokens", X.tokens(F.col("content")))
+    """Sources (seq, path, content) as chunks under their paths, whole and in order while they fit; the first that does
+    not is cut to the rest if more than 100 tokens remain."""
+    body = F.coalesce("content", F.lit(""))
+    t = sources.withColumn("chunk", F.concat(F.lit("--- "), F.col("path"), F.lit(" ---\n"), body, F.lit("\n")))
+    t = t.withColumn("tokens", X.tokens(F.col("chunk")))
     ends = t.agg(F.min("seq").cast("double").alias("low"), F.max("seq").cast("double").alias("high"))
     share = F.floor((F.col("seq").cast("double") - F.col("low")) * RANGES / (F.col("high") - F.col("low") + 1))
     t = t.crossJoin(F.broadcast(ends)).withColumn("range", F.coalesce(share, F.lit(-1))).drop("low", "high")
@@ -161,4 +177,22 @@ def static_budget(sources: DataFrame, most: int) -> DataFrame:
     t = reached.withColumn("running", own).withColumn("running", F.coalesce(F.col("running") + F.col("offset"), "running", "offset")).withColumn("rest", F.lit(most) - (F.col("running") - F.col("tokens")))
     # only the first source that does not fit begins within the budget
     kept = t.where((F.col("running") <= most) | (F.col("rest") > 100)).drop("range", "offset")
-    return kept.withColumn("content", F.when(F.col("running") <= most, F.col("content")).otherwise(F.expr("substring(content, 1, cast(rest * 4 as int))")))
+    cut = F.concat(F.lit("--- "), F.col("path"), F.lit(" (truncated) ---\n"), F.expr("substring(coalesce(content, ''), 1, cast(rest * 4 as int))"), F.lit("\n"))
+    return kept.withColumn("chunk", F.when(F.col("running") <= most, F.col("chunk")).otherwise(cut))
+
+
+def cull_indices(answer: str, n: int) -> list[int]:
+    """Numbers of the chunks that a model's answer keeps: its first bracketed list, in its order, within range."""
+    found = re.search(r"\[[\d,\s]+\]", answer)
+    try:
+        return [i for i in json.loads(found[0]) if 0 <= i < n] if found else []
+    except ValueError:
+        return []
+
+
+def polarity_axis(corpus: DataFrame, which: str, k: int = 20) -> DataFrame:
+    """The latest entries whose first 500 characters speak of failure or of success only, at 0.8: an axis of our own."""
+    text = F.lower(F.substring("content", 1, 500))
+    bad, good = X.any_of(text, X.BLOCK_FAILURE_WORDS), X.any_of(text, X.BLOCK_SUCCESS_WORDS)
+    rows = corpus.where(bad & ~good if which == "failure" else good & ~bad)
+    return rows.orderBy(F.desc_nulls_last("ts"), "seq").limit(k).select("seq", F.lit(0.8).alias("score"))

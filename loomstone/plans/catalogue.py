@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.functions import vector as V
-from loomstone.engine import Retriever
+from loomstone.engine import SUFFIX, Retriever
 from loomstone.operators import chunking, extract, identify, mining, session
 from loomstone.operators import retrieval as R
 from loomstone.providers import HashEmbedder
@@ -58,8 +58,8 @@ def keyword_search(spark, d):
 
 
 @query(
-    f"with k as (select doc_id as seq, text, round(({HITS}) / {len(TERMS)}.0 * 1.5, 6) as score from documents where ({HITS}) > 0 order by score desc, seq limit 30), "
-    "r as (select seq, score, length(text) // 4 as tokens, sum(length(text) // 4) over (order by score desc, seq rows unbounded preceding) as running from k) select seq, score, tokens, running::bigint as running from r where running <= 6000"
+    f"with k as (select doc_id as seq, text, coalesce(source, '?') as source, round(({HITS}) / {len(TERMS)}.0 * 1.5, 6) as score from documents where ({HITS}) > 0 order by score desc, seq limit 30), "
+    "t as (select seq, score, length('[' || seq || ' ' || source || '  context] ' || text) // 4 as tokens from k), r as (select *, sum(tokens) over (order by score desc, seq rows unbounded preceding) as running from t) select seq, score, tokens, running::bigint as running from r where running <= 6000"
 )
 def keyword_budget(spark, d):
     docs = C.documents(spark, d)
@@ -154,12 +154,13 @@ def temporal_decay(spark, d):
 
 
 @query(
-    "with t as (select doc_id as seq, text, length(text) // 4 as n, sum(length(text) // 4) over (order by doc_id rows unbounded preceding) as r from documents where doc_id < 60), "
+    "with c as (select doc_id as seq, coalesce(text, '') as text, length('--- doc-' || doc_id || ' ---' || chr(10) || coalesce(text, '') || chr(10)) // 4 as n from documents), t as (select *, sum(n) over (order by seq rows unbounded preceding) as r from c), "
     "o as (select *, 9000 - (r - n) as rest, sum((r > 9000)::int) over (order by seq rows unbounded preceding) as k from t) "
-    "select seq, length(case when r <= 9000 then text else substr(text, 1, (rest * 4)::int) end)::bigint as chars from o where r <= 9000 or (k = 1 and rest > 100)"
+    "select seq, length(case when r <= 9000 then '--- doc-' || seq || ' ---' || chr(10) || text || chr(10) else '--- doc-' || seq || ' (truncated) ---' || chr(10) || substr(text, 1, (rest * 4)::int) || chr(10) end)::bigint as chars from o where r <= 9000 or (k = 1 and rest > 100)"
 )
 def context_budget_static(spark, d):
-    return R.static_budget(C.documents(spark, d), 9000).select("seq", F.length("content").cast("long").alias("chars"))
+    sources = C.documents(spark, d).select("seq", F.concat(F.lit("doc-"), F.col("seq").cast("string")).alias("path"), "content")
+    return R.static_budget(sources, 9000).select("seq", F.length("chunk").cast("long").alias("chars"))
 
 
 # ---- filters ---------------------------------------------------------------------------------------------
@@ -237,12 +238,23 @@ def identifier_resolve_native(spark, d):
     return identify.resolved_native(values(spark, "raw", RAW), values(spark, "known", KNOWN))
 
 
-@query()
+@query("select * from (values ('spoof_session', 'session_spoof', 0.95), ('spoof_session', 'do_session', round(2 * 9 / 23.0 * 10 / 13.0, 6)), ('replace_sesion', '_replace_session', round(2 * 14 / 30.0 * 14 / 16.0, 6)), ('LOAD_CONFIG.PY', 'LOAD_CONFIG.PY', 1.0), ('retreival', 'retrieval', round(2 * 8 / 18.0, 6))) t(raw, known, score)")
 def identifier_resolve_full(spark, d):
     return identify.resolved(["spoof_session", "replace_sesion", "LOAD_CONFIG.PY", "retreival"], values(spark, "known", KNOWN))
 
 
-@query()
+GOLDEN_CHUNKS = [
+    (1, 0, "file", "a.py", "import os\n\nclass Foo:\n    def bar(self):\n        return 1234567890\n\ndef baz():\n    return 12345678901\n"), (1, 1, "class", "a.py:class Foo", "class Foo:\n    def bar(self):\n        return 1234567890\n"), (1, 2, "function", "a.py:def baz", "def baz():\n    return 12345678901\n"),
+    (2, 0, "file", "b.go", "type T struct {\n a int\n}\nfunc (t T) Go() {\n x()\n}\n"), (2, 1, "type", "b.go:T", "type T struct {\n a int\n}"), (2, 2, "function", "b.go:Go", "func (t T) Go() {\n x()\n}"), (3, 0, "file", "c.txt", "plain"),
+]
+
+
+def _golden_sql() -> str:
+    text = lambda v: "e'" + v.replace("\n", "\\n") + "'" if isinstance(v, str) else str(v)
+    return "select * from (values " + ", ".join(f"({', '.join(map(text, r))})" for r in GOLDEN_CHUNKS) + ") t(seq, pos, chunk_type, heading, content)"
+
+
+@query(_golden_sql())
 def code_chunks(spark, d):
     rows = "(1, 'a.py', 'import os\\n\\nclass Foo:\\n    def bar(self):\\n        return 1234567890\\n\\ndef baz():\\n    return 12345678901\\n'), (2, 'b.go', 'type T struct {\\n a int\\n}\\nfunc (t T) Go() {\\n x()\\n}\\n'), (3, 'c.txt', 'plain')"
     return chunking.source_chunks(values(spark, "seq, path, content", rows).withColumn("seq", F.col("seq").cast("long")))
@@ -427,9 +439,9 @@ def corpus_stats(spark, d):
     return docs.join(C.table(spark, d, "labels").select("doc_id", F.lit(1).alias("l")).distinct(), "doc_id", "left").agg(F.count("*").alias("total"), F.count("l").alias("labelled"), (F.count("*") - F.count("l")).alias("unlabelled"))
 
 
-@query("select source as thread, count(*) as n from documents where trim(text) <> '' group by source")
+@query("select source as thread, count(*) as n from documents where trim(text) <> '' and coalesce(source, '') <> '' group by source")
 def project_counts(spark, d):
-    return C.documents(spark, d).where(F.trim("content") != "").groupBy("thread").agg(F.count("*").alias("n"))
+    return mining.project_counts(C.documents(spark, d).where(F.trim("content") != ""))
 
 
 COVER = "select source as thread, count(*) as rows, count(l.doc_id) as chains, round(count(l.doc_id) / count(*), 6) as coverage from documents d left join (select distinct doc_id from labels) l using (doc_id) group by source"
@@ -456,11 +468,13 @@ def primary_thread(spark, d):
 
 
 def _dated(spark, d):
-    e = C.table(spark, d, "events").select((F.col("event_id") % 500).alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
-    return e.join(C.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), "embedding"), "seq")
+    """Vectors dated by events that count through all of them."""
+    v = C.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    e = C.table(spark, d, "events").select((F.col("event_id") % v.count()).alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return e.join(v, "seq")
 
 
-WEEKS = "with j as (select date_trunc('week', ts)::date as week, vec_id, embedding from events e join embeddings v on e.event_id % 500 = v.vec_id), x as (select week, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from j), c as (select week, pos, avg(x) as x from x group by all)"
+WEEKS = "with j as (select date_trunc('week', ts)::date as week, vec_id, embedding from events e join embeddings v on e.event_id % (select count(*) from embeddings) = v.vec_id), x as (select week, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from j), c as (select week, pos, avg(x) as x from x group by all)"
 
 
 @query(f"{WEEKS} select week, pos::int as pos, round(x, 6) as x from c")
@@ -488,31 +502,43 @@ def temporal_links(spark, d):
 
 
 def _entries(spark, d):
-    return C.table(spark, d, "embeddings").join(C.table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("seq"), F.col("source").alias("thread"), F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 21600).alias("ts"), F.col("text").alias("content"), "embedding")
+    return C.table(spark, d, "embeddings").join(C.table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("seq"), F.col("source").alias("thread"), F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 21600).alias("ts"), F.lit("context").alias("role"), F.col("text").alias("content"), "embedding")
 
 
 _W = "list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> ''))"
 
 
 @query(
-    "with r as (select vec_id as seq, source as thread, vec_id * 0.25 as day, text as content, embedding from embeddings join documents on vec_id = doc_id), s as (select * from r where seq < 5), "
-    f"p as (select s.seq as seed_seq, r.seq, round({COSINE.format(a='r.embedding', b='s.embedding')}, 6) as cos, r.thread = s.thread as same, abs(r.day - s.day) as days, {_W.format(c='r.content')} as a, {_W.format(c='s.content')} as b from r, s), "
+    "with r as (select vec_id as seq, source as thread, vec_id * 0.25 as day, text as content, embedding from embeddings join documents on vec_id = doc_id), s as (select * from r where seq % 100 = 0), "
+    f"p as (select s.seq as seed_seq, r.seq, round({COSINE.format(a='r.embedding', b='s.embedding')}, 6) as cos, r.thread = s.thread as same, r.content as body, abs(r.day - s.day) as days, {_W.format(c='r.content')} as a, {_W.format(c='s.content')} as b from r, s), "
     "n as (select *, row_number() over (partition by seed_seq order by cos desc, seq) as k from p), "
-    "c as (select seed_seq, seq, cos, round(0.5 * cos + case when same then 0.15 else 0 end + case when days < 1 then 0.2 when days < 7 then 0.1 else 0 end + 0.15 * (len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6) as score from n where k <= 24), "
+    f"m as (select * from n where k <= 24 and {_T.replace('content', 'coalesce(body, chr(32))')} <> ''), "
+    "c as (select seed_seq, seq, cos, round(0.5 * cos + case when same then 0.15 else 0 end + case when days < 1 then 0.2 when days < 7 then 0.1 else 0 end + 0.15 * (len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6) as score from m), "
     "t as (select *, row_number() over (partition by seed_seq order by score desc, seq) as place from c) select seed_seq, seq, cos, score, place::int as place from t where place <= 8"
 )
 def cluster_members(spark, d):
     rows = _entries(spark, d)
-    return mining.clusters(rows, rows.where("seq < 5"))
+    return mining.clusters(rows, rows.where("seq % 100 = 0"))
+
+
+SEED_TIME = "2024-01-08 12:00:00"
+
+
+def _seed_rows(spark, d):
+    """Documents as entries: Spanish ones stand for chains, ten minutes lie between two."""
+    return C.table(spark, d, "documents").select(
+        F.col("doc_id").alias("seq"), F.when(F.col("lang") == "es", "chain").otherwise("context").alias("role"), F.col("source").alias("thread"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("ts")
+    )
 
 
 @query(
-    "with f as (select d.doc_id as seq, source as thread, case when source = 'src3' then 0 when l.doc_id is null then 1 else 2 end as band from documents d left join (select distinct doc_id from labels) l using (doc_id)), "
-    "t as (select *, row_number() over (partition by band order by md5(seq::varchar), seq) as turn from f) "
-    "select seq, thread, band, (case band when 0 then 2.5 when 1 then 1.0 else 0.5 end)::double as priority, turn::int as turn, row_number() over (order by turn, band, seq)::int as place from t where turn <= 100 qualify place <= 100"
+    f"with f as (select d.doc_id as seq, coalesce(text, '') as content, source as thread, case when lang = 'es' then 'chain' else 'context' end as role, l.doc_id is not null as held, make_timestamp((1704067200 + d.doc_id * 600) * 1000000) as ts from documents d left join (select distinct doc_id from labels) l using (doc_id)), "
+    f"g as (select *, case when role = 'chain' then 1 when thread = 'src3' then 0 when held then 4 when ts >= timestamp '{SEED_TIME}' - interval 7 day then 2 else 3 end as band from f where not (role not in ('kernel', 'chain') and ({_T} = '' or {_BR} or {_FI} or {_RE} or {_EM}))), "
+    "t as (select *, row_number() over (partition by band order by md5(seq::varchar), seq) as turn from g) "
+    "select seq, thread, band, [2.5, 2.0, 1.5, 1.0, 0.5][band + 1]::double as priority, turn::int as turn, row_number() over (order by [0, 1, 1, 1, 2][band + 1], turn, band, seq)::int as place from t where turn <= 1000 qualify place <= 1000"
 )
 def seed_pool(spark, d):
-    return mining.seeds(C.documents(spark, d), _labelled(spark, d), "src3", 100)
+    return mining.seeds(_seed_rows(spark, d), _labelled(spark, d), "src3", 1000, F.lit(SEED_TIME).cast("timestamp"))
 
 
 CHAINS = "select distinct l_orderkey as chain, l_partkey as member from lineitem"
@@ -544,21 +570,23 @@ def report_chains(spark, d):
     return mining.report(chains, C.documents(spark, d))
 
 
-KERNELS = "('k1', 'orphan', 7, 'c1'), ('k2', 'pattern', 0, 'c1'), ('k3', 'pattern', 9, 'c2'), ('k4', 'other', 1, 'c1'), ('k5', 'orphan', null, 'zz')"
-ORDER = "['orphan', 'correction', 'stress', 'pattern', 'growth', 'question']"
+KERNELS = [("k1", "orphan", 7, ["c2", "zz", "c1"]), ("k2", "pattern", 0, ["c1"]), ("k3", None, 9, []), ("k4", "other", 1, ["c1"]), ("k5", "orphan", None, ["zz"]), ("k6", "question", 5, ["c2", "c2"])]
+ORDER = str(list(mining.SECTIONS))
+
+
+def _kernel_sql() -> str:
+    say = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::varchar[]" if isinstance(v, list) else str(v)
+    return ", ".join(f"({', '.join(map(say, k))})" for k in KERNELS)
 
 
 @query(
-    f"with k(kernel, kind, importance, ref) as (values {KERNELS}), c(chain) as (values ('c1'), ('c2')) select kernel, kind, coalesce(nullif(importance, 0), 5) as importance, chain, "
-    f"row_number() over (order by list_position({ORDER}, kind), coalesce(nullif(importance, 0), 5) desc, kernel)::int as place from k left join c on chain = ref where list_contains({ORDER}, kind)"
+    f"with k(kernel, kind, importance, refs) as (values {_kernel_sql()}), c(chain) as (values ('c1'), ('c2')), n as (select kernel, coalesce(kind, 'pattern') as kind, coalesce(nullif(importance, 0), 5) as importance, refs from k), "
+    "e as (select kernel, unnest(refs) as chain, generate_subscripts(refs, 1) as pos from k), m as (select kernel, string_agg(chain, ',' order by pos) as chains from e join c using (chain) group by kernel) "
+    f"select kernel, kind, importance, coalesce(chains, '') as chains, row_number() over (order by list_position({ORDER}, kind), importance desc, kernel)::int as place from n left join m using (kernel) where list_contains({ORDER}, kind)"
 )
 def kernel_drilldown(spark, d):
-    from pyspark.sql import Window
-
-    order = F.array(*map(F.lit, ("orphan", "correction", "stress", "pattern", "growth", "question")))
-    k, c = values(spark, "kernel, kind, importance, ref", KERNELS), values(spark, "chain", "('c1'), ('c2')")
-    rows = k.join(c, k.ref == c.chain, "left").where(F.array_contains(order, F.col("kind"))).withColumn("importance", F.coalesce(F.nullif("importance", F.lit(0)), F.lit(5)))
-    return rows.select("kernel", "kind", "importance", "chain", F.row_number().over(Window.orderBy(F.array_position(order, F.col("kind")), F.desc("importance"), "kernel")).alias("place"))
+    kernels = spark.createDataFrame(KERNELS, "kernel string, kind string, importance int, refs array<string>")
+    return mining.kernels_shown(kernels, values(spark, "chain", "('c1'), ('c2')"))
 
 
 @query(
@@ -567,3 +595,290 @@ def kernel_drilldown(spark, d):
 )
 def idle_sessions(spark, d):
     return log.sessions(C.events(spark, d)).select("thread", F.unix_micros("start").alias("start_us"), "n")
+
+
+# ---- ingest and sources ----------------------------------------------------------------------------------
+
+
+def _log_lines(spark, d):
+    """Conversations as lines of session files, with a blank and a broken line in each."""
+    c = C.table(spark, d, "conversations")
+    path = F.concat(F.lit("/logs/-home-u-projects-p"), F.col("conv_id").cast("string"), F.lit("/s.jsonl"))
+    value = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId")))
+    rows = c.select(path.alias("path"), (F.col("turn") * 2).cast("long").alias("line"), value.alias("value"))
+    return rows.unionByName(c.select(path.alias("path"), (F.col("turn") * 2 + 1).cast("long").alias("line"), F.when(F.col("turn") % 2 == 0, "").otherwise("{broken").alias("value")))
+
+
+_SAID = "select conv_id, turn * 2 as seq, role, text as content, sum((role = 'user')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint as turn from conversations where role in ('user', 'assistant')"
+
+
+@query(f"select 'p' || conv_id as thread, seq, role, content, turn, 's' || conv_id as source_session from ({_SAID}) where not {INGEST}")
+def session_ingest(spark, d):
+    return C.session_entries(_log_lines(spark, d)).select("thread", "seq", "role", "content", "turn", "source_session")
+
+
+@query(f"select conv_id, seq, role, content from ({_SAID}) where {_T} <> '' and (role = 'user' or not starts_with(content, '['))")
+def conversation_turns(spark, d):
+    return C.conversation_turns(_log_lines(spark, d)).select(F.regexp_extract("path", "-p(\\d+)/", 1).cast("long").alias("conv_id"), "seq", "role", "content")
+
+
+@query("with l as (select conv_id, turn * 2 as line from conversations union all select conv_id, turn * 2 + 1 from conversations) select conv_id, count(*) as lines, min(line) as first from l where line >= 3 group by conv_id")
+def incremental_read(spark, d):
+    lines = _log_lines(spark, d)
+    new = C.new_lines(lines, lines.groupBy("path").agg(F.lit(3).cast("long").alias("n")))
+    return new.groupBy(F.regexp_extract("path", "-p(\\d+)/", 1).cast("long").alias("conv_id")).agg(F.count("*").alias("lines"), F.min("line").alias("first"))
+
+
+PATHS = "('/x/-home-u-projects-bridge/a.jsonl'), ('/x/-home-u-projects/a.jsonl'), ('/x/-home-u-project-a-b/a.jsonl'), ('/x/-home-u---fence/a.jsonl'), ('/x/-home-u--/a.jsonl'), ('/x/other/a.jsonl')"
+
+
+@query(
+    f"with p(path) as (values {PATHS}), f as (select path, regexp_extract(path, '([^/]*)/[^/]*$', 1) as g from p) select path, case when regexp_matches(g, '^-home-[a-z]+-projects?') then coalesce(nullif(replace(regexp_extract(g, '^-home-[a-z]+-projects?-?(.*)$', 1), '-', '/'), ''), 'home') "
+    "else coalesce(nullif(replace(regexp_extract(g, '^-home-[a-z]+---?(.*)$', 1), '-', '/'), ''), 'unknown') end as project, '-' || ltrim(replace(path, '/', '-'), '-') as folder from f"
+)
+def project_paths(spark, d):
+    return values(spark, "path", PATHS).select("path", extract.project_of(F.col("path")).alias("project"), C.mangled(F.col("path")).alias("folder"))
+
+
+NOISE = ["a/b.py", "0a1b2c3d-4e5f.js", "x/2024-01-02T10.log", "d/0123456789abcdef.py", "./../q.py", "/tmp/z.md", "a/screenshots/p.md", "n" * 118 + ".py", "n" * 117 + ".py", "plain_name"]
+
+
+@query(
+    f"with t(s) as (values {', '.join(f'({n!r})' for n in NOISE)}) select s, regexp_matches(s, '[0-9a-f]{{8}}-[0-9a-f]{{4}}') or regexp_matches(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}') or regexp_matches(regexp_extract(s, '([^/]*)$', 1), '^[0-9a-f]{{10,}}[.]') "
+    "or starts_with(s, './..') or contains(s, '/tmp/') or contains(s, '/screenshots/') or length(s) > 120 as noise from t"
+)
+def identifier_noise(spark, d):
+    return values(spark, "s", ", ".join(f"('{n}')" for n in NOISE)).select("s", identify.noise(F.col("s")).alias("noise"))
+
+
+@query(
+    "select * from (values (1, 'bridge/web_server.py'), (1, '/home/a/x.js'), (1, 'load_all'), (1, 'other_name'), (2, 'FooBar'), (2, 'tool.py'), (2, 'n.py'), (4, 'snake_case_name')) t(seq, identifier)"
+)
+def identifier_examples(spark, d):
+    """The names that the worked examples hold."""
+    found = identify.extracted(values(spark, "seq, content", IDS))
+    wanted = values(spark, "seq, identifier", "(1, 'bridge/web_server.py'), (1, '/home/a/x.js'), (1, 'load_all'), (1, 'other_name'), (2, 'FooBar'), (2, 'tool.py'), (2, 'n.py'), (4, 'snake_case_name'), (2, '/tmp/z.md'), (4, 'is_ok')")
+    return found.join(wanted, ["seq", "identifier"], "left_semi")
+
+
+@query(
+    f"with k(known) as (values {KNOWN}), r(raw) as (values {RAW}), p as (select raw, known, case when lower(raw) = lower(known) then 1.0 when {_TS.format(c='raw')} = {_TS.format(c='known')} then 0.95 "
+    "when contains(lower(known), lower(raw)) and length(raw) / length(known) >= 0.6 then 0.6 when contains(lower(raw), lower(known)) and length(known) / length(raw) >= 0.6 then 0.6 end as score from r, k) "
+    "select distinct known from p where score >= 0.55 and known not in (select raw from p where score >= 0.55)"
+)
+def identifier_new_names(spark, d):
+    return identify.added_names(identify.resolved_native(values(spark, "raw", RAW), values(spark, "known", KNOWN)))
+
+
+@query("select 3 as files, 3 as definitions")
+def chunk_counts(spark, d):
+    return chunking.chunk_counts(code_chunks(spark, d)).select(F.col("files").cast("int").alias("files"), F.col("definitions").cast("int").alias("definitions"))
+
+
+ANSWERS = [(1, '[{"role": "user", "content": "x"}]'), (2, 'so: [{"role": "a", "content": "y"}, {"role": "b", "content": "z"}] ok'), (3, "none"), (4, '[{"content": "z"}]'), (5, '```json\n[1, 2]\n```')]
+
+
+@query("select * from (values (1, 'user', 'x', 1), (2, 'a', 'y', 2), (3, null, null, null), (4, null, null, null), (5, null, null, null)) t(seq, role, content, n)")
+def answer_turns(spark, d):
+    t = extract.json_turns(F.col("a"))
+    return spark.createDataFrame(ANSWERS, "seq int, a string").select("seq", t[0]["role"].alias("role"), t[0]["content"].alias("content"), F.when(t.isNotNull(), F.size(t)).alias("n"))
+
+
+@query("select * from (values (1, 'hi  and  bye'), (2, 'plain')) t(seq, content)")
+def stripped_actions(spark, d):
+    return values(spark, "seq, content", f"(1, {ACT}), (2, ' plain ')").select("seq", session.without_actions(F.col("content")).alias("content"))
+
+
+RESULTS = [(1, [("text", "hello", None, {}, None), ("tool_use", None, "Read", {"file_path": "a.py"}, None), ("tool_result", None, None, {}, "r" * 300)]), (2, [("thinking", "x", None, {}, None), ("tool_use", None, None, {}, None)])]
+
+
+@query("select * from (values (1, 'hello' || chr(10) || '[Read: {\"file_path\":\"a.py\"}]' || chr(10) || '[result: ' || repeat('r', 200) || ']'), (2, '[?: {}]')) t(seq, content)")
+def transcript_text(spark, d):
+    rows = spark.createDataFrame([(seq, [dict(zip(("type", "text", "name", "input", "content"), b, strict=True)) for b in blocks]) for seq, blocks in RESULTS], f"seq int, blocks {extract.BLOCKS}")
+    return rows.select("seq", extract.transcript_text(F.col("blocks")).alias("content"))
+
+
+TIMES = "('2024-01-02T03:04:05Z'), ('2024-01-02T03:04:05.678901+02:00'), ('2024-01-02T03:04:05.1-05:30'), ('none'), (null)"
+
+
+@query("select * from (values ('2024-01-02T03:04:05Z', '2024-01-02T03:04:05.000Z'), ('2024-01-02T03:04:05.678901+02:00', '2024-01-02T01:04:05.678Z'), ('2024-01-02T03:04:05.1-05:30', '2024-01-02T08:34:05.100Z'), ('none', null), (null, null)) t(ts, shown)")
+def iso_times(spark, d):
+    return values(spark, "ts", TIMES).select("ts", session.shown_time(F.unix_micros(session.parsed_time(F.col("ts")))).alias("shown"))
+
+
+# ---- further axes, logs, compression, transcripts --------------------------------------------------------
+
+
+def _vector_sql(text: str) -> str:
+    return f"{HashEmbedder().embed([text])[0]}::double[]"
+
+
+def _suffixed(axis: str) -> str:
+    return f"select vec_id as seq, round({COSINE.format(a='embedding', b=_vector_sql(QUERY + SUFFIX[axis]))}, 6) as score from embeddings order by score desc, seq limit 20"
+
+
+def _axis(spark, d, axis: str, **how):
+    vectors = C.table(spark, d, "embeddings").withColumnRenamed("vec_id", "seq").select("seq", "embedding")
+    return Retriever(C.events(spark, d), vectors, embedder=HashEmbedder()).axis(R.Axis(axis, **how), QUERY)
+
+
+@query(_suffixed("anti_pattern"))
+def anti_pattern_axis(spark, d):
+    return _axis(spark, d, "anti_pattern")
+
+
+@query(_suffixed("causal"))
+def causal_axis(spark, d):
+    return _axis(spark, d, "causal")
+
+
+_EC = "lower(substr(concat_ws(' ', event_type, props), 1, 500))"
+
+
+@query(f"with t as (select event_id, ts, {_EC} as c from events) select event_id as seq, 0.8::double as score from t where ({_B}) and not ({_G}) order by ts desc nulls last, event_id limit 20")
+def polarity_axis(spark, d):
+    return _axis(spark, d, "polarity", filter="failure")
+
+
+@query(f"with k as ({KEYWORD}), e as (select vec_id as seq, 0.5::double as score from embeddings where vec_id < 0), u as (select seq, score * 0.3 as score from k) select u.seq, round(u.score, 6) as score from u join documents d on d.doc_id = u.seq where contains(lower(d.source), 'src1')")
+def filtered_project(spark, d):
+    docs = C.documents(spark, d)
+    fused = R.fuse([], R.keyword(docs, QUERY).withColumn("score", F.round("score", 6)))
+    return R.filtered(docs.join(fused, "seq"), role="CONTEXT", project="SRC1").select("seq", F.round("score", 6).alias("score"))
+
+
+@query("select event_id as seq, user_id::varchar as thread from events order by event_id desc limit 25")
+def log_last(spark, d):
+    return session.lookup(C.events(spark, d), last=25).select("seq", "thread")
+
+
+@query(f"select thread, seq, turn from ({CONV}) where turn between 2 and 3")
+def log_turns(spark, d):
+    return session.lookup(_turns(spark, d), turns=(2, 3)).select("thread", "seq", "turn")
+
+
+@query(f"select thread, seq from ({CONV}) where thread = 3 and (thread || '-' || seq) in ('3-1', '3-0', '4-1')")
+def log_uids(spark, d):
+    log = _turns(spark, d).withColumn("uid", F.concat_ws("-", "thread", "seq"))
+    return session.lookup(log, thread=3, uids=["3-1", "3-0", "4-1"]).select("thread", "seq")
+
+
+@query(f"select thread, max(turn) as turn from ({CONV}) group by thread")
+def log_resume(spark, d):
+    return session.last_turn(_turns(spark, d))
+
+
+@query(f"with r as (select *, row_number() over (partition by thread order by seq desc) as r from ({CONV})) select thread, string_agg('[' || role || '] ' || substr(content, 1, 300), chr(10) order by seq) as tail from r where r <= 3 group by thread")
+def conversation_tail(spark, d):
+    return session.conversation_tail(_turns(spark, d), 3)
+
+
+_STEP = (
+    f"w as (select *, count(*) over (partition by thread) as n from ({CONV})), left_(thread, seq, role, content, turn) as (select thread, seq, role, content, turn from w where n >= 6 and turn > 1), l as (select *, count(*) over (partition by thread) as n from left_), "
+    "o as (select *, sum(length(content) // 4 + 4) over (partition by thread order by seq desc rows unbounded preceding) > 100 as old from l where n >= 6), "
+    "t as (select *, lower(substr(content, 1, 500)) as c, (row_number() over (partition by thread order by seq) - 1) // 10 as block from o where old)"
+)
+
+
+@query(f"with {_STEP} select thread, block, string_agg(seq::varchar, ',' order by seq) as refs, count(*) as n from t group by thread, block")
+def compression_step(spark, d):
+    log = _turns(spark, d)
+    blocks = session.compression_step(log, log.where("turn <= 1"), 100)
+    return blocks.select("thread", "block", "refs", F.size(F.split("refs", ",")).cast("long").alias("n"))
+
+
+_HISTORY = (
+    f"t as (select *, lower(substr(content, 1, 500)) as c, (row_number() over (partition by thread order by seq) - 1) // 3 as block from ({CONV}) where turn <= 2), "
+    f"b as (select thread, block, string_agg('[' || role || '] ' || substr(content, 1, 100), ' | ' order by seq) as summary, list(seq::varchar order by seq) as refs, case when bool_or({_B}) and not bool_or({_G}) then '[FAILED APPROACH] ' when bool_or({_G}) and not bool_or({_B}) then '[CONFIRMED] ' else '' end as p from t group by thread, block), "
+    "m as (select thread, block, p || summary || chr(10) || '[refs: ' || array_to_string(refs[1:6], ', ') || case when len(refs) > 6 then ' (+' || (len(refs) - 6) || ' more)' else '' end || ']' as content from b)"
+)
+_WITHIN = f"{_HISTORY}, h as (select *, sum(length(content) // 4 + 4) over (partition by thread order by block desc rows unbounded preceding) as running from m)"
+
+
+def _blocks(spark, d):
+    return session.compressed_blocks(_turns(spark, d).where("turn <= 2"), 3)
+
+
+@query(f"with {_WITHIN} select thread, block, content from h where running <= 120")
+def history_budget(spark, d):
+    return session.history_within(session.rendered_blocks(_blocks(spark, d)), 120).select("thread", "block", "content")
+
+
+@query(
+    f"with {_WITHIN}, k as (select * from h where running <= 120), c as (select *, sum(length(content) // 4 + 4) over (partition by thread order by seq desc rows unbounded preceding) as running from ({CONV}) where turn > 2), "
+    "u as (select distinct thread, 4 as layer, 0 as pos, 'user' as role, 'What next?' as content from (select conv_id as thread from conversations) union all select distinct thread, 2, -1, 'user', '<compressed_history>The following are summaries of earlier parts of our conversation:</compressed_history>' from k "
+    "union all select thread, 2, block, 'user', content from k union all select thread, 3, seq, role, content from c where running <= 300) select thread, layer, pos::bigint as pos, role, content from u"
+)
+def context_messages(spark, d):
+    return session.assembled(_turns(spark, d), _blocks(spark, d), "What next?", 300, 120)
+
+
+_BASE = f"epoch_us(timestamp '{AS_OF}')"
+
+
+@query(
+    f"with c as (select *, sum(length(content) // 4 + 50) over (partition by thread order by seq desc rows unbounded preceding) <= 300 as tail from ({CONV})), "
+    "i as (select thread, 1 as zone, 1 as part, x as spot, case x when 0 then 'user' else 'assistant' end as role, case x when 0 then 'Who are you?' else 'I am here.' end as content from (select distinct conv_id as thread from conversations), (values (0), (1)) v(x)), "
+    "a as (select * from i union all select thread, case when tail then 3 else 2 end, case when tail then 5 else 4 end, seq, case when role = 'user' then 'user' else 'assistant' end, content from c), "
+    "n as (select *, row_number() over (partition by thread, zone order by part, spot) - 1 as k, count(*) over (partition by thread, zone) as n, row_number() over (partition by thread order by part, spot) - 1 as pos from a) "
+    f"select thread, pos, zone, role, content, strftime(make_timestamp({_BASE} + case zone when 1 then (k - 60) * 1000000 when 2 then k * case when n > 1 then greatest(1000000, 3600000000 // (n - 1)) else 1000000 end else (7200 + k) * 1000000 end), '%Y-%m-%dT%H:%M:%S.%gZ') as timestamp from n"
+)
+def transcript_zones(spark, d):
+    return session.transcript_sections(_turns(spark, d), 300, as_of(), identity="I am here.").select("thread", "pos", "zone", "role", "content", "timestamp")
+
+
+# ---- further mining --------------------------------------------------------------------------------------
+
+
+@query(f"with m as ({CHAINS}), e as (select member, 'c' || chain as ref from m union select x.member, 'm' || y.member from m x join m y on x.chain = y.chain and x.member <> y.member) select member, string_agg(ref, ',' order by ref) as refs from e group by member")
+def xref_lists(spark, d):
+    return mining.xref_sets(mining.xrefs(_chains(spark, d))).select("member", F.array_join("refs", ",").alias("refs"))
+
+
+def _chain_rows(spark, d):
+    """Conversations as chains over documents, typed by their number."""
+    c = C.table(spark, d, "conversations").select(F.col("conv_id").alias("chain"), (F.col("conv_id") * 3 + F.col("turn")).alias("member"))
+    docs = C.table(spark, d, "documents").select(F.col("doc_id").alias("member"), "source")
+    rows = c.join(docs, "member", "left").groupBy("chain").agg(F.array_sort(F.collect_set(F.col("member").cast("string"))).alias("member_uids"), F.array_sort(F.collect_set("source")).alias("member_projects"))
+    kind = F.element_at(F.array(*map(F.lit, ("thematic", "causal", "correction", "orphan", "temporal"))), (F.col("chain") % 5 + 1).cast("int"))
+    return rows.select("chain", kind.alias("chain_type"), (F.size("member_projects") > 1).alias("cross_project"), F.concat(F.lit("about "), F.col("chain").cast("string")).alias("content"), "member_uids", "member_projects")
+
+
+_CHAIN_ROWS = "m as (select conv_id as chain, conv_id * 3 + turn as member from conversations), r as (select chain, count(distinct member) as n, list_sort(list_distinct(list(source) filter (where source is not null))) as projects from m left join documents on doc_id = member group by chain), k as (select *, ['thematic', 'causal', 'correction', 'orphan', 'temporal'][(chain % 5 + 1)::int] as kind from r)"
+
+
+@query(f"with {_CHAIN_ROWS}, p as (select chain, unnest(projects) as thread from k) select thread, count(*) as chains from p where thread <> '' group by thread")
+def project_chains(spark, d):
+    return mining.project_chains(_chain_rows(spark, d))
+
+
+@query(f"with {_CHAIN_ROWS} select kind as bucket, chain from k where kind <> 'temporal' union all select 'cross_project', chain from k where len(projects) > 1 union all select 'unfinished', chain from k where kind = 'orphan'")
+def report_buckets(spark, d):
+    return mining.chains_by_type(_chain_rows(spark, d))
+
+
+@query(f"with {_CHAIN_ROWS} select chain, '[' || chain || '] (' || kind || ') about ' || chain || ' [' || n || ' members, projects: ' || array_to_string(list_filter(projects, lambda p: p <> ''), ', ') || ']' as line from k")
+def synthesis_lines(spark, d):
+    return mining.synthesis_lines(_chain_rows(spark, d))
+
+
+@query(f"with {_CHAIN_ROWS}, p as (select unnest(projects) as thread from k) select count(distinct thread) as projects from p where thread <> ''")
+def synthesis_projects(spark, d):
+    return mining.project_total(_chain_rows(spark, d))
+
+
+_MINED = f"{_T} = '' or {_BR} or {_FI} or {_RE} or {_EM}".replace("content", "coalesce(dd.text, chr(32))")
+_LINKED = SQL["temporal_links"].replace("= v.vec_id)", f"= v.vec_id join documents dd on dd.doc_id = v.vec_id where not ({_MINED}))", 1)
+
+
+@query(
+    f"with l as ({_LINKED}), o as (select *, row_number() over (partition by least(seq_a, seq_b), greatest(seq_a, seq_b) order by week_a, week_b, cos desc) as r from l), h as (select * from o where r = 1) "
+    "select seq_a || ',' || seq_b as members, 'temporal: ' || week_a || ' ↔ ' || week_b as heading, (week_b - week_a)::int as days, round(cos, 3) as similarity, x.source <> y.source as cross_project, 'Temporal link (' || (week_b - week_a) || 'd): ' || substr(x.text, 1, 80) || ' ↔ ' || substr(y.text, 1, 80) as content "
+    "from h join documents x on x.doc_id = seq_a join documents y on y.doc_id = seq_b"
+)
+def temporal_chains(spark, d):
+    docs = C.documents(spark, d).select("seq", "role", "content", "thread")
+    dated = mining.minable(_dated(spark, d).join(docs, "seq"))
+    weeks = mining.week_links(dated)
+    found = mining.temporal_chains(docs, mining.chunk_links(dated, weeks, 0.3), weeks)
+    return found.select(F.array_join("member_uids", ",").alias("members"), "heading", F.col("temporal_distance_days").alias("days"), "similarity", "cross_project", "content")

@@ -12,9 +12,9 @@ from loomstone.streaming import log
 
 
 def test_budget_is_a_prefix(spark):
-    rows = spark.createDataFrame([(i, "x" * n, 1.0 - i / 10) for i, n in enumerate((20, 20, 40, 0))], "seq long, content string, score double")
+    rows = spark.createDataFrame([(i, "x" * n, "t", "u", None, 1.0 - i / 10) for i, n in enumerate((11, 11, 31, 0))], "seq long, content string, thread string, role string, ts timestamp, score double")
     assert [r.running for r in retrieval.budget(rows, 15).orderBy("seq").collect()] == [5, 10]
-    assert [r.running for r in retrieval.budget(rows, 20).orderBy("seq").collect()] == [5, 10, 20, 20]
+    assert [r.running for r in retrieval.budget(rows, 22).orderBy("seq").collect()] == [5, 10, 20, 22]
 
 
 def test_fusion_is_never_below_a_part(spark):
@@ -48,15 +48,15 @@ def test_identifiers_and_resolution(spark):
 
 
 def test_chunkers():
-    py = chunking.python_chunks("import os\n\nclass Foo:\n    def bar(self):\n        return 1234567890\n\ndef baz():\n    return 12345678901\n")
-    assert [(k, n) for k, n, _ in py] == [("file", "file"), ("class", "Foo"), ("function", "baz")]
-    go = chunking.go_chunks("type T struct {\n a int\n}\nfunc (t T) Go() {\n x()\n}\n")
-    assert [(k, n) for k, n, _ in go[1:]] == [("type", "T"), ("function", "Go")] and go[2][2].endswith("}")
-    js = chunking.js_chunks("export function a() {\n}\nconst b = (x) => {\n}\n")
-    assert [n for _, n, _ in js[1:]] == ["a", "b"]
-    java = chunking.java_chunks("public class A {\n  void go(int x) {\n    if (x > 0) { y(); }\n  }\n}\n")
-    assert [n for _, n, _ in java[1:]] == ["A", "go"]
-    assert chunking.json_chunks("{" + ", ".join(f'"k{i}": "{"v" * 900}"' for i in range(4)) + "}")[1][1] == "k0"
+    py = chunking.python_chunks("import os\n\nclass Foo(Base):\n    def bar(self):\n        return 1234567890\n\nasync def baz():\n    return 12345678901\n\ndef no(): pass\n", "p.py")
+    assert [(k, n) for k, n, _ in py] == [("file", "p.py"), ("class", "p.py:class Foo"), ("function", "p.py:def baz")]
+    go = chunking.go_chunks("type T struct {\n a int\n}\nfunc (t T) Go() {\n x()\n}\nfunc f() {}\n", "g.go")
+    assert [(k, n) for k, n, _ in go[1:]] == [("type", "g.go:T"), ("function", "g.go:Go")] and go[2][2].endswith("}")
+    js = chunking.js_chunks("export function a() {\n  return 1;\n}\nconst b = (x) => {\n  return 2;\n}\n  function inner() { return 3; }\nconst c = async (y\n", "j.js")
+    assert [n for _, n, _ in js[1:]] == ["j.js:a", "j.js:b"] and "inner" in js[2][2]
+    java = chunking.java_chunks("public class Aa {\n  void go(int x) {\n    if (x > 0) { y(); }\n  }\n  abstract int size(String names);\n}\nrecord Point(int x, int y) { int z; }\n", "A.java")
+    assert [n for _, n, _ in java[1:]][:2] == ["A.java:Aa", "A.java:go"] and {"A.java:size", "A.java:Point"} <= {n for _, n, _ in java}
+    assert chunking.json_chunks("{" + ", ".join(f'"k{i}": "{"v" * 900}"' for i in range(4)) + "}", "x.json")[1][1] == "x.json:k0"
 
 
 def test_truncate_middle_keeps_short_threads(spark):
@@ -216,12 +216,178 @@ def test_static_budget_reads_behind_sixty_short_documents(spark, tmp_path):
     got = sorted((r.seq, r.chars) for r in catalogue.QUERIES["context_budget_static"](spark, str(tmp_path)).collect())
     want, running = [], 0
     for i, text, *_ in texts:
-        n = len(text or "") // 4
+        n = len(f"--- doc-{i} ---\n{text or ''}\n") // 4
         if running + n <= 9000:
-            want.append((i, len(text) if text else None))
+            want.append((i, len(f"--- doc-{i} ---\n{text or ''}\n")))
         elif 9000 - running > 100:
-            want.append((i, (9000 - running) * 4))
+            want.append((i, len(f"--- doc-{i} (truncated) ---\n\n") + (9000 - running) * 4))
         running += n
     assert got == want and len(got) > 60
     paragraphs = catalogue.QUERIES["paragraph_groups"](spark, str(tmp_path))
     assert paragraphs.select("seq").distinct().count() == 198
+
+
+def test_rendered_chunks_and_empty_entity(spark):
+    rows = spark.createDataFrame([(1, "code", "pass", "t", None, "a.py:def f", "function"), (2, "user", "hi", None, None, "", "")], "seq long, role string, content string, thread string, ts timestamp, heading string, chunk_type string")
+    assert [r.chunk for r in retrieval.rendered(rows).orderBy("seq").collect()] == ["[1 t function] a.py:def f\npass", "[2 ?  user] hi"]
+    assert retrieval.entity(rows, "").count() == 0
+    assert retrieval.cull_indices("keep [3, 0,9] and [1]", 5) == [3, 0] and retrieval.cull_indices("none", 5) == [] and retrieval.cull_indices("[,]", 5) == []
+
+
+def test_retriever_resolves_names_and_falls_back(spark):
+    from loomstone.engine import Retriever
+    from loomstone.operators.retrieval import Decomposition
+
+    docs = spark.createDataFrame([(1, "context", "about session_spoof here", "t", None), (2, "context", "other words", "t", None)], "seq long, role string, content string, thread string, ts timestamp")
+
+    class Plan:
+        def decompose(self, query):
+            return Decomposition("rewritten", identifiers=("spoof_session",))
+
+    now = F.lit("2024-02-01").cast("timestamp")
+    known = spark.createDataFrame([("session_spoof",)], "identifier string")
+    assert [r.seq for r in Retriever(docs, decomposer=Plan(), known=known).retrieve("words", 1000, now).collect()] == [1]
+    assert Retriever(docs, decomposer=Plan()).retrieve("words", 1000, now).count() == 0
+    static = spark.createDataFrame([(0, "a.md", "x" * 400), (1, "b.md", "y" * 4000)], "seq long, path string, content string")
+    got = [r.chunk for r in Retriever(None, static=static).retrieve("q", 300, now).orderBy("seq").collect()]
+    assert got[0] == f"--- a.md ---\n{'x' * 400}\n" and got[1].startswith("--- b.md (truncated) ---\nyyy") and got[1].count("y") == (300 - len(got[0]) // 4) * 4
+
+
+def test_static_sources_and_markdown(spark, tmp_path):
+    (tmp_path / "plans").mkdir()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "plans" / "one.md").write_text("# A\nbody\n# B\nmore")
+    (tmp_path / "p" / "CLAUDE.md").write_text("n" * 600_000)
+    (tmp_path / "p" / "other.md").write_text("z")
+    (tmp_path / "t.txt").write_text("text")
+    found = corpus.static_sources(spark, [str(tmp_path / "*.txt"), str(tmp_path / "p"), str(tmp_path / "missing")])
+    assert [r.path.rsplit("/", 1)[1] for r in found.orderBy("seq").collect()] == ["t.txt", "CLAUDE.md", "other.md"]
+    entries = corpus.markdown_entries(corpus.read_markdown(spark, str(tmp_path))).orderBy("thread", "pos").collect()
+    assert [(r.thread, r.heading, len(r.content)) for r in entries] == [("p", "preamble", 600_000), ("plans", "A", 8), ("plans", "B", 8)]
+    assert corpus.static_sources(spark, []).count() == 0 and corpus.read_head(spark, str(tmp_path / "p")).where("length(text) > 16000").count() == 0
+
+
+def test_session_ingest_from_files(spark, tmp_path):
+    folder = tmp_path / "-home-u-projects-bridge"
+    folder.mkdir()
+    say = lambda kind, content, **more: json.dumps({"type": kind, "message": {"role": kind, "content": content}, **more}) + "\n"
+    tool = [{"type": "text", "text": "done"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "a.py"}}]
+    lines = say("user", "first") + say("summary", "no") + say("assistant", [tool[1]]) + say("user", "  ") + say("assistant", tool, sessionId="s9") + "{broken\n" + say("user", [{"type": "text", "text": "typed"}])
+    (folder / "x.jsonl").write_text(lines)
+    got = [(r.seq, r.role, r.content, r.turn, r.thread, r.source_session) for r in corpus.read_sessions(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got[0] == (0, "user", "first", 1, "bridge", "x") and got[1] == (4, "assistant", "done\n[Read: a.py]", 2, "bridge", "s9") and got[2][0] == 6 and got[2][3] == 3
+    assert corpus.read_sessions(spark, str(folder / "x.jsonl"), project="mine").first().thread == "mine"
+    said = [r.content for r in corpus.conversation_turns(corpus.read_lines(spark, str(tmp_path))).orderBy("seq").collect()]
+    assert said[0] == "first" and said[-1] == "typed" and said[1].startswith("done") and len(said) == 3
+    seen = corpus.read_lines(spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n")).collect()
+    with open(folder / "x.jsonl", "a") as f:
+        f.write(say("assistant", "later"))
+    known = spark.createDataFrame([tuple(r) for r in seen], "path string, n long")
+    new = corpus.new_lines(corpus.read_lines(spark, str(tmp_path)), known)
+    assert [r.line for r in new.collect()] == [7] and [r.content for r in log.entries(new).collect()] == ["later"]
+
+
+def test_cleaner_rewrites(spark, tmp_path):
+    from loomstone.sources import sinks
+
+    root = tmp_path / "corpus"
+    root.mkdir()
+    (root / "a.jsonl").write_text('{"role": "user", "content": "hi"}\n{"role": "assistant", "content": "[x]"}\n')
+    (root / "b.jsonl").write_text("not json\n")
+    assert sinks.clean_corpus(spark, str(root)) == [("a.jsonl", 1, 1), ("b.jsonl", 1, 0)]
+    assert (root / "a.jsonl").exists()
+    sinks.clean_corpus(spark, str(root), dry_run=False)
+    assert sorted(r.value for r in spark.read.option("recursiveFileLookup", "true").text(str(root)).collect()) == ["not json", '{"role": "user", "content": "hi"}']
+
+
+def test_state_report_and_blocks(spark, tmp_path):
+    from loomstone.sources import sinks
+
+    state = str(tmp_path / "state")
+    assert sinks.read_state(spark, state) is None
+    sinks.write_state(spark, state, {"pass_count": 2, "converged": True})
+    sinks.write_state(spark, state, {"pass_count": 3, "converged": False})
+    assert sinks.read_state(spark, state)["pass_count"] == 3
+    chains = spark.createDataFrame([("c1", "orphan", True, "text")], "chain string, chain_type string, cross_project boolean, content string")
+    members = spark.createDataFrame([("c1", "1:t:x", 1)], "chain string, members string, threads long")
+    kernels = spark.createDataFrame([("k1", "orphan", 5, "c1", 1)], "kernel string, kind string, importance int, chains string, place int")
+    rows = mining.report_rows(chains, members, kernels, spark.range(1).select(F.lit(7).alias("corpus_entries")))
+    sinks.write_report(rows, str(tmp_path / "live"), str(tmp_path / "versions"), "r1")
+    sinks.write_report(rows, str(tmp_path / "live"), str(tmp_path / "versions"), "r2")
+    back = spark.read.text(str(tmp_path / "live"))
+    assert {r.section for r in back.collect()} == {"profile", "kernels", "orphan", "cross_project", "unfinished"} and len(os.listdir(tmp_path / "versions")) == 2
+    assert "## orphan chains" in sinks.markdown_report(kernels.withColumn("content", F.lit("k")), chains=mining.chains_by_type(chains).join(chains, "chain"))
+
+
+def test_missing_index_is_empty(spark, tmp_path):
+    from loomstone.operators import index
+
+    assert index.load(spark, str(tmp_path), "identifiers").count() == 0 and index.newest(spark, str(tmp_path / "none")) is None
+    (tmp_path / "f.py").write_text("x")
+    assert index.newest(spark, str(tmp_path)) is not None
+    assert [(r.project, r.content) for r in index.read_codebases(spark, {"p": str(tmp_path)}).collect()] == [("p", "x")]
+
+
+def test_due_and_config():
+    from datetime import datetime, timedelta
+
+    from loomstone import config
+
+    now = datetime(2024, 1, 2)
+    back = lambda h: now - timedelta(hours=h)
+    assert log.due(back(1), back(5), now) and log.due(back(1), None, now)
+    assert not log.due(None, None, now) and not log.due(back(0.1), back(5), now) and not log.due(back(6), back(5), now) and not log.due(back(0.4), back(0.5), now)
+    own = config.merged({"token_budgets": {"recent_tail": 5}, "models": {"cull": "m"}})
+    assert own["token_budgets"]["recent_tail"] == 5 and own["token_budgets"]["dynamic_context"] == 30_000
+    assert config.model_name("cull", own, environment={}) == "m" and config.model_name("cull", own, environment={"LOOMSTONE_CULL_MODEL": "e"}) == "e" and config.model_name("embed", own, "d", {}) == "d"
+
+
+def test_providers_embed_and_retell(spark):
+    from loomstone import providers
+
+    class FlakyEmbedder:
+        def embed(self, texts):
+            if len(texts) > 1 or "bad" in texts[0]:
+                raise ValueError("down")
+            return [[float(len(texts[0]))]]
+
+    class Retelling:
+        def narrate(self, turns):
+            return None if "keep" in turns[0][1] else 'so [{"role": "user", "content": "all of it"}]'
+
+
+    rows = spark.createDataFrame([(1, "x" * 9000), (2, "bad"), (3, None)], "seq long, content string")
+    assert [r.embedding for r in providers.embedded(rows, FlakyEmbedder()).orderBy("seq").collect()] == [[8000.0], None, [0.0]]
+    turns = [(t, i, "user" if i % 2 == 0 else "assistant", f"{t} {i}") for t, n in (("long", 30), ("keep", 30), ("short", 5)) for i in range(n)]
+    out = providers.narrated(spark.createDataFrame(turns, "thread string, seq long, role string, content string"), Retelling())
+    assert {r.thread: r.n for r in out.groupBy("thread").agg(F.count("*").alias("n")).collect()} == {"long": 1, "keep": 30, "short": 5}
+    assert set(providers.POLICIES) == {"tokens", "turns"}
+
+
+def test_transcript_sections(spark):
+    log_rows = spark.createDataFrame([("t", i, "user" if i % 2 == 0 else "assistant", "x" * 40, 1 + i // 2, "2024-03-01 10:00:00" if i == 5 else None) for i in range(6)], "thread string, seq long, role string, content string, turn long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    recall = spark.createDataFrame([("t", 0, "one\n\ntwo")], "thread string, seq long, content string")
+    blocks = session.compressed_blocks(log_rows.where("turn = 1"), 2)
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    out = session.transcript_sections(log_rows, 130, base, "me", recall, blocks)
+    got = out.orderBy("pos").collect()
+    assert [r.zone for r in got] == [1] * 6 + [2] * 4 + [3] * 2 and [r.content for r in got[:4]] == [session.IDENTITY, "me", session.RECALL, "one\n\ntwo"]
+    assert got[0].timestamp == "2023-12-31T23:59:00.000Z" and got[5].timestamp == "2023-12-31T23:59:05.000Z" and got[5].content == "Noted."
+    assert [r.timestamp[11:19] for r in got[6:]] == ["00:00:00", "00:20:00", "00:40:00", "01:00:00", "02:00:00", "10:00:00"]
+    assert got[0].parent_uuid is None and all(b.parent_uuid == a.uuid for a, b in zip(got, got[1:], strict=False))
+    record = json.loads(session.transcript_records(out, "/w").orderBy("pos").collect()[1].value)
+    assert record["type"] == "assistant" and record["message"]["content"] == [{"type": "text", "text": "me"}] and record["parentUuid"] == got[0].uuid and record["cwd"] == "/w"
+
+
+def test_seed_bands(spark):
+    rows = [(i, r, t, ts, "text") for i, (r, t, ts) in enumerate([("user", "f", None)] * 3 + [("chain", "f", None)] * 2 + [("user", "o", "2024-01-30")] * 2 + [("user", "o", "2023-01-01")] * 2 + [("user", "o", None)])]
+    df = spark.createDataFrame(rows, "seq long, role string, thread string, ts string, content string").withColumn("ts", F.col("ts").cast("timestamp"))
+    chained = spark.createDataFrame([(9,)], "seq long")
+    got = mining.seeds(df, chained, "f", 100, F.lit("2024-02-01").cast("timestamp")).orderBy("place").collect()
+    assert [r.priority for r in got] == [2.5] * 3 + [2.0, 1.5, 1.0] * 2 + [0.5]
+
+
+def test_clusters_leave_chains_and_low_signal_out(spark):
+    rows = spark.createDataFrame([(i, r, "t", None, c, [1.0, i / 100]) for i, (r, c) in enumerate([("user", "a b"), ("chain", "a c"), ("user", "[Read: x]"), ("user", "a d"), ("user", "a e")])], "seq long, role string, thread string, ts timestamp, content string, embedding array<double>")
+    assert sorted(r.seq for r in mining.clusters(rows, rows.where("seq = 0")).collect()) == [0, 3, 4]
+    assert sorted(r.seq for r in mining.clusters(rows, rows.where("seq in (0, 1)")).where("seed_seq = 0").collect()) == [0, 1, 3, 4]
