@@ -7,7 +7,8 @@ page after page: it is removed from every page of the host. A page's own marks a
 1 within a marked article or around it, 0 beside it, 0.5 where a page marks none; the prior counts as a few pages,
 so marks decide on a host with one page and the tree decides on others, within an article too. Elements that name
 themselves as something other than the article (menus, forms, adverts, scripts and so on) go by name: their words
-change from page to page like the article's, so entropy cannot tell them. What remains is decoded and cut into blocks.
+change from page to page like the article's, so entropy cannot tell them; within a marked article only containers whose
+whole class says so. What remains is decoded and cut into blocks.
 
 Edge cases. A null page counts as empty, and its text is empty. A page without a host is judged by its elements
 alone. Pages of a host that say the same count once in its tree. Unclosed elements end with their parent or the page;
@@ -17,9 +18,9 @@ No text is cut.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +43,7 @@ SALTS = 16
 # fixed values: elements by their kind
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg"}
-OTHER = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "object", "canvas", "head", "input", "label", "fieldset"}
+OTHER = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "object", "canvas", "head", "input"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html",
     "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "aside", "menu", "dialog",
@@ -52,6 +53,9 @@ NAMES = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget",
 }
+#: Within a marked article a name counts only on a container and as a whole class; other names are the article's own.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details"}
+INNER_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "comment-list", "disqus", "sidebar", "sponsored", "newsletter", "cookie-notice", "nav", "navigation", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
@@ -66,23 +70,30 @@ class Node:
     path: int
     dropped: bool
     article: bool
+    parent: Node | None = None
     children: int = 0
     content: int = 0
     around: bool = False
+    verdict: bool = True  # of main_text, which sees parents before their children
 
 
 @dataclass
 class Page:
-    """Blocks in page order with the style paths above them and those beside a marked article; (path, content,
-    presentation, prior) of each element that isn't named as something else; a digest of the whole."""
+    """Blocks in page order with their element, and the style of bare text beside a marked article; the elements, parents
+    first; (path, content, presentation, prior) of each that isn't named as something else; a digest of the whole."""
 
-    blocks: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = field(default_factory=list)
+    blocks: list[tuple[str, Node, int | None]] = field(default_factory=list)
+    tree: list[Node] = field(default_factory=list)
+    marked: bool = False
     nodes: list[tuple[int, int, int, float]] = field(default_factory=list)
     mark: int = 0
 
 
+BITS = (1 << 62) - 1
+
+
 def digest(*parts: object) -> int:
-    return zlib.crc32(repr(parts).encode("utf-8", "surrogatepass"))
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & BITS
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -97,14 +108,18 @@ def names_other(tag: str, own: dict[str, str], in_article: bool) -> bool:
         return False
     if own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true":
         return True
-    words = set(WORDS.split(f"{own.get('class', '')} {own.get('id', '')}"))
-    return tag not in ("html", "body", "article", "main") and bool(words & NAMES - ({"header"} if in_article else set()))
+    if tag in ("html", "body", "article", "main") and not (in_article and tag == "article"):
+        return False
+    if in_article:
+        return tag in (*CONTAINERS, "article") and not INNER_NAMES.isdisjoint(own.get("class", "").split())
+    return not NAMES.isdisjoint(WORDS.split(f"{own.get('class', '')} {own.get('id', '')}"))
 
 
 def parse(source: str) -> Page:
     page, stack = Page(), [Node("", 0, False, False)]
+    page.tree.append(stack[0])
     text: list[str] = []
-    blocks: list[tuple[str, int, list[Node]]] = []
+    blocks: list[tuple[str, int, Node]] = []
     nodes: list[Node] = []
 
     def flush() -> None:
@@ -112,18 +127,19 @@ def parse(source: str) -> Page:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                mark = digest(block)
-                if not stack[-1].dropped:
-                    blocks.append((block, mark, stack[1:]))
-                    if stack[-1].article:
-                        for n in stack:
-                            n.around = True
-                for n in stack:
-                    n.content = (n.content * 31 + mark) & 0xFFFFFFFF
+                mark, top = digest(block), stack[-1]
+                if not top.dropped:
+                    blocks.append((block, mark, top))
+                    n = top if top.article else None
+                    while n is not None and not n.around:
+                        n.around, n = True, n.parent
+                top.content = (top.content * 31 + mark) & BITS
 
     def close() -> None:
         flush()
         n = stack.pop()
+        if n.content:  # a parent's content is its blocks' and its children's
+            n.parent.content = (n.parent.content * 31 + n.content + 1) & BITS
         if not n.dropped:
             nodes.append(n)
 
@@ -178,25 +194,28 @@ def parse(source: str) -> Page:
             flush()
         style = f"{tag}.{own.get('class', '')}" + ("#main" if own.get("role") == "main" else "")
         top.children = digest(top.children, style)
-        stack.append(Node(tag, digest(top.path, style), top.dropped or other, top.article or tag in ("article", "main") or own.get("role") == "main"))
+        stack.append(Node(tag, digest(top.path, style), top.dropped or other, top.article or tag in ("article", "main") or own.get("role") == "main", top))
+        page.tree.append(stack[-1])
     while len(stack) > 1:
         close()
     flush()
-    marked = stack[0].around
-    page.mark = stack[0].content << 31 ^ stack[0].children
+    page.marked = marked = stack[0].around
+    page.mark = digest(stack[0].content, stack[0].children)
     page.nodes = [(n.path, n.content, n.children, 0.5 if not marked else float(n.article or n.around)) for n in nodes]
-    for block, mark, above in blocks:
-        beside = [n.path for n in above if not (n.article or n.around)] if marked else []
-        if marked and not beside and not (above and above[-1].article):  # bare text between branches
-            beside = [digest(above[-1].path if above else 0, "#text")]
-            page.nodes.append((beside[0], mark, 0, 0.0))
-        page.blocks.append((block, tuple(n.path for n in above), tuple(beside)))
+    for block, mark, top in blocks:
+        bare = None
+        if marked and not top.article and top.around:  # bare text between branches
+            bare = digest(top.path, "#text")
+            page.nodes.append((bare, mark, 0, 0.0))
+        page.blocks.append((block, top, bare))
     return page
 
 
 def main_text(page: Page, low: set[int], high: set[int] = frozenset()) -> str:
     """The blocks less removed branches; beside a marked article only branches that the tree found important stay."""
-    return "\n".join(b for b, path, beside in page.blocks if low.isdisjoint(path) and high.issuperset(beside))
+    for n in page.tree[1:]:
+        n.verdict = n.parent.verdict and n.path not in low and (not page.marked or n.article or n.around or n.path in high)
+    return "\n".join(b for b, top, bare in page.blocks if top.verdict and (bare is None or bare in high))
 
 
 def importance_table(pages: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
@@ -214,7 +233,7 @@ def importance_table(pages: DataFrame, least_pages: int = LEAST_PAGES, low: floa
                 seen: dict[int, tuple[int, int, float]] = {}
                 for path, content, children, prior in page.nodes:
                     a, b, c = seen.get(path, (0, 0, 0.0))
-                    seen[path] = (a * 31 + content & 0xFFFFFFFF, b * 31 + children & 0xFFFFFFFF, max(c, prior))
+                    seen[path] = (a * 31 + content & BITS, b * 31 + children & BITS, max(c, prior))
                 rows.update((host, path, page.mark, *rest) for path, rest in seen.items())
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.string(), *[pa.int64()] * 4, pa.float64()]

@@ -259,6 +259,61 @@ def test_html_article():
     assert html.main_text(html.parse(""), set()) == ""
 
 
+def test_html_article_keeps_its_own_names():
+    page = html.parse('<article><h2 id="related">Related work</h2><p class="search-results">Found</p><div class="share">Share of it</div><label>Name</label><div class="comments"><p>c</p></div><section class="body ad"><p>buy</p></section></article>')
+    assert html.main_text(page, set()) == "Related work\nFound\nShare of it\nName"
+
+
+def test_html_parses_deep_pages_in_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        page = html.parse("<div>x" * n)
+        assert html.main_text(page, set()).count("x") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def brute_tree(pages):
+    """Importance of every style path of one host's pages, from the sets of what each page says there."""
+    import math
+
+    parsed = {(p.mark): p for p in map(html.parse, pages)}.values()
+    seen = collections.defaultdict(list)
+    for p in parsed:
+        own = {}
+        for path, content, children, prior in p.nodes:
+            a, b, c = own.get(path, (0, 0, 0.0))
+            own[path] = (a * 31 + content & html.BITS, b * 31 + children & html.BITS, max(c, prior))
+        for path, x in own.items():
+            seen[path].append(x)
+    out = {}
+    for path, rows in seen.items():
+        n = len(rows)
+        if n > 1:
+            h = [-sum(k / n * math.log(k / n) for k in collections.Counter(r[i] for r in rows).values()) / math.log(n) for i in (0, 1)]
+            h = (1 - html.PRESENTATION_WEIGHT) * h[0] + html.PRESENTATION_WEIGHT * h[1]
+            held = (html.LEAST_PAGES - 1) * html.LOW_IMPORTANCE / (1 - html.LOW_IMPORTANCE)
+            out[path] = round((n * h + held * sum(r[2] for r in rows) / n) / (n + held), 9) >= html.LOW_IMPORTANCE
+    return out
+
+
+def test_html_tree_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for i in range(60):
+        boxes = "".join(f"<div class={c}>{rng.choice(words)}</div>" for c, words in (("a", ["same"]), ("b", ["one", "two"]), ("c", [f"own {i}"]), ("d", [f"x{k}" for k in range(9)])) if rng.random() < 0.9)
+        pages.append(f"<{rng.choice(['article', 'div'])} class=m><p>Text {i}</p>{boxes}</div>{boxes}")
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = {r.path: r.important for r in html.importance_table(df).collect()}
+    want = brute_tree(pages)
+    assert got and {p for p, ok in got.items() if not ok} == {p for p, ok in want.items() if not ok} and all(want[p] for p, ok in got.items() if ok)
+
+
 def test_html_style_tree_removes_repeated_branches(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div class=top>Same words on every page</div><div class=text><p>Body {i} is its own {'x' * i}</p></div></body>") for i in range(20)]
     rows += [(100, None, None), (101, "http://lone.org/", "<div class=top>Same words on every page</div>"), (101, "http://lone.org/", "<div class=top>Same words on every page</div>")]
