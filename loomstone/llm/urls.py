@@ -75,24 +75,55 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lowered(F.concat(host, F.lit("/"), path)), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def url_filter(df: DataFrame, key: str = "page_id", url: str = "url", rules: list[PatternRule] | None = None) -> DataFrame:
+RULE_COLUMNS = ("rule", "action", "pattern", "tokens", "site")
+
+
+def rule_table(spark, rules: list[PatternRule]) -> DataFrame:
+    """A list of rules as a table."""
+    rows = [(r.rule, r.action, r.pattern, " ".join(r.tokens), r.site) for r in rules]
+    return literal_rows(spark, list(RULE_COLUMNS), rows).withColumn("tokens", F.split("tokens", " "))
+
+
+def read_rules(spark, path: str) -> DataFrame:
+    """Rules of a CSV file (header: rule, action, pattern, tokens). Without a pattern a row is a site rule, host/path; with
+    one, tokens are the words, between spaces, that any match must hold. Malformed and repeated rows go."""
+    rows = spark.read.option("header", "true").schema("rule string, action string, pattern string, tokens string").csv(path)
+    rows = rows.where(F.col("rule").isNotNull() & F.col("action").isin("block", "allow")).distinct()
+    host, rest = F.substring_index("rule", "/", 1), F.regexp_extract("rule", "^[^/]*(/.*)?$", 1)
+    # a prefix may end within a token of a URL's path, so its last piece is no literal
+    whole = F.split(lowered(rest), "[^a-z0-9]+")
+    literals = F.array_distinct(F.filter(F.concat(F.split(lowered(host), "[^a-z0-9]+"), F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0)))), lambda t: t != ""))
+    quote = lambda c: F.regexp_replace(c, r"([\\.^$|()\[\]{}*+?\-])", r"\\$1")
+    site = F.coalesce("pattern", F.lit("")) == ""
+    pattern = F.when(site, F.concat(F.lit(r"^([^/?#]*\.)?"), quote(lowered(host)), quote(F.when(rest == "", "/").otherwise(rest)))).otherwise(F.col("pattern"))
+    tokens = F.when(site, literals).otherwise(F.filter(F.split(lowered(F.coalesce("tokens", F.lit(""))), " "), lambda t: t != ""))
+    return rows.select("rule", "action", pattern.alias("pattern"), tokens.alias("tokens"), site.alias("site")).where(F.size("tokens") > 0)
+
+
+def url_filter(df: DataFrame, key: str = "page_id", url: str = "url", rules: list[PatternRule] | DataFrame | None = None) -> DataFrame:
     """Per row: key, host, path, rule, verdict, pattern (the block pattern that decided, if one did).
 
-    The only shuffle is of the URLs by their key; tokens, candidates and matches stay in those partitions.
+    rules: a list, or a table (rule, action, pattern, tokens, site) of any size. The only shuffle is of the URLs by
+    their key; tokens, candidates and matches stay in those partitions. Tables beyond MAX_BROADCAST_RULES are joined
+    by a shuffle of tokens.
     """
-    rules = default_rules() if rules is None else rules
     spark = df.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = default_rules() if rules is None else rules
+        few, rules = len(rules) <= MAX_BROADCAST_RULES, rule_table(spark, rules)
+    else:
+        few = rules.count() <= MAX_BROADCAST_RULES
     base = url_parts(df.select(F.col(key).alias("__k"), F.col(url).alias("__u")).groupBy("__k", "__u").agg(F.count("*").alias("__n")), "__u")
     tokenized = base.withColumn("__t", tokens_of(F.col("host"), F.col("path")))
-    index = rarest_token_index(spark, url_parts(df.select(F.col(url).alias("__u")), "__u").select(F.explode(tokens_of(F.col("host"), F.col("path"))).alias("token")), rules)
-    index = F.broadcast(index) if len(rules) <= MAX_BROADCAST_RULES else index
+    met = url_parts(df.select(F.col(url).alias("__u")), "__u").select(F.explode(tokens_of(F.col("host"), F.col("path"))).alias("token"))
+    index = rarest_token_index(met, rules, few)
     found = (
         tokenized.withColumn("token", F.explode_outer("__t"))
-        .join(index, "token", "left")
+        .join(F.broadcast(index) if few else index, "token", "left")
         .withColumn("__hit", F.col("pattern").isNotNull() & F.rlike(F.concat("host", "path"), F.col("pattern")))
         .groupBy("__k", "__u", "__n", "host", "path")
         .agg(
-            F.max(F.when(F.col("__hit") & F.col("site"), F.struct(F.length("rule").alias("len"), F.col("order").alias("order"), "rule", "action"))).alias("__site"),
+            F.min(F.when(F.col("__hit") & F.col("site"), F.struct((-F.length("rule")).alias("len"), "rule", "action"))).alias("__site"),
             F.min(F.when(F.col("__hit") & ~F.col("site"), F.struct("rule", "action"))).alias("__other"),
         )
     )
@@ -107,17 +138,14 @@ def url_filter(df: DataFrame, key: str = "page_id", url: str = "url", rules: lis
     ).drop("__i")
 
 
-def rarest_token_index(spark, tokens: DataFrame, rules: list[PatternRule]) -> DataFrame:
-    """One row a rule: its rarest literal token (ties: the smaller) over all tokens, with what the rule needs.
-
-    Only counts of the rules' own tokens reach the driver: as many as the rule table has tokens.
-    """
-    literals = sorted({t for r in rules for t in r.tokens})
-    wanted = literal_rows(spark, ["token"], [(t,) for t in literals])
-    counts = dict(tokens.join(F.broadcast(wanted) if len(literals) <= MAX_BROADCAST_RULES else wanted, "token").groupBy("token").count().collect())
-    ordered = {r: -i for i, r in enumerate(sorted(r.rule for r in rules))}
-    rows = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.rule, r.action, r.pattern, r.site, ordered[r.rule]) for r in rules]
-    return literal_rows(spark, ["token", "rule", "action", "pattern", "site", "order"], rows)
+def rarest_token_index(met: DataFrame, rules: DataFrame, few: bool) -> DataFrame:
+    """One row a rule: its rarest literal token (ties: the smaller) over all tokens met, with what the rule needs."""
+    needed = rules.withColumn("token", F.explode("tokens")).drop("tokens")
+    wanted = needed.select("token").distinct()
+    counts = met.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    counted = needed.join(F.broadcast(counts) if few else counts, "token", "left")
+    keys = ["rule", "action", "pattern", "site"]
+    return counted.groupBy(*keys).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("m")).select(F.col("m.token").alias("token"), *keys)
 
 
 def literal_rows(spark, names: list[str], rows: list[tuple]) -> DataFrame:

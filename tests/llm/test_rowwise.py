@@ -246,6 +246,20 @@ def test_urls(spark):
     assert urls.url_filter(df.limit(0)).count() == 0
 
 
+def test_url_rules_from_a_table(spark, tmp_path, monkeypatch):
+    (tmp_path / "r.csv").write_text("rule,action,pattern,tokens\nnet/,block,,\nexample.net/en/,allow,,\nexample.com/de/,block,,\norg/fr/,allow,,\nbet,block,(^|[./-])bets?([./-]|$),bet\nbroken,maybe,,\nnet/,block,,\n")
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    sites = lambda rows: {r.page_id: (r.host, r.path, r.rule) for r in rows}
+    want = sites(urls.url_filter(df, rules=[urls.site_rule(*r) for r in urls.SITE_RULES]).collect())
+    rules = urls.read_rules(spark, str(tmp_path / "r.csv"))
+    assert rules.count() == 5
+    for most in (50_000, 2):  # beyond the limit rules are joined by a shuffle
+        monkeypatch.setattr(urls, "MAX_BROADCAST_RULES", most)
+        assert sites(urls.url_filter(df, rules=rules).collect()) == want
+    one = spark.createDataFrame([(1, "http://a.x/bet/1"), (2, "http://a.x/bets")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.url_filter(one, rules=rules).collect()} == {1: "block", 2: "allow"}
+
+
 # ---- HTML ----
 
 
