@@ -1,9 +1,10 @@
 """Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
-Each unit vector is projected on many random lines. Two vectors collide on a line if they lie in one window,
-centred on either; the number of lines on which a pair collides decides whether its cosine is computed. Lines
-are also taken in tables of a few each: their values, sorted and cut at random offsets into cells, give the
-groups within which pairs are counted at all. Width, lines a table, tables and the count a pair must reach
+Each unit vector is projected on many random lines, each line's values are sorted, and a window is laid around every
+vector on every line. A pair collides on a line if one lies in the other's window; the number of lines on which it
+collides decides whether its cosine is computed. Windows of single lines hold a fixed share of all vectors, whatever
+their number, so this would count a share of all pairs: lines are first taken in tables of a few each, cut at random
+offsets into cells, and sorting and counting go on within the cells. Width, lines a table, tables and the count a pair must reach
 follow from the wanted recall at the threshold and the size of the largest label, as in locality-sensitive
 hashing, so work grows nearly linearly with the rows where labels are not dense.
 
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import Forest, connected_components, discard, grouped, stage
+from loomstone.llm.common import Forest, arrow_map, connected_components, discard, grouped, stage
 
 THRESHOLD = 0.98
 RECALL = 0.9999
 CELL = 6.0  # width of a cell in distances at the threshold
 WINDOW = 2.0  # half width of a window in distances at the threshold
-PARTNERS = 8  # unrelated vectors that may share a group, on average
+PARTNERS = 64  # unrelated vectors that may share a group, on average
 BLOCK = 1024
 
 
@@ -96,20 +97,43 @@ def cells_of(units: np.ndarray, plan: Plan) -> np.ndarray:
     return h.view(np.int64)
 
 
-def link_group(units: np.ndarray, copies: np.ndarray, cells: np.ndarray, table: int, split: np.ndarray | None, plan: Plan, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+class Windows:
+    """Sorted projections of one group, and the windows centred on each of its vectors."""
+
+    def __init__(self, units: np.ndarray, plan: Plan):
+        projected = units @ lines_of(plan, units.shape[1])[0]
+        self.n, self.needed = len(units), plan.needed
+        self.order = np.argsort(projected, axis=0).astype(np.int32).T.copy()
+        ranked = np.take_along_axis(projected.T, self.order, axis=1)
+        self.low = np.stack([np.searchsorted(r, q - plan.window) for r, q in zip(ranked, projected.T, strict=True)])
+        self.high = np.stack([np.searchsorted(r, q + plan.window, side="right") for r, q in zip(ranked, projected.T, strict=True)])
+
+    def colliding(self, v: int) -> np.ndarray:
+        """Vectors that lie in v's windows on as many lines as needed."""
+        met = np.concatenate([o[a:b] for o, a, b in zip(self.order, self.low[:, v].tolist(), self.high[:, v].tolist(), strict=True)])
+        return np.flatnonzero(np.bincount(met, minlength=self.n) >= self.needed)
+
+
+def link_group(units: np.ndarray, copies: np.ndarray, table: int, split: np.ndarray | None, plan: Plan, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row (weighted by copies) and a spanning forest of them, within one group."""
-    n = len(units)
-    projected = units @ lines_of(plan, units.shape[1])[0]
+    n, windows = len(units), Windows(units, plan)
+    cells: dict[int, np.ndarray] = {}
     links, edges, forest = np.zeros(n, np.int64), [], Forest(n)
+
+    def cells_at(rows: np.ndarray) -> np.ndarray:
+        new = [r for r in rows.tolist() if r not in cells]
+        if new:
+            cells.update(zip(new, cells_of(units[new], plan), strict=True))
+        return np.stack([cells[r] for r in rows.tolist()])
+
     for v in range(n - 1):
-        others = np.arange(v + 1, n) if split is None else np.flatnonzero(split[v + 1 :] != split[v]) + v + 1
-        if not len(others):
-            continue
-        near = others[(np.abs(projected[others] - projected[v]) <= plan.window).sum(axis=1) >= plan.needed]
+        near = windows.colliding(v)
+        near = near[near > v] if split is None else near[(near > v) & (split[near] != split[v])]
         if len(near):
             near = near[units[near] @ units[v] >= threshold]
         if len(near):
-            near = near[(cells[near] == cells[v]).argmax(axis=1) == table]
+            both = cells_at(np.append(near, v))
+            near = near[(both[:-1] == both[-1]).argmax(axis=1) == table]
         if len(near):
             links[v] += copies[near].sum()
             links[near] += copies[v]
@@ -119,7 +143,9 @@ def link_group(units: np.ndarray, copies: np.ndarray, cells: np.ndarray, table:
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component_id, kept), a row for each distinct key; a null key's row has null component and is kept."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    # float components stay so where they are moved; cosines are computed in double precision
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(kind).alias("v"))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False)))
     one = stage(rows.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"), "vectors")
     good = one.where(ok).withColumn("same", F.xxhash64("label", "v"))
@@ -133,16 +159,16 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             sizes = vectors.value_lengths().to_numpy()
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                v = vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), size)
+                v = vectors.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), size)
                 for i, c in zip(at.tolist(), cells_of(unit_rows(v), plan), strict=True):
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int64()))], names=["rep", "cells"])
 
-    cells = stage(groups.select("rep", "v").mapInArrow(cell_rows, "rep long, cells array<long>"), "vector-cells")
+    cells = stage(arrow_map(groups.select("rep", "v"), cell_rows, "rep long, cells array<long>"), "vector-cells")
     dealt = cells.join(groups.select("rep", "label", "size"), "rep").select("rep", "label", "size", F.posexplode("cells").alias("table", "cell"))
     keys = ["label", "size", "table", "cell"]
     full = dealt.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    members = dealt.join(full, keys).join(cells, "rep").join(groups.select("rep", "copies", "v"), "rep")
+    members = dealt.join(full, keys).join(groups.select("rep", "copies", "v"), "rep")
     cut = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
@@ -151,10 +177,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             if t.num_rows < 2:
                 continue
             ids, size, table = t["rep"].to_numpy(), t["size"][0].as_py(), t["table"][0].as_py()
-            units = unit_rows(t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), size))
-            marks = t["cells"].combine_chunks().flatten().to_numpy().reshape(len(ids), plan.tables)
+            units = unit_rows(t["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), size))
             split = t["own"].to_numpy() if t["i"][0].as_py() != t["j"][0].as_py() else None
-            links, edges = link_group(units, t["copies"].to_numpy(), marks, table, split, plan, threshold)
+            links, edges = link_group(units, t["copies"].to_numpy(), table, split, plan, threshold)
             some = np.flatnonzero(links)
             if len(some):
                 a = np.concatenate([ids[some], ids[[e[0] for e in edges]]])
@@ -163,7 +188,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, "i", "j"]
-    found = stage(cut.select(*order, "rep", "own", "copies", "cells", "v").repartition(width, *order).sortWithinPartitions(*order, "rep").mapInArrow(link_rows, "a long, b long, n long"), "vector-links")
+    found = stage(arrow_map(cut.select(*order, "rep", "own", "copies", "v").repartition(width, *order).sortWithinPartitions(*order, "rep"), link_rows, "a long, b long, n long"), "vector-links")
     discard(cells)
     components = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
