@@ -22,13 +22,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import Forest, arrow_map, connected_components, discard, grouped, stage
+from loomstone.llm.common import arrow_map, connected_components, discard, grouped, stage
 
 THRESHOLD = 0.98
 RECALL = 0.9999
@@ -36,6 +37,8 @@ CELL = 6.0  # width of a cell in distances at the threshold
 WINDOW = 2.0  # half width of a window in distances at the threshold
 PARTNERS = 64  # unrelated vectors that may share a group, on average
 BLOCK = 1024
+FEW = 48
+CHUNK = 64  # rows of a block whose collisions are counted at once
 
 
 def same_cell(distance: float, width: float) -> float:
@@ -74,6 +77,7 @@ class Plan:
         return cls(tables, lines, cell, WINDOW * distance, count_needed(tables * lines, math.erf(WINDOW / math.sqrt(2)), miss / 2))
 
 
+@lru_cache(maxsize=8)
 def lines_of(plan: Plan, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """Directions (dimension, tables * lines) and offsets, fixed by the dimension."""
     rng = np.random.default_rng([dimension, 20])
@@ -88,8 +92,12 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 def cells_of(units: np.ndarray, plan: Plan) -> np.ndarray:
     """(rows, tables) numbers of the cells."""
-    directions, offsets = lines_of(plan, units.shape[1])
-    cells = np.floor((units @ directions + offsets) / plan.cell).astype(np.int64).astype(np.uint64).reshape(len(units), plan.tables, plan.lines)
+    return numbered_cells(units @ lines_of(plan, units.shape[1])[0], units.shape[1], plan)
+
+
+def numbered_cells(projected: np.ndarray, dimension: int, plan: Plan) -> np.ndarray:
+    offsets = lines_of(plan, dimension)[1]
+    cells = np.floor((projected + offsets) / plan.cell).astype(np.int64).astype(np.uint64).reshape(len(projected), plan.tables, plan.lines)
     h = np.zeros(cells.shape[:2], np.uint64)
     for i in range(plan.lines):
         h = (h ^ cells[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -98,46 +106,60 @@ def cells_of(units: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 class Windows:
-    """Sorted projections of one group, and the windows centred on each of its vectors."""
-
-    def __init__(self, units: np.ndarray, plan: Plan):
-        projected = units @ lines_of(plan, units.shape[1])[0]
-        self.n, self.needed = len(units), plan.needed
-        self.order = np.argsort(projected, axis=0).astype(np.int32).T.copy()
-        ranked = np.take_along_axis(projected.T, self.order, axis=1)
-        self.low = np.stack([np.searchsorted(r, q - plan.window) for r, q in zip(ranked, projected.T, strict=True)])
-        self.high = np.stack([np.searchsorted(r, q + plan.window, side="right") for r, q in zip(ranked, projected.T, strict=True)])
-
-    def colliding(self, v: int) -> np.ndarray:
-        """Vectors that lie in v's windows on as many lines as needed."""
-        met = np.concatenate([o[a:b] for o, a, b in zip(self.order, self.low[:, v].tolist(), self.high[:, v].tolist(), strict=True)])
-        return np.flatnonzero(np.bincount(met, minlength=self.n) >= self.needed)
+    """Sorted projections of one group: each vector's place on each line, and where the window centred on it lies."""
+
+    def __init__(self, projected: np.ndarray, window: float):
+        lines = projected.T
+        self.small = None
+        if len(projected) <= FEW:
+            # the same counts without sorting, which pays in larger groups only
+            self.small = (np.abs(projected[:, None, :] - projected[None, :, :]) <= window).sum(axis=2)
+            return
+        order = np.argsort(lines, axis=1)
+        ranked = np.take_along_axis(lines, order, axis=1)
+        self.place = np.empty(lines.shape, np.int32)
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(lines.shape[1], dtype=np.int32), lines.shape), axis=1)
+        self.low = np.stack([np.searchsorted(r, q - window) for r, q in zip(ranked, lines, strict=True)]).astype(np.int32)
+        self.high = np.stack([np.searchsorted(r, q + window, side="right") for r, q in zip(ranked, lines, strict=True)]).astype(np.int32)
+
+    def collisions(self, rows: slice) -> np.ndarray:
+        """(rows, all): on how many lines a vector lies in the windows of the rows."""
+        if self.small is not None:
+            return self.small[rows]
+        out = np.zeros((rows.stop - rows.start, self.place.shape[1]), np.int16)
+        for place, low, high in zip(self.place, self.low[:, rows], self.high[:, rows], strict=True):
+            out += (place >= low[:, None]) & (place < high[:, None])
+        return out
 
 
 def link_group(units: np.ndarray, copies: np.ndarray, table: int, split: np.ndarray | None, plan: Plan, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row (weighted by copies) and a spanning forest of them, within one group."""
-    n, windows = len(units), Windows(units, plan)
-    cells: dict[int, np.ndarray] = {}
-    links, edges, forest = np.zeros(n, np.int64), [], Forest(n)
-
-    def cells_at(rows: np.ndarray) -> np.ndarray:
-        new = [r for r in rows.tolist() if r not in cells]
-        if new:
-            cells.update(zip(new, cells_of(units[new], plan), strict=True))
-        return np.stack([cells[r] for r in rows.tolist()])
-
-    for v in range(n - 1):
-        near = windows.colliding(v)
-        near = near[near > v] if split is None else near[(near > v) & (split[near] != split[v])]
-        if len(near):
-            near = near[units[near] @ units[v] >= threshold]
-        if len(near):
-            both = cells_at(np.append(near, v))
-            near = near[(both[:-1] == both[-1]).argmax(axis=1) == table]
-        if len(near):
-            links[v] += copies[near].sum()
-            links[near] += copies[v]
-            edges += [(v, o) for o in near.tolist() if forest.join(v, o)]
+    n, projected = len(units), units @ lines_of(plan, units.shape[1])[0]
+    windows, cells = Windows(projected, plan.window), None
+    links, edges, component = np.zeros(n, np.int64), [], np.arange(n)
+    for at in range(0, n, CHUNK):
+        rows = slice(at, min(at + CHUNK, n))
+        ok = windows.collisions(rows) >= plan.needed
+        ok &= np.arange(n)[None, :] > np.arange(rows.start, rows.stop)[:, None]
+        if split is not None:
+            ok &= split[None, :] != split[rows, None]
+        if not ok.any():
+            continue
+        a, b = np.nonzero(ok & (units[rows] @ units.T >= threshold))
+        if not len(a):
+            continue
+        cells = numbered_cells(projected, units.shape[1], plan) if cells is None else cells
+        a += at
+        first = (cells[a] == cells[b]).argmax(axis=1) == table
+        a, b = a[first], b[first]
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        for v, near in zip(*np.unique(a, return_index=True), strict=True):
+            others = b[near : np.searchsorted(a, v, side="right")]
+            for o in others[np.unique(component[others], return_index=True)[1]].tolist():
+                if component[o] != component[v]:
+                    component[component == component[o]] = component[v]
+                    edges.append((int(v), o))
     return links, edges
 
 
