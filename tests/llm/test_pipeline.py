@@ -31,3 +31,16 @@ def test_near_duplicates_keep_one_row_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (1, b), (None, c), (7, d), (None, None)], key=repr)
+
+
+def test_row_stages_take_awkward_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns, an empty table."""
+    rows = [(1, "der und die " * 30, "de", "s", 1, "x"), (1, "der und die " * 30, "de", "s", 1, "x"), (2, "the of and " * 30_000, "en", None, None, None), (3, "", "en", "s", 0, "y"), (4, None, None, None, None, None), (None, "und der a.b@c.de", None, "s", 3, "z"), (6, "12 !?", "en", "s", 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, Spans string")
+    said = corpus_pipeline.identify_language(spark, docs, "")
+    assert said.columns == docs.columns and sorted((r.doc_id for r in said.collect()), key=repr) == [1, 1, 2, None]
+    clean = corpus_pipeline.redact_personal_data(spark, docs.withColumnRenamed("Spans", "note"), "").collect()
+    assert len(clean) == len(rows) and {r.doc_id: r.text for r in clean}[None] == "und der <EMAIL>" and {r.doc_id: r.n_chars for r in clean}[4] == 0
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, "").collect()} == {1, 2, 3, 4, None, 6}
+    for fn in (corpus_pipeline.identify_language, corpus_pipeline.redact_personal_data, corpus_pipeline.pack_sequences):
+        assert fn(spark, docs.limit(0).withColumnRenamed("Spans", "note"), "").count() == 0
