@@ -64,6 +64,14 @@ b as (select k, min(struct_pack(rule := rule, action := action)) as m from h joi
 select page_id, host, path, a.m.rule as rule, coalesce(a.m.action, b.m.action, 'allow') as verdict, case when a.m is null then b.m.rule end as pattern from h left join a using (k) left join b using (k)
 """
 
+OP7 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (j // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (j % 4))) & 31)::bigint + 1, 1)), '') as payload_digest from p),
+r as (select *, row_number() over (partition by payload_digest order by page_id) as place, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when place = 1 then 'response' else 'revisit' end as record_type, case when place > 1 then first end as refers_to from r
+"""
+
 OP9 = """
 with recursive g as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null and len(embedding) > 0
   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -73,4 +81,4 @@ c as (select a, min(b) as component_id from r group by a), n as (select a, count
 select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings left join c on c.a = vec_id left join n on n.a = vec_id
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op5_url_filter": OP5, "op9_collision_counting": OP9}
+SQL: dict[str, str] = {"op1_quality_rules": OP1, "op5_url_filter": OP5, "op7_warc_zip": OP7, "op9_collision_counting": OP9}
