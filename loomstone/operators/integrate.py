@@ -1,21 +1,24 @@
 """Integration rounds: seeds to clusters to chains, by a provider, until a limit or convergence.
 
 Chains go through known members, a smallest size, a non-empty synthesis, and greedy deduplication in order: each
-new chain is dropped if its members overlap one kept before by more than half. Only a round's own bounded pool of
-seeds and their clusters reaches the driver.
+new chain is dropped if its members overlap one kept before by more than half. A new chain that has a vector is a
+seed of the next round, before all others; clusters hold entries of the corpus only. Only a round's own bounded pool
+of seeds and their clusters reaches the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.operators import mining
-from loomstone.providers import HeadAndTail, Summariser
+from loomstone.providers import MOST_EMBEDDED, Embedder, HeadAndTail, NoEmbedder, Summariser
 
 
 @dataclass(frozen=True)
@@ -55,17 +58,31 @@ class Limits:
     window: int = 3
     quiet: int = 2
     seeds: int = 24
+    seconds: float = 1800
+    tokens: int = 500_000
 
 
 @dataclass
 class Run:
-    """Kept chains, and what each round made."""
+    """Kept chains, what each round made and its seeds (chains of this run have negative numbers), and why it ended."""
 
     chains: list[dict] = field(default_factory=list)
     history: list[int] = field(default_factory=list)
+    seeds: list[list[int]] = field(default_factory=list)
+    tokens: int = 0
+    stopped: str = "rounds"
+    began: float = field(default_factory=time.monotonic)
+
+    def over(self, limits: Limits) -> str | None:
+        """The limit that is reached, if any."""
+        if time.monotonic() - self.began >= limits.seconds:
+            return "time"
+        if self.tokens >= limits.tokens:
+            return "tokens"
+        return "chains" if len(self.chains) >= limits.chains else None
 
     def stats(self) -> dict:
-        return {"passes": len(self.history), "chains": len(self.chains), "by_pass": self.history}
+        return {"passes": len(self.history), "chains": len(self.chains), "by_pass": self.history, "tokens": self.tokens, "stopped": self.stopped}
 
 
 def converged(history: list[int], window: int = 3, most: int = 2) -> bool:
@@ -92,28 +109,58 @@ def chain_of(found: Found, members: list[dict], kept: list[set[str]], round_no:
         return None
     threads = [known[u]["thread"] for u in names if known[u]["thread"]]
     primary = min(set(threads), key=lambda t: (-threads.count(t), t)) if threads else "unknown"
-    return {"role": "chain", "content": text, "thread": primary, "heading": f"chain: {text[:60]}", "chain_type": found.kind, "member_uids": names, "member_projects": sorted(set(threads)), "cross_project": found.cross_project, "dream_pass": round_no}
+    uid = hashlib.sha256("|".join((text, *names)).encode()).hexdigest()[:12]
+    return {"uid": uid, "role": "chain", "content": text, "thread": primary, "heading": f"chain: {text[:60]}", "chain_type": found.kind, "member_uids": names, "member_projects": sorted(set(threads)), "cross_project": found.cross_project, "dream_pass": round_no}
 
 
-def integrate(rows: DataFrame, finder: ChainFinder | None = None, limits: Limits | None = None) -> Run:
-    """rows: seq, role, thread, ts, content, embedding. A round takes its seeds from what no chain holds yet."""
-    finder, limits, run = finder or NoChains(), limits or Limits(), Run()
+def integrate(rows: DataFrame, finder: ChainFinder | None = None, limits: Limits | None = None, embedder: Embedder | None = None, focus: str = "", as_of: Column | None = None) -> Run:
+    """rows: seq, role, thread, ts, content, embedding. Limits hold from cluster to cluster.
+
+    A round's seeds are the chains that wait, and then those of the pool that were not seeds before, by what no chain
+    holds yet. Without an embedder chains have no vectors and are no seeds.
+    """
+    finder, limits, embedder, run = finder or NoChains(), limits or Limits(), embedder or NoEmbedder(), Run()
+    spark, corpus = rows.sparkSession, rows.where("role <> 'chain'")
     kept: list[set[str]] = []
+    spent: list[int] = []
+    waiting: list[int] = []
+    parts = ["seq", "thread", F.col("ts").cast("timestamp").alias("ts"), "content", F.col("embedding").cast("array<double>").alias("embedding")]
     for n in range(limits.rounds):
-        spark = rows.sparkSession
-        chained = spark.createDataFrame([(int(u),) for k in kept for u in k], "seq long")
-        pool = mining.seeds(rows, chained, "", limits.seeds).select("seq")
-        seeds = rows.join(F.broadcast(pool), "seq", "left_semi")
-        found = mining.clusters(rows.where("role <> 'chain'"), seeds).join(rows, "seq").select("seed_seq", "place", "seq", "role", "thread", "ts", "content").orderBy("seed_seq", "place").collect()
-        made = 0
-        for seed in dict.fromkeys(r.seed_seq for r in found):
-            members = [r.asDict() for r in found if r.seed_seq == seed]
-            for f in finder.find(prompt_lines(members), members):
+        own, waiting = waiting[: limits.seeds], waiting[limits.seeds :]
+        places = []
+        if len(own) < limits.seeds:
+            numbers = lambda of: F.broadcast(spark.createDataFrame([(int(u),) for u in of], "seq long"))
+            pool = mining.seeds(rows.join(numbers(spent), "seq", "left_anti"), numbers(u for k in kept for u in k), focus, limits.seeds - len(own), as_of)
+            places = [r.seq for r in pool.select("seq", "place").orderBy("place").collect()]
+        if not own and not places:
+            run.stopped = "seeds"
+            break
+        spent += places
+        run.seeds.append([*own, *places])
+        of_run = [(s, c["thread"], None, c["content"], c["embedding"]) for s in own for c in [run.chains[-s - 1]]]
+        seeds = spark.createDataFrame(of_run, "seq long, thread string, ts timestamp, content string, embedding array<double>")
+        if places:
+            seeds = seeds.unionByName(rows.join(numbers(places), "seq", "left_semi").select(*parts))
+        found: dict[int, list[dict]] = {}
+        for r in mining.clusters(corpus, seeds).join(rows, "seq").select("seed_seq", "place", "seq", "role", "thread", "ts", "content").orderBy("seed_seq", "place").collect():
+            found.setdefault(r.seed_seq, []).append(r.asDict())
+        made, why = 0, None
+        for members in (found[s] for s in run.seeds[-1] if s in found):
+            if why := run.over(limits):
+                break
+            prompt = prompt_lines(members)
+            run.tokens += len(prompt) // 4
+            for f in finder.find(prompt, members):
+                run.tokens += len(f.synthesis) // 4
                 if len(run.chains) < limits.chains and (chain := chain_of(f, members, kept, n)):
+                    chain["embedding"] = embedder.embed([chain["content"][:MOST_EMBEDDED]])[0]
                     run.chains.append(chain)
                     kept.append(set(chain["member_uids"]))
+                    if chain["embedding"]:
+                        waiting.append(-len(run.chains))
                     made += 1
         run.history.append(made)
-        if len(run.chains) >= limits.chains or converged(run.history, limits.window, limits.quiet):
+        if why := why or run.over(limits) or ("converged" if converged(run.history, limits.window, limits.quiet) else None):
+            run.stopped = why
             break
     return run

@@ -147,6 +147,15 @@ def test_integration_rounds(spark):
     run = integrate.integrate(df, integrate.SharedWords(), integrate.Limits(rounds=2))
     sets = [set(c["member_uids"]) for c in run.chains]
     assert sets and all(len(a & b) <= 0.5 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert run.stopped == "seeds" and min(map(min, run.seeds)) >= 0  # each entry is a seed once
+    fed = integrate.integrate(df, integrate.SharedWords(), integrate.Limits(rounds=2, seeds=3), HashEmbedder())
+    first = fed.history[0]
+    assert first and fed.seeds[1][:first] == [-k - 1 for k in range(first)] and len(fed.seeds[1]) == 3 and fed.stopped == "rounds"
+    assert not set(fed.seeds[0]) & set(fed.seeds[1]) and len({c["uid"] for c in fed.chains}) == len(fed.chains)
+    assert all(0 <= int(u) < 12 for c in fed.chains for u in c["member_uids"])  # chains are seeds, not members
+    few = integrate.integrate(df, integrate.SharedWords(), integrate.Limits(tokens=1))
+    assert few.stopped == "tokens" and few.tokens > 0 and len(few.chains) == 1
+    assert integrate.integrate(df, integrate.SharedWords(), integrate.Limits(seconds=0)).stats() == {"passes": 1, "chains": 0, "by_pass": [0], "tokens": 0, "stopped": "time"}
     assert run.stats()["chains"] == len(sets) and integrate.converged([5, 2, 1, 0]) and not integrate.converged([0, 0])
     assert integrate.chain_of(integrate.Found(("[1]", "zz"), " x "), [{"seq": 1, "thread": ""}], [], 0)["thread"] == "unknown"
     assert integrate.chain_of(integrate.Found(("zz",), "x"), [{"seq": 1, "thread": ""}], [], 0) is None
