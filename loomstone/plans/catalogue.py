@@ -304,7 +304,16 @@ def block_text(spark, d):
     return spark.range(1).select(F.inline(rows)).select("seq", extract.block_text(F.col("blocks")).alias("content"))
 
 
-@query()
+_ASKED = f"[{', '.join(map(str, HashEmbedder().embed([QUERY])[0]))}]::double[]"
+
+
+@query(
+    f"with s as (select vec_id as seq, round({COSINE.format(a='embedding', b=_ASKED)}, 6) as score from embeddings order by score desc, seq limit 30), k as ({KEYWORD}), "
+    "f as (select seq, coalesce(s.score, 0) + coalesce(k.score, 0) * case when s.seq is not null then 0.4 else 0.3 end as score from s full join k using (seq)), "
+    "t as (select seq, round(score * 1.5, 6) as score, '[' || seq || ' ' || coalesce(source, '?') || '  context] ' || coalesce(text, '') as chunk from f join documents on doc_id = seq), "
+    "r as (select *, length(chunk) // 4 as tokens, sum(length(chunk) // 4) over (order by score desc, seq rows unbounded preceding) as running from t) "
+    "select seq, score, tokens, running::bigint as running, chunk from r where running <= 6000"
+)
 def retrieve(spark, d):
     """The whole facade, with hashed vectors standing in for a model's."""
     docs = C.documents(spark, d)
