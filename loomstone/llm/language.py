@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import arrow_map, with_columns_arrow
+from loomstone.llm.common import arrow_map, tidy, with_columns_arrow
 
 UNKNOWN = "und"
 #: Most labelled texts a language, and in all, that the classifier is fitted on: the bound of the sample.
@@ -218,7 +218,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     chosen = rows.join(F.broadcast(last), "l").where(F.xxhash64("k") <= F.col("h"))
     # repeated rows of a key count once, so the bound holds whatever repeats
     found = arrow_map(chosen.groupBy("k", "l").agg(F.min("t").alias("t")).select("l", "t"), gram_rows, "l string, grams array<long>").toArrow()
-    return fit([np.asarray(x.values) for x in found["grams"]], found["l"].to_pylist())
+    model = fit([np.asarray(x.values) for x in found["grams"]], found["l"].to_pylist())
+    del found
+    tidy()
+    return model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -322,13 +322,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     first = stage(checked(likely_pairs(members, chosen), sets, threshold), "dart-first")
     components = stage(connected_components(first).withColumnRenamed("node", "id"), "dart-components")
     second = stage(bridges(members, chosen, sets, components, threshold), "dart-second")
-    discard(members, wanted, chosen, sets, components)
+    discard(members, wanted, chosen, sets)
     same = sketched.where("same is not null").join(groups.select("same", F.col("id").alias("rep")), "same").where("id <> rep").groupBy("id").agg(F.min("rep").alias("rep"))
-    links = first.unionByName(second)
-    final = stage(connected_components(links).select(F.col("node").alias("rep"), "component"), "dart-final")
+    # the few links between components join these as a whole; a representative without links is its own
+    part_of = {end: components.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}")) for end in "ab"}
+    parts = second.join(part_of["a"], "a", "left").join(part_of["b"], "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    wholes = stage(connected_components(parts).select(F.col("node").alias("part"), F.col("component").alias("whole")), "dart-wholes")
     discard(first, second)
     nodes = sketched.select("id").distinct().join(same, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = nodes.join(final, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    parted = nodes.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    out = parted.join(wholes, "part", "left").select("id", F.coalesce("whole", "part").alias("component_id"))
     return out.select(F.col("id").alias(key), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 

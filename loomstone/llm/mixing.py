@@ -151,7 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_DOMAIN) -
     rows = docs.join(F.broadcast(ranked), "k").groupBy("k", "domain").agg(F.min("text").alias("text")).select("domain", "text")
     rows = arrow_map(rows, feature_rows, "domain string, words array<long>, values array<double>, numbers array<double>").toArrow()
     total = sum(counts.values()) or 1
-    return fit(rows, {d: c / total for d, c in counts.items()})
+    model = fit(rows, {d: c / total for d, c in counts.items()})
+    del rows
+    tidy()
+    return model
 
 
 def posteriors(model: Model) -> Callable[[str | None], tuple[int, np.ndarray]]:

@@ -37,6 +37,24 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark):
+    """A driver plans each round anew, so tables of pairs and stars, the usual ones, must not take any."""
+    names = []
+    stars = [(7, 3), (3, 8), (8, 3), (9, 3), (21, 20), (20, 20), (None, 4)]
+    for pairs, rounds in ((stars, 0), ([], 0), ([*stars, (9, 21)], 1)):
+        since = len(common.STAGED)
+        names.clear()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "stage", lambda df, name, put=common.stage: names.append(name) or put(df, name))
+            got = {tuple(r) for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        held = {x for p in pairs if None not in p and p[0] != p[1] for x in p}
+        assert got == set(union(held, [p for p in pairs if None not in p]).items())
+        assert len(names) <= 1 + rounds + (rounds > 0)
+        assert len(common.STAGED) == since + 1
+    with pytest.raises(RuntimeError, match="not settled after 0"):
+        common.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), max_rounds=0)
+
+
 # ---- MinHash ----
 
 
@@ -103,6 +121,20 @@ def test_near_duplicates(spark, monkeypatch, counts):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_components_join_them_whole(spark, monkeypatch):
+    """Components of the first links, joined by the second ones at any member, with rows of no first link, in chains."""
+    docs = spark.createDataFrame([(i, f"text number {i} of its own") for i in range(1, 21)], "doc_id long, text string")
+    first = [(2, 5), (5, 9), (3, 4), (10, 11), (11, 12), (13, 14)]
+    for second in ([], [(4, 9)], [(9, 12), (11, 3), (1, 14), (15, 16), (16, 17), (12, 17)]):
+        pairs = {"first": first, "second": second}
+        frame = lambda k: spark.createDataFrame(pairs[k], "a long, b long")  # noqa: B023, E731
+        monkeypatch.setattr(minhash, "checked", lambda *_: frame("first"))  # noqa: B023
+        monkeypatch.setattr(minhash, "bridges", lambda *_: frame("second"))  # noqa: B023
+        got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+        want = union(set(range(1, 21)), first + second)
+        assert got == {i: (c, i == c) for i, c in want.items()}
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
 def test_recall_at_the_threshold(similarity):
     """Weighted pairs at the threshold itself share a band and are estimated high enough to be checked."""
