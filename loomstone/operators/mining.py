@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomstone.functions import text as X
 from loomstone.functions import vector as V
 
-#: Vectors of a block; two blocks meet in one task as a matrix product.
-BLOCK = 1024
+#: Bytes of the vectors of a block, rows and columns of the products of two, and shares of either side of all pairs.
+BLOCK_BYTES, TILE, PARTS = 2 << 20, 1024, 12
 
 
 def coverage(rows: DataFrame, chained: DataFrame) -> DataFrame:
@@ -50,60 +54,102 @@ def seeds(rows: DataFrame, chained: DataFrame, focus_thread: str, k: int, as_of:
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def nearest(left: DataFrame, right: DataFrame, links: DataFrame, k: int, least: float | None = None, per_right: bool = False, block: int = BLOCK) -> DataFrame:
-    """Exact top k pairs by (cosine, seq_a, seq_b) of blocks: those of the whole are among them.
-
-    left and right: group, seq, v; links: the (group_a, group_b) to compare, few rows. The k are of two blocks, or
-    with per_right of each right row. A pair is cut where it is made; vectors with gaps or of unequal length pair
-    with none, nor does, without per_right, a seq with itself.
-    """
-
-    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        whole = rows.where("v is not null and not exists(v, x -> x is null)").select("group", F.size("v").alias("dim"), "seq", V.as_doubles(F.col("v")).alias("v"))
-        n = whole.groupBy("group", "dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        return whole.join(F.broadcast(n), ["group", "dim"]).withColumn("own", F.pmod(F.xxhash64("seq"), "blocks")).drop("blocks"), n
+def nearest(left: DataFrame, right: DataFrame, links: DataFrame, k: int, least: float | None = None, per_right: bool = False, block: int | None = None) -> DataFrame:
+    """Exact top k pairs by (cosine, seq_a, seq_b) of tasks: those of the whole are among them.
 
-    (a, n_a), (b, n_b) = split(left), split(right)
-    others = lambda n, side: links.join(n.withColumnRenamed("group", side), side)
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    keys = ["group_a", "group_b", "dim", "i", "j"]
-    a = a.withColumnRenamed("group", "group_a").join(F.broadcast(others(n_b, "group_b")), ["group_a", "dim"]).select("group_a", "group_b", "dim", F.col("own").alias("i"), each.alias("j"), "seq", "v")
-    b = b.withColumnRenamed("group", "group_b").join(F.broadcast(others(n_a, "group_a")), ["group_b", "dim"]).select("group_a", "group_b", "dim", each.alias("i"), F.col("own").alias("j"), "seq", "v")
+    left and right: groups (an array), seq, v; links: the (group_a, group_b) to compare, few rows. The k are of each
+    link, or with per_right of each right row. Vectors with gaps or of unequal length pair with none, nor does,
+    without per_right, a seq with itself.
 
-    def matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim)
-        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return t.column("seq").to_numpy(), np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-
-    def meet(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        at, bt = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cos = seq_a = seq_b = np.zeros(0)
-        if x.num_rows and y.num_rows:
-            (seq_a, va), (seq_b, vb) = matrix(x, key[2].as_py()), matrix(y, key[2].as_py())
-            cos = np.round(va @ vb.T, 6)
-            allowed = np.ones(cos.shape, bool) if per_right else seq_a[:, None] != seq_b[None, :]
-            if least is not None:
-                allowed &= cos > least
-            ranked = np.where(allowed, cos, -np.inf)
-            if per_right:
-                edge = -np.partition(-ranked, min(k, len(seq_a)) - 1, axis=0)[min(k, len(seq_a)) - 1]
-            else:
-                edge = -np.partition(-ranked, min(k, ranked.size) - 1, axis=None)[min(k, ranked.size) - 1]
-            at, bt = np.nonzero(allowed & (ranked >= edge))
-            group = bt if per_right else np.zeros_like(bt)
-            order = np.lexsort((seq_b[bt], seq_a[at], -cos[at, bt], group))
-            at, bt, group = at[order], bt[order], group[order]
-            first = np.searchsorted(group, group)
-            kept = np.arange(len(group)) - first < k
-            at, bt = at[kept], bt[kept]
-            cos, seq_a, seq_b = cos[at, bt], seq_a[at], seq_b[bt]
-        n = len(at)
-        cols = [pa.repeat(key[0], n), pa.repeat(key[1], n), pa.array(seq_a), pa.array(seq_b), pa.array(cos)]
-        return pa.table([c.cast(t) for c, t in zip(cols, [key[0].type, key[1].type, pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["group_a", "group_b", "seq_a", "seq_b", "cos"])
-
-    b = b.toDF(*b.columns)  # columns of its own where both sides are the same rows
+    Rows are packed into blocks and written once; each task of their product reads a share of either side, so that
+    what is on disk grows with the rows, not with the pairs. A pair of blocks is multiplied once for all links, and
+    for both directions if right is left.
+    """
+    spark, same = left.sparkSession, right is left
     kinds = [links.schema[g].dataType.simpleString() for g in ("group_a", "group_b")]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, f"group_a {kinds[0]}, group_b {kinds[1]}, seq_a long, seq_b long, cos double")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{2 * BLOCK_BYTES}b")  # few pairs of blocks at once
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        t, dim = t.sort_by("seq"), key[1].as_py()
+        groups = t.column("groups").combine_chunks()
+        names = groups.flatten().unique()
+        held = np.zeros((len(t), len(names)), bool)
+        held[np.repeat(np.arange(len(t)), pc.list_value_length(groups).to_numpy()), pc.index_in(groups.flatten(), names).to_numpy()] = True
+        v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, dim)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        blobs = [np.packbits(held).tobytes(), t.column("seq").to_numpy().tobytes(), v.tobytes()]
+        return pa.table({**{c: pa.array([x.as_py()], x.type) for c, x in zip(("home", "dim", "own"), key, strict=True)}, "groups": pa.array([names.to_pylist()], pa.list_(names.type)), **{c: pa.array([x], pa.binary()) for c, x in zip(("held", "seq", "v"), blobs, strict=True)}})
+
+    def packed(rows: DataFrame, kind: str, side: str) -> DataFrame:
+        whole = rows.where("v is not null and not exists(v, x -> x is null)").select(F.array_min("groups").alias("home"), F.size("v").alias("dim"), "groups", "seq", V.as_doubles(F.col("v")).alias("v"))
+        most = F.lit(block) if block else F.greatest(F.lit(1), F.lit(BLOCK_BYTES) / (8 * F.greatest("dim", F.lit(1))))
+        n = whole.groupBy("home", "dim").agg(F.count("*").alias("n")).select("home", "dim", F.ceil(F.col("n") / most).alias("blocks"))
+        dealt = whole.join(F.broadcast(n), ["home", "dim"]).withColumn("own", F.pmod(F.xxhash64("seq"), "blocks")).drop("blocks")
+        made = dealt.groupBy("home", "dim", "own").applyInArrow(pack, f"home {kind}, dim int, own long, groups array<{kind}>, held binary, seq binary, v binary")
+        made = made.repartition(PARTS, "home", "dim", "own")
+        return made.select(*[F.col(c).alias(f"{c}_{side}") for c in made.columns])
+
+    def opened(row: dict, side: str) -> tuple:
+        seq, dim = np.frombuffer(row[f"seq_{side}"], np.int64), row[f"dim_{side}"]
+        held = np.unpackbits(np.frombuffer(row[f"held_{side}"], np.uint8), count=len(seq) * len(row[f"groups_{side}"])).reshape(len(seq), -1).astype(bool)
+        v = np.frombuffer(row[f"v_{side}"]).reshape(len(seq), dim) if dim else np.zeros((len(seq), 0))
+        return seq, dict(zip(row[f"groups_{side}"], held.T, strict=True)), v, v.astype(np.float32), (row[f"home_{side}"], row[f"own_{side}"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linked = None
+        found: dict = {}  # the best so far as (key, cos, seq_a, seq_b), and what reaches the k-th place of a key
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            linked = linked or [(x["group_a"], x["group_b"]) for x in row["links"]]
+            x, y = opened(row, "a"), opened(row, "b")
+            ways = [(x, y, False)] + [(y, x, True)] * (same and x[4] != y[4])
+            here = [(link, a, b, flip, (link, row["dim_b"], b[4]) if per_right else link) for a, b, flip in ways for link in linked if link[0] in a[1] and link[1] in b[1]]
+            for *_, b, _, name in here:
+                if name not in found:
+                    found[name] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)), np.full(len(b[0]) if per_right else 1, -np.inf if least is None else least)]
+            slack = 1e-6 + 1.3e-7 * row["dim_a"]  # of single precision and of rounding
+            for i in range(0, len(x[0]), TILE):
+                for j in range(0, len(y[0]), TILE):
+                    # a full score cannot be beaten, only preceded
+                    live = [h for h in here if per_right or not (len(found[h[4]][0][0]) == k and found[h[4]][1][0] >= 1 and h[1][0][j if h[3] else i] > found[h[4]][0][2][-1])]
+                    if not live:
+                        continue
+                    low = np.min([found[h[4]][1][j : j + TILE] if per_right else found[h[4]][1] for h in live], axis=0)
+                    at, bt = np.nonzero(x[3][i : i + TILE] @ y[3][j : j + TILE].T >= (low - slack).astype(np.float32))
+                    if not len(at):
+                        continue
+                    va, vb = x[2][i : i + TILE], y[2][j : j + TILE]
+                    cos = np.round((va @ vb.T)[at, bt] if 64 * len(at) > len(va) * len(vb) else np.einsum("ij,ij->i", va[at], vb[bt]), 6)
+                    for link, a, b, flip, name in live:
+                        ai, bi = (bt + j, at + i) if flip else (at + i, bt + j)
+                        best, edge = found[name]
+                        kept = a[1][link[0]][ai] & b[1][link[1]][bi] & (cos >= edge[bi if per_right else 0])
+                        if not per_right:
+                            kept &= a[0][ai] != b[0][bi]
+                        if least is not None:
+                            kept &= cos > least
+                        if kept.any():
+                            ai, bi = ai[kept], bi[kept]
+                            key, c, sa, sb = (np.concatenate(z) for z in zip(best, (bi if per_right else np.zeros_like(bi), cos[kept], a[0][ai], b[0][bi]), strict=True))
+                            order = np.lexsort((sb, sa, -c, key))
+                            place = np.arange(len(key)) - np.searchsorted(key[order], key[order])
+                            order, last = order[place < k], order[place == k - 1]
+                            edge[key[last]] = c[last]
+                            found[name][0] = (key[order], c[order], sa[order], sb[order])
+        names = ["group_a", "group_b", "seq_a", "seq_b", "cos"]
+        for name, ((_, c, sa, sb), _) in found.items():
+            link = name[0] if per_right else name
+            yield pa.RecordBatch.from_arrays([*[pa.array([g] * len(c), t) for g, t in zip(link, types, strict=True)], pa.array(sa), pa.array(sb), pa.array(c)], names=names)
+
+    types = [to_arrow_type(links.schema[g].dataType) for g in ("group_a", "group_b")]
+    a = packed(left, kinds[0], "a")
+    b = packed(right, kinds[1], "b")
+    a = a.crossJoin(F.broadcast(links.agg(F.collect_list(F.struct("group_a", "group_b")).alias("links"))))
+    holds = lambda x, y: F.exists("links", lambda z: F.array_contains(f"groups_{x}", z["group_a"]) & F.array_contains(f"groups_{y}", z["group_b"]))
+    meets = (F.col("dim_a") - F.col("dim_b") == 0) & holds("a", "b")  # no equality of columns: it would deal pairs by that key
+    if same:
+        meets = (F.col("dim_a") - F.col("dim_b") == 0) & (F.struct(F.col("home_a").alias("h"), F.col("own_a").alias("o")) <= F.struct(F.col("home_b").alias("h"), F.col("own_b").alias("o"))) & (holds("a", "b") | holds("b", "a"))
+    return a.join(b, meets).mapInArrow(meet, f"group_a {kinds[0]}, group_b {kinds[1]}, seq_a long, seq_b long, cos double")
 
 
 def clusters(rows: DataFrame, seed_rows: DataFrame, near: int = 24, most: int = 8, least: int = 3) -> DataFrame:
@@ -113,7 +159,7 @@ def clusters(rows: DataFrame, seed_rows: DataFrame, near: int = 24, most: int =
     are fetched for the nearest of each seed only.
     """
     s = seed_rows.select(*[F.col(c).alias(f"seed_{c}") for c in ("seq", "thread", "ts", "content", "embedding")])
-    side = lambda df: df.select(F.lit(0).alias("group"), F.col("seq").cast("long").alias("seq"), F.col("embedding").alias("v"))
+    side = lambda df: df.select(F.array(F.lit(0)).alias("groups"), F.col("seq").cast("long").alias("seq"), F.col("embedding").alias("v"))
     links = rows.sparkSession.range(1).select(F.lit(0).alias("group_a"), F.lit(0).alias("group_b"))
     by_seed = Window.partitionBy("seed_seq")
     found = nearest(side(rows), side(seed_rows), links, near, per_right=True).select(F.col("seq_b").alias("seed_seq"), F.col("seq_a").alias("seq"), "cos")
@@ -151,8 +197,9 @@ def week_links(dated: DataFrame, days: int = 14, least: float = 0.7) -> DataFram
 
 def chunk_links(dated: DataFrame, weeks: DataFrame, least: float = 0.5, k: int = 3) -> DataFrame:
     """The k most similar pairs of entries of each linked pair of weeks, a vector counted once in its week."""
-    rows = dated.withColumn("week", week(F.col("ts"))).groupBy("week", "seq").agg(F.first("embedding").alias("v"))
-    side = rows.select(F.col("week").alias("group"), F.col("seq").cast("long").alias("seq"), "v")
+    # first without vectors' being sorted, as an aggregate of them would
+    once = dated.select(F.col("seq").cast("long").alias("seq"), week(F.col("ts")).alias("week"), F.col("embedding").alias("v")).distinct()
+    side = once.groupBy("seq", "v").agg(F.collect_set("week").alias("groups"))
     links = weeks.select(F.col("week_a").alias("group_a"), F.col("week_b").alias("group_b"))
     scored = nearest(side, side, links, k, least).select(F.col("group_a").alias("week_a"), F.col("group_b").alias("week_b"), "seq_a", "seq_b", "cos")
     w = Window.partitionBy("week_a", "week_b").orderBy(F.desc("cos"), "seq_a", "seq_b")

@@ -183,6 +183,36 @@ def test_paragraphs(spark):
     assert [(r.seq, r.pos, r.content) for r in session.paragraphs(rows, 4).orderBy("seq", "pos").collect()] == [(1, 0, "aaaa\n"), (1, 1, "bb\ncccc\n"), (1, 2, "d"), (2, 0, "x")]
 
 
+def moved(spark, run):
+    """Shuffle bytes that run() writes."""
+    import time
+
+    def total():
+        time.sleep(0.3)
+        spark.range(1).count()  # a later job brings the sums up to date
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_blocks_are_written_once(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    found = []
+    for n in (400, 1600):
+        v = np.random.default_rng(n).normal(size=(n, 16))
+        rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "seq long, v array<double>")
+        links = spark.range(1).select(F.lit(0).alias("group_a"), F.lit(0).alias("group_b"))
+        side = rows.select("seq", "v", F.array(F.lit(0)).alias("groups"), F.lit(0).alias("group"))
+        found.append(moved(spark, lambda: mining.nearest(side, side, links, 3, 0.3, block=32).collect()))
+    assert found[1] < 6 * found[0], found  # 4 times the rows
+
+
 def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     import datetime
 
