@@ -213,6 +213,34 @@ def test_blocks_are_written_once(spark):
     assert found[1] < 6 * found[0], found  # 4 times the rows
 
 
+def test_links_of_rows_in_many_groups(spark, monkeypatch):
+    import datetime
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mining, "TILE", 8)
+    v = np.random.default_rng(2).normal(size=(60, 6)).round(1)
+    v[20:40] = v[1] * 2  # full scores that tie
+    v[5] = 0
+    day = datetime.datetime(2024, 1, 1)
+    held = {i: {(i * 7 + m) % 5 for m in range(i % 3 + 1)} for i in range(60)}
+    rows = [(i, day + datetime.timedelta(days=7 * w + r), v[i].tolist()) for i in range(60) for w in held[i] for r in range(2)]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp, embedding array<float>")
+    pairs = [(a, b) for a in range(5) for b in range(5) if abs(a - b) > 1]
+    date = lambda w: (day + datetime.timedelta(days=7 * w)).date()
+    weeks = spark.createDataFrame([(date(a), date(b)) for a, b in pairs], "week_a date, week_b date")
+    u = v.astype(np.float32).astype(float)
+    size = np.linalg.norm(u, axis=1)
+    cos = np.round(u @ u.T / np.where(size[:, None] * size == 0, 1, size[:, None] * size), 6)
+    want = []
+    for a, b in pairs:
+        best = sorted((-cos[i, j], i, j) for i in range(60) for j in range(60) if a in held[i] and b in held[j] and i != j and cos[i, j] > 0.3)[:3]
+        want += [(date(a), date(b), n + 1, i, j) for n, (_, i, j) in enumerate(best)]
+    assert sorted((r.week_a, r.week_b, r.place, r.seq_a, r.seq_b) for r in mining.chunk_links(df, weeks, 0.3).collect()) == sorted(want)
+    assert mining.chunk_links(df, weeks.limit(0), 0.3).count() == 0
+
+
 def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     import datetime
 
