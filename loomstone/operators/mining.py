@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -16,6 +16,8 @@ from loomstone.functions import vector as V
 
 #: Bytes of the vectors of a block, rows and columns of the products of two, and shares of either side of all pairs.
 BLOCK_BYTES, TILE, PARTS = 2 << 20, 1024, 12
+#: Rows of a task where chains or members meet, so that its memory does not grow with the tables.
+ROWS = 1 << 20
 
 
 def coverage(rows: DataFrame, chained: DataFrame) -> DataFrame:
@@ -206,16 +208,33 @@ def chunk_links(dated: DataFrame, weeks: DataFrame, least: float = 0.5, k: int =
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Shares of so many rows: of ROWS each, smaller ones while there are cores for them."""
+    return max(-(-rows // ROWS), min(spark.sparkContext.defaultParallelism, -(-rows * 16 // ROWS)), 1)
+
+
 def overlapping_chains(chains: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of chains whose member sets overlap by more than the share. Candidates share a member, and the rarest
-    half of a set suffices to find one that overlaps so much."""
-    m = chains.select("chain", "member").distinct()
-    freq = m.groupBy("member").agg(F.count("*").alias("f"))
-    sized = m.join(freq, "member").withColumns({"size": F.count("*").over(Window.partitionBy("chain")), "r": F.row_number().over(Window.partitionBy("chain").orderBy("f", "member"))})
-    # overlap > least of the union needs a shared member among the first size - ceil(least * size) + 1 by rarity
-    prefix = sized.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    p = prefix.select(F.col("chain").alias("a"), "member").join(prefix.select(F.col("chain").alias("b"), "member"), "member").where("a < b").select("a", "b").distinct()
-    sets = m.groupBy("chain").agg(F.collect_set("member").alias("s"))
+    half of a set suffices to find one that overlaps so much.
+
+    Sizes and 64 hashed bits of either set tell nearly all other candidates where they are made; only the sets of
+    those left are compared.
+    """
+    parts = _parts(chains.sparkSession, chains.count())
+    m = chains.select("chain", "member").where("chain is not null and member is not null").repartition(parts, "member").distinct()
+    by_chain = Window.partitionBy("chain")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("member"), F.lit(64)).cast("int"))
+    freq = m.withColumn("f", F.count("*").over(Window.partitionBy("member"))).repartition(parts, "chain")
+    sized = freq.withColumns({"size": F.count("*").over(by_chain), "bits": F.bit_or(bit).over(by_chain), "r": F.row_number().over(by_chain.orderBy("f", "member"))})
+    # more than least of the union is as much of the set itself: so many members shared, one of them among the others' rarest
+    whole = F.floor(F.col("size") * least)
+    shared = F.when(whole / F.col("size") > least, whole).otherwise(whole + 1)
+    prefix = sized.where(F.col("r") <= F.col("size") - shared + 1).select("chain", "member", "size", "bits").repartition(parts, "member")
+    x, y = (prefix.select("member", F.col("chain").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    most = F.least(*[F.col(f"size_{c}") - F.bit_count(F.col(f"bits_{c}").bitwiseAND(F.bitwise_not(f"bits_{o}"))) for c, o in ("ab", "ba")])
+    p = x.join(y, "member").where((F.col("a") < F.col("b")) & (most / (F.col("size_a") + F.col("size_b") - most) > least)).select("a", "b").distinct()
+    named = p.select(F.explode(F.array("a", "b")).alias("chain")).distinct()
+    sets = m.join(named, "chain", "left_semi").groupBy("chain").agg(F.collect_set("member").alias("s"))
     both = p.join(sets.select(F.col("chain").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("chain").alias("b"), F.col("s").alias("sb")), "b")
     score = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     return both.select("a", "b", F.round(score, 6).alias("jaccard")).where(score > least)

@@ -241,6 +241,37 @@ def test_links_of_rows_in_many_groups(spark, monkeypatch):
     assert mining.chunk_links(df, weeks.limit(0), 0.3).count() == 0
 
 
+def test_pairs_of_unlike_chains_are_not_moved(spark):
+    import random
+
+    draw, found = random.Random(5), []
+    for n in (600, 2400):
+        # chains of 4 of 100 members: the more there are the more share one; every tenth differs in a member from the one before
+        sets = [set(draw.sample(range(100), 4)) for _ in range(n)]
+        for i in range(9, n, 10):
+            sets[i] = set(list(sets[i - 1])[:3]) | {draw.randrange(100)}
+        df = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s for _ in range(2)], "chain long, member long")
+        got = []
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+        try:
+            found.append(moved(spark, lambda: got.extend(tuple(r) for r in mining.overlapping_chains(df).collect())))  # noqa: B023
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(got) == [(a, b, round(k / u, 6)) for a in range(n) for b in range(a + 1, n) if (k := len(sets[a] & sets[b])) > (u := len(sets[a] | sets[b])) / 2] and got
+    assert found[1] < 6 * found[0], found  # 4 times the rows
+
+
+def test_overlaps_at_every_share_and_size(spark):
+    import random
+
+    draw = random.Random(6)
+    sets = [set(draw.sample(range(24), draw.randint(1, 12))) for _ in range(80)] + [set(range(200)), set(range(10, 205))]
+    df = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "chain long, member long")
+    for least in (0.2, 0.5, 0.57, 0.9):
+        want = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > least]
+        assert sorted((r.a, r.b) for r in mining.overlapping_chains(df, least).collect()) == want
+
+
 def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     import datetime
 
