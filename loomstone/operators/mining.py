@@ -241,11 +241,17 @@ def overlapping_chains(chains: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def xrefs(chains: DataFrame) -> DataFrame:
-    """(member, chain or co-member) edges: each member refers to its chains and to all it shares one with."""
-    m = chains.select("chain", "member").distinct()
+    """(member, chain or co-member) edges: each member refers to its chains and to all it shares one with.
+
+    A task gets some ROWS of them, however many there are; a member's edges lie in one.
+    """
+    spark = chains.sparkSession
+    n = chains.groupBy("chain").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    parts = _parts(spark, n)
+    m = chains.select("chain", "member").repartition(parts, "chain").distinct()
     to_chain = m.select("member", F.concat(F.lit("c"), F.col("chain").cast("string")).alias("ref"))
     other = m.join(m.select("chain", F.col("member").alias("o")), "chain").where("member <> o").select("member", F.concat(F.lit("m"), F.col("o").cast("string")).alias("ref"))
-    return to_chain.unionByName(other).distinct()
+    return to_chain.unionByName(other).repartition(parts, "member").distinct()
 
 
 def xref_sets(edges: DataFrame) -> DataFrame:

@@ -272,6 +272,25 @@ def test_overlaps_at_every_share_and_size(spark):
         assert sorted((r.a, r.b) for r in mining.overlapping_chains(df, least).collect()) == want
 
 
+def test_cross_references_of_a_task_are_bounded(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mining, "ROWS", 500, raising=False)
+    draw = random.Random(7)
+    sets = [[draw.randrange(200) for _ in range(6)] for _ in range(400)]  # with repeated members, and pairs in several chains
+    df = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "chain long, member long")
+    want = {(x, f"c{i}") for i, s in enumerate(sets) for x in s} | {(x, f"m{y}") for s in sets for x in s for y in s if x != y}
+    edges = mining.xrefs(df)
+    got = [(r.member, r.ref, r.part) for r in edges.withColumn("part", F.spark_partition_id()).collect()]
+    assert sorted(r[:2] for r in got) == sorted(want)
+    most = max(sum(r[2] == part for r in got) for part in {r[2] for r in got})
+    assert most < 2000, most
+    assert {r.member: r.refs for r in mining.xref_sets(edges).collect()} == {m: sorted(r for x, r in want if x == m) for m in {x for x, _ in want}}
+    assert mining.xrefs(df.limit(0)).count() == 0
+
+
 def test_nearest_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     import datetime
 
